@@ -55,37 +55,46 @@ def _earlier(group: Sequence[str]):
 
 def running_sum(
     df: DataFrame,
-    value: str,
-    out: str,
+    values: dict[str, str],
     order: Sequence[Column],
     group: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
-    """``sum(value) over (partition by group order by order rows unbounded preceding)``.
+    """``sum(value) over (partition by group order by order rows unbounded preceding)`` per value -> output.
 
-    ``order`` should be total up to interchangeable rows. The carry has at most one row per range, since
-    every (group, range) pair beyond the first of its group belongs to a range starting inside the group.
+    ``order`` should be total up to interchangeable rows.
     """
     ranged = ordered_ranges(df, [*ascending(*group), *order], ranges)
-    return running_sum_in_ranges(ranged, value, out, order, group)
+    return running_sum_in_ranges(ranged, values, order, group)
 
 
 def running_sum_in_ranges(
-    ranged: DataFrame, value: str, out: str, order: Sequence[Column], group: Sequence[str] = ()
+    ranged: DataFrame, values: dict[str, str], order: Sequence[Column], group: Sequence[str] = ()
 ) -> DataFrame:
-    """:func:`running_sum` for rows already in ranges of (group, order)."""
+    """:func:`running_sum` for rows already in ranges of (group, order).
+
+    The carry has at most one row per range, since every (group, range) pair beyond the first of its group
+    belongs to a range that starts inside the group.
+    """
+    sums = [F.sum(v).alias(f"_sum_{o}") for v, o in values.items()]
+    carries = [F.sum(f"_sum_{o}").over(_earlier(group)).alias(f"_carry_{o}") for o in values.values()]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(RANGE)).alias("_place")
     carry = (
         ranged.groupBy(*group, RANGE)
-        .agg(F.sum(value).alias("_sum"))
-        .withColumn("_carry", F.sum("_sum").over(_earlier(group)))
-        .filter(F.col("_carry").isNotNull())
-        .drop("_sum")
+        .agg(*sums)
+        .select(*group, RANGE, *carries, place)
+        .filter(F.col("_place") > 1)
+        .drop("_place")
     )
     local = Window.partitionBy(*group, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("_local", F.sum(value).over(local))
+    summed = ranged.withColumns({f"_local_{o}": F.sum(v).over(local) for v, o in values.items()})
     joined = attach_lookup(summed, carry, [*group, RANGE], bounded=True)
-    total = F.coalesce(F.col("_local") + F.col("_carry"), F.col("_local"), F.col("_carry"))
-    return joined.withColumn(out, total).drop("_local", "_carry", RANGE)
+    totals = {}
+    for o in values.values():
+        here, before = F.col(f"_local_{o}"), F.col(f"_carry_{o}")
+        totals[o] = F.coalesce(here + before, here, before)
+    helpers = [f"_{kind}_{o}" for o in values.values() for kind in ("local", "carry")]
+    return joined.withColumns(totals).drop(*helpers, RANGE)
 
 
 def next_in_group(
@@ -122,15 +131,19 @@ def value_positions(
     group: Sequence[str] = (),
     descending: bool = False,
     ranges: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct values of a group with their count ``_n`` and the number of rows up to them, ``_upto``.
 
+    Rows that stand for several carry their number in ``weight``.
+
     Ties collapse in the map-side part of the count, so a value held by a third of all rows costs one row
     per task. Missing values sort last ascending and first descending.
     """
-    counts = df.groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
+    number = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.groupBy(*group, column).agg(number.alias("_n"))
     sort = F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
-    return running_sum(counts, "_n", "_upto", [sort], group, ranges)
+    return running_sum(counts, {"_n": "_upto"}, [sort], group, ranges)
 
 
 def rank_in_group(
@@ -163,7 +176,7 @@ def exact_quantiles(
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
     ranged = ordered_ranges(counts, ascending(*keys, "value"), ranges)
     sizes = ranged.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    positions = running_sum_in_ranges(ranged, "_n", "_upto", ascending("value"), keys)
+    positions = running_sum_in_ranges(ranged, {"_n": "_upto"}, ascending("value"), keys)
     sized = attach_lookup(positions, sizes, keys)
     picks, values = [], []
     for p in probabilities:
@@ -240,11 +253,19 @@ def tile_limits(df: DataFrame, order: Sequence[str], tiles: int, ranges: int | N
 
 
 def with_tile(
-    df: DataFrame, order: Sequence[str], tiles: int, out: str, limits: Sequence[Column] | None = None
+    df: DataFrame,
+    order: Sequence[str],
+    tiles: int,
+    out: str,
+    limits: Sequence[Column] | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """``ntile(tiles) over (order by order)`` without moving the rows: each compares itself to the limits."""
+    """``ntile(tiles) over (order by order)`` without moving the rows: each compares itself to the limits.
+
+    The limits are found over ``source``, by default ``df`` itself, which must hold the same rows.
+    """
     if limits is None:
-        limits = tile_limits(df, order, tiles)
+        limits = tile_limits(df if source is None else source, order, tiles)
     key = _ordering_struct([F.col(c) for c in order])
     beyond = [F.when(key > limit, 1).otherwise(0) for limit in limits]
     return df.withColumn(out, reduce(lambda a, b: a + b, beyond, F.lit(1)))

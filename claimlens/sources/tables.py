@@ -36,13 +36,19 @@ def with_row_position(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW_POS, position)
 
 
+def spread_few_splits(df: DataFrame, key: str) -> DataFrame:
+    """Spread a source read in fewer splits than there are cores; larger sources stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def _pick(index: Column, names: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(n) for n in names])[index.cast("int")]
 
 
 def _claim_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Typed claims along with the line and order numbers the damaged form is keyed on."""
-    lines = with_row_position(read_table(spark, folder, "lineitem"))
+    lines = spread_few_splits(with_row_position(read_table(spark, folder, "lineitem")), ROW_POS)
     joined = (
         lines.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
