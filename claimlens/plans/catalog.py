@@ -378,7 +378,7 @@ def top_contractors(spark, folder):
 
 @query
 def suspect_mean_spike(spark, folder):
-    return rounded(summary.suspect_mean_spike(claims(spark, folder)), mean_premium_spike=6)
+    return summary.suspect_mean_spike(claims(spark, folder))
 
 
 @query
@@ -403,7 +403,7 @@ def ratio_by_tier(spark, folder):
 
 @query
 def decile_summary(spark, folder):
-    return rounded(summary.decile_summary(claims(spark, folder), ["PAYOUT_AUTHORIZED", ROW_POS]), avg_payout=6)
+    return summary.decile_summary(claims(spark, folder), ["PAYOUT_AUTHORIZED", ROW_POS])
 
 
 @query
@@ -418,7 +418,7 @@ def adjuster_tracker(spark, folder):
 
 @query
 def contractor_tracker(spark, folder):
-    return rounded(summary.contractor_tracker(claims(spark, folder)), avg_premium_spike=6)
+    return summary.contractor_tracker(claims(spark, folder))
 
 
 @query
@@ -451,27 +451,27 @@ def premium_deviation(spark, folder):
 
 @query
 def monthly_gratuity(spark, folder):
-    return rounded(summary.monthly_gratuity(claims(spark, folder)), mean_gratuity=6)
+    return summary.monthly_gratuity(claims(spark, folder))
 
 
 @query
 def daily_spike(spark, folder):
-    return rounded(summary.daily_spike(claims(spark, folder)), mean_spike=6)
+    return summary.daily_spike(claims(spark, folder))
 
 
 @query
 def spike_trend(spark, folder):
-    return rounded(windows.spike_trend(claims(spark, folder)), mean_spike=6, rolling_mean_spike=6)
+    return rounded(windows.spike_trend(claims(spark, folder)), rolling_mean_spike=9)
 
 
 @query
 def payout_by_property_type(spark, folder):
-    return rounded(summary.payout_by_property_type(claims(spark, folder)), mean=6, std=4)
+    return rounded(summary.payout_by_property_type(claims(spark, folder)), std=4)
 
 
 @query
 def payout_statistics(spark, folder):
-    return rounded(summary.describe_payouts(claims(spark, folder)), mean=6, std=4)
+    return rounded(summary.describe_payouts(claims(spark, folder)), std=4)
 
 
 @query
@@ -516,8 +516,7 @@ def first_suspect_claims(spark, folder):
 
 @query
 def reporting_mart(spark, folder):
-    mart = marts.reporting_mart(portfolio(spark, folder))
-    return rounded(mart, contractor_avg_premium_spike=6)
+    return marts.reporting_mart(portfolio(spark, folder))
 
 
 @query
@@ -589,7 +588,7 @@ def fixed_sample(spark, folder):
 
 @query
 def welch_test(spark, folder):
-    digits = dict(first_mean=6, second_mean=6, t_statistic=8, degrees_of_freedom=4, two_sided_p_value=7, one_sided_p_value=7)
+    digits = dict(t_statistic=8, degrees_of_freedom=4, two_sided_p_value=7, one_sided_p_value=7)
     return rounded(stats.welch_test(claims(spark, folder)), **digits)
 
 
