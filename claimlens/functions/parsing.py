@@ -43,9 +43,13 @@ def parse_mixed_date(text: Column) -> Column:
 
 
 def text_field(json_text: Column, name: str) -> Column:
-    """First text value of a field; null where the field is absent, '' where it is empty."""
+    """First text value of a field; null where the field is absent, '' where it is empty.
+
+    The long text is searched once for the whole match, which is never empty; its value is then cut out.
+    """
     pattern = TEXT_FIELD.format(name=re.escape(name))
-    return F.when(json_text.rlike(pattern), F.regexp_extract(json_text, pattern, 1))
+    whole = F.nullif(F.regexp_extract(json_text, pattern, 0), F.lit(""))
+    return F.regexp_extract(whole, pattern, 1)
 
 
 def number_field(json_text: Column, name: str, data_type: str = "decimal(18,2)") -> Column:

@@ -18,7 +18,7 @@ from claimlens.functions.parsing import (
     strip_all,
     text_field,
 )
-from claimlens.operators.ordered import ascending, attach_lookup, exact_medians
+from claimlens.operators.ordered import ascending, attach_lookup, broadcast_if_small, exact_medians
 
 
 def standardize_names(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -71,13 +71,11 @@ def decode_contractors(
 ) -> DataFrame:
     """Decode each distinct token once and join the names back.
 
-    The number of vendors is not known beforehand, so the join carries no hint: adaptive execution
-    broadcasts the names when their measured size allows and splits hot tokens otherwise.
+    The names are broadcast when their counted number allows.
     """
-    names = df.select(token).filter(F.col(token).isNotNull()).distinct()
-    return df.join(names.select(token, decode_ascii85(F.col(token)).alias(out)), token, "left").select(
-        *df.columns, out
-    )
+    tokens = df.select(token).filter(F.col(token).isNotNull()).distinct()
+    names = tokens.select(token, decode_ascii85(F.col(token)).alias(out))
+    return df.join(broadcast_if_small(names), token, "left").select(*df.columns, out)
 
 
 def unknown_currencies(df: DataFrame, rate: str = "EXCHANGE_RATE_USD") -> DataFrame:

@@ -10,6 +10,7 @@ from claimlens.operators.ordered import (
     RANGE,
     ascending,
     attach_lookup,
+    broadcast_if_small,
     ordered_ranges,
     rank_in_group,
     running_sum_in_ranges,
@@ -55,28 +56,23 @@ def reporting_mart(
     contractors = contractor_tracker(rows) if contractors is None else contractors
 
     # Missing keys match nothing here, as in an ordinary equi-join.
-    wide = wide.join(ranks, keys, "left")
+    wide = wide.join(broadcast_if_small(ranks), keys, "left")
     first = first_claim_keys(rows).withColumn("first_corrupt_claim", F.lit(1))
     wide = attach_lookup(wide, first, ["PROPERTY_ID", "INCIDENT_DATE"])
-    wide = wide.join(
-        adjusters.select(
-            F.col("adjuster_id").alias("ADJUSTER_ID"),
-            "total_bribes",
-            "unique_shell_companies",
-            F.col("total_authorized_payouts").alias("adjuster_total_authorized_payouts"),
-        ),
-        "ADJUSTER_ID",
-        "left",
-    ).join(
-        contractors.select(
-            F.col("contractor").alias("DECODED_CONTRACTOR"),
-            F.col("total_incidents").alias("contractor_total_incidents"),
-            F.col("total_payout_stolen").alias("contractor_total_payout_stolen"),
-            F.col("avg_premium_spike").alias("contractor_avg_premium_spike"),
-        ),
-        "DECODED_CONTRACTOR",
-        "left",
+    by_adjuster = adjusters.select(
+        F.col("adjuster_id").alias("ADJUSTER_ID"),
+        "total_bribes",
+        "unique_shell_companies",
+        F.col("total_authorized_payouts").alias("adjuster_total_authorized_payouts"),
+    )
+    by_contractor = contractors.select(
+        F.col("contractor").alias("DECODED_CONTRACTOR"),
+        F.col("total_incidents").alias("contractor_total_incidents"),
+        F.col("total_payout_stolen").alias("contractor_total_payout_stolen"),
+        F.col("avg_premium_spike").alias("contractor_avg_premium_spike"),
     )
+    wide = wide.join(broadcast_if_small(by_adjuster), "ADJUSTER_ID", "left")
+    wide = wide.join(broadcast_if_small(by_contractor), "DECODED_CONTRACTOR", "left")
     derived = [
         "valuation_tier",
         "payout_decile",

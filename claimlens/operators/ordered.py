@@ -20,6 +20,15 @@ from claimlens.session import checkpoint_dir
 
 RANGE = "_range"
 
+# A stored lookup of at most this many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+# A stored aggregate of at most this many rows may be ordered inside single tasks.
+ONE_TASK_ROWS = 1_000_000
+# Half-width of the rank interval searched for a quantile, and the accuracy of the first estimate. The
+# estimate is off by at most 1 / accuracy of the rows, so the interval always holds the quantile.
+RANK_MARGIN = 3e-4
+ACCURACY = 10_000
+
 
 def ascending(*names: str) -> list[Column]:
     """Ascending sort with missing values last."""
@@ -36,16 +45,33 @@ def ordered_ranges(df: DataFrame, order: Sequence[Column], ranges: int | None =
     return spread.withColumn(RANGE, F.spark_partition_id()).checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the checkpoint folder for several readers."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def broadcast_if_small(lookup: DataFrame) -> DataFrame:
+    """Store a lookup and mark it for broadcast when its counted rows allow.
+
+    Otherwise the join shuffles, and adaptive execution splits the hot keys.
+    """
+    kept = stored(lookup)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
 
 
 def attach_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
-    """Left join on keys where null equals null. ``bounded`` marks a lookup whose size is proven small."""
+    """Left join on keys where null equals null.
+
+    ``bounded`` marks a lookup whose size is proven small; any other is stored and counted first.
+    """
     renamed = [f"_key_{k}" for k in keys]
     side = lookup.withColumnsRenamed(dict(zip(keys, renamed)))
-    if bounded:
-        side = F.broadcast(side)
+    side = F.broadcast(side) if bounded else broadcast_if_small(side)
     return df.join(side, _null_safe(keys, renamed), "left").drop(*renamed)
 
 
@@ -97,6 +123,21 @@ def running_sum_in_ranges(
     return joined.withColumns(totals).drop(*helpers, RANGE)
 
 
+def running_sum_of_aggregate(
+    df: DataFrame,
+    values: dict[str, str],
+    order: Sequence[Column],
+    group: Sequence[str] = (),
+    ranges: int | None = None,
+) -> DataFrame:
+    """:func:`running_sum` of an aggregate, which is stored first and ordered in place while it is small."""
+    kept = stored(df)
+    if ranges is None and kept.count() <= ONE_TASK_ROWS:
+        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return kept.withColumns({o: F.sum(v).over(window) for v, o in values.items()})
+    return running_sum(kept, values, order, group, ranges)
+
+
 def next_in_group(
     df: DataFrame,
     columns: dict[str, str],
@@ -143,16 +184,23 @@ def value_positions(
     number = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*group, column).agg(number.alias("_n"))
     sort = F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
-    return running_sum(counts, {"_n": "_upto"}, [sort], group, ranges)
+    return running_sum_of_aggregate(counts, {"_n": "_upto"}, [sort], group, ranges)
 
 
 def rank_in_group(
     df: DataFrame, column: str, out: str, group: Sequence[str] = (), ranges: int | None = None
 ) -> DataFrame:
-    """``rank() over (partition by group order by column desc)`` by way of the distinct values."""
-    positions = value_positions(df, column, group, descending=True, ranges=ranges)
+    """``rank() over (partition by group order by column desc)`` of an aggregate, which is stored first.
+
+    A large aggregate is ranked by way of its distinct values, so that neither a group nor a run of equal
+    values has to fit one task.
+    """
+    kept = stored(df)
+    if ranges is None and kept.count() <= ONE_TASK_ROWS:
+        return kept.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.col(column).desc_nulls_first())))
+    positions = value_positions(kept, column, group, descending=True, ranges=ranges)
     ranks = positions.select(*group, column, (F.col("_upto") - F.col("_n") + 1).alias(out))
-    return attach_lookup(df, ranks, [*group, column])
+    return attach_lookup(kept, ranks, [*group, column])
 
 
 def exact_quantiles(
@@ -164,30 +212,57 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group and column, with ``n`` and array ``quantiles``.
 
-    The columns are counted by distinct value in one pass; null and NaN do not take part.
+    A first pass estimates each quantile from a mergeable sketch. A second counts the values close to the
+    estimates one by one and all others by the gap they fall in, so only a sliver of the distinct values is
+    shuffled and ordered. Null and NaN do not take part.
     """
-    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    long = (
-        df.select(*group, F.explode(F.array(*entries)).alias("_e"))
-        .select(*group, "_e.column", "_e.value")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    )
     keys = [*group, "column"]
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranged = ordered_ranges(counts, ascending(*keys, "value"), ranges)
-    sizes = ranged.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    positions = running_sum_in_ranges(ranged, {"_n": "_upto"}, ascending("value"), keys)
-    sized = attach_lookup(positions, sizes, keys)
-    picks, values = [], []
-    for p in probabilities:
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    clean = df.select(*group, *[F.when(~F.isnan(x), x).alias(f"_c{i}") for i, x in enumerate(numbers.values())])
+    wanted = sorted(set(probabilities))
+    ends = [e for p in wanted for e in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))]
+    estimates = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count(f"_c{i}").alias("n"),
+            F.percentile_approx(f"_c{i}", ends, ACCURACY).alias("ends"),
+        ).alias(f"_c{i}")
+        for i, c in enumerate(columns)
+    ]
+    sketch = clean.groupBy(*group).agg(*estimates)
+    sketch = sketch.select(*group, F.inline(F.array(*[f"_c{i}" for i in range(len(columns))]))).filter("n > 0")
+    # Without groups there is one row per column.
+    sketch = F.broadcast(stored(sketch)) if not group else broadcast_if_small(sketch)
+
+    entries = [F.struct(F.lit(c).alias("_column"), F.col(f"_c{i}").alias("value")) for i, c in enumerate(columns)]
+    long = clean.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.inline(F.array(*entries)))
+    matched = _null_safe([f"_g_{g}" for g in group] + ["_column"], keys)
+    sided = long.filter(F.col("value").isNotNull()).join(sketch, matched)
+    value, low, high = F.col("value"), F.col("ends"), F.col("ends")
+    near, gap = F.lit(False), F.lit(0)
+    for i in range(len(wanted)):
+        near = near | value.between(low[2 * i], high[2 * i + 1])
+        gap = gap + F.when(value > high[2 * i + 1], 1).otherwise(0)
+    counts = (
+        sided.select(*keys, "n", gap.alias("_gap"), F.when(near, value).alias("value"))
+        .groupBy(*keys, "n", "_gap", "value")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    # The far values of a gap lie below its near ones.
+    order = [F.col("_gap").asc(), F.col("value").asc_nulls_first()]
+    positions = running_sum_of_aggregate(counts, {"_n": "_upto"}, order, [*keys, "n"], ranges)
+    picks, found = [], {}
+    for i, p in enumerate(wanted):
         at = (F.col("n") - 1) * F.lit(float(p))
-        for rank in (F.floor(at), F.ceil(at)):
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
             inside = (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
-            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_v{len(picks)}"))
-        low, high = F.col(f"_v{len(picks) - 2}"), F.col(f"_v{len(picks) - 1}")
-        values.append(low + (high - low) * (at - F.floor(at)))
-    picked = sized.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    return picked.select(*keys, "n", F.array(*values).alias("quantiles"))
+            picks.append(F.max(F.when(inside, F.col("value"))).alias(f"_{end}{i}"))
+        below, above = F.col(f"_low{i}"), F.col(f"_high{i}")
+        exact = below + (above - below) * (at - F.floor(at))
+        missed = F.raise_error(F.lit("a quantile lies outside its estimated interval")).cast("double")
+        found[p] = F.when(below.isNull() | above.isNull(), missed).otherwise(exact)
+    picked = positions.groupBy(*keys, "n").agg(*picks)
+    return picked.select(*keys, "n", F.array(*[found[p] for p in probabilities]).alias("quantiles"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> dict[str, float | None]:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions.parsing import leading_digit
 from claimlens.functions.tails import two_sided_t
-from claimlens.operators.ordered import attach_lookup, value_positions
-from claimlens.session import checkpoint_dir
+from claimlens.operators.ordered import attach_lookup, stored, value_positions
 
 
 @F.pandas_udf("double")
@@ -119,8 +118,7 @@ def spearman(
     Equal pairs are counted first and stored; ranks belong to distinct values, never to single rows. The
     ranks are centred on their known mean, which keeps the sums exact to rounding.
     """
-    checkpoint_dir(df.sparkSession)
-    pairs = _pairs(df, x, y).groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    pairs = stored(_pairs(df, x, y).groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")))
     ranked = attach_lookup(pairs, average_ranks(pairs, x, "_rx", ranges), [x])
     ranked = attach_lookup(ranked, average_ranks(pairs, y, "_ry", ranges), [y])
     centre = pairs.agg(((F.sum("_n") + 1) / 2).alias("c")).scalar()

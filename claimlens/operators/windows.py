@@ -12,10 +12,10 @@ from claimlens.operators.cleaning import keep_first
 from claimlens.operators.ordered import (
     ascending,
     next_in_group,
-    ordered_ranges,
     rank_in_group,
     running_sum,
-    running_sum_in_ranges,
+    running_sum_of_aggregate,
+    stored,
     with_tile,
 )
 from claimlens.operators.summary import daily_spike, suspects
@@ -101,11 +101,12 @@ def cumulative_damage(df: DataFrame, ranges: int | None = None) -> DataFrame:
         F.lit(1).alias("one"),
     )
     order = [F.col("total_damage_usd").desc(), F.col("MANAGER_ID").asc_nulls_last()]
-    ranged = ordered_ranges(totals, order, ranges)
-    whole = ranged.agg(
+    kept = stored(totals)
+    whole = kept.agg(
         F.struct(F.sum("total_damage_usd").cast("double").alias("damage"), F.sum("one").alias("managers"))
     ).scalar()
-    placed = running_sum_in_ranges(ranged, {"total_damage_usd": "cumulative_damage", "one": "place"}, order)
+    sums = {"total_damage_usd": "cumulative_damage", "one": "place"}
+    placed = running_sum_of_aggregate(kept, sums, order, ranges=ranges)
     share = F.col("cumulative_damage").cast("double") / F.col("whole.damage")
     return placed.withColumn("whole", whole).select(
         "MANAGER_ID",

@@ -533,7 +533,7 @@ def claim_paths(spark, folder):
 @query
 def walked_paths(spark, folder):
     """The same paths found by walking the edge list."""
-    return graph.walk(graph.relationship_edges(pipeline.stored(summary.suspects(portfolio(spark, folder)))))
+    return graph.walk(graph.relationship_edges(ordered.stored(summary.suspects(portfolio(spark, folder)))))
 
 
 @query
@@ -642,8 +642,8 @@ def anomalies_by_country(spark, folder):
 @query
 def insight_document(spark, folder):
     """All results in one JSON document, read from claims stored once."""
-    stored = pipeline.stored(claims(spark, folder))
-    scored = pipeline.stored(
+    stored = ordered.stored(claims(spark, folder))
+    scored = ordered.stored(
         anomaly.isolation_forest(stored, [ROW_POS]).select("COUNTRY_CODE", *[c for c in anomaly.ANOMALY_COLUMNS if c != "COUNTRY_CODE"], "isolation_forest_flag", "isolation_forest_score")
     )
     return insights.insights(stored, scored)

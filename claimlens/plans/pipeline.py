@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from claimlens.functions.parsing import standard_name
 from claimlens.functions.risk import add_risk_features
@@ -17,12 +16,11 @@ from claimlens.operators.cleaning import (
     impute_dates,
     impute_medians,
     keep_first,
-    numeric_columns,
     parse_dates,
     standardize_names,
     strip_text,
 )
-from claimlens.session import checkpoint_dir
+from claimlens.operators.ordered import stored
 from claimlens.sources.tables import ROW_POS
 
 # Columns of the cleaned table, in the order of the source followed by the derived ones.
@@ -75,17 +73,5 @@ def clean(raw: DataFrame, order: Sequence[str] = (ROW_POS,)) -> DataFrame:
     order = [o if o in raw.columns else standard_name(o) for o in order]
     extra = [o for o in order if o not in COLUMNS]
     derived = derive(raw, keep=[ROW_POS, *extra])
-    checkpoint_dir(raw.sparkSession)
-    unique = keep_first(derived, order).select(*COLUMNS).checkpoint()
-    measured = [c for c in numeric_columns(unique)]
-    return unique.transform(lambda d: impute_medians(d, measured)).transform(fill_text).transform(strip_text)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the checkpoint folder for several readers."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def flagged(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("PHANTOM_CLAIM_SUSPECT") == 1)
+    unique = stored(keep_first(derived, order).select(*COLUMNS))
+    return unique.transform(impute_medians).transform(fill_text).transform(strip_text)

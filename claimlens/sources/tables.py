@@ -21,11 +21,22 @@ CONTRACTORS = {
     "SMALL": "Shadow Contracting LLC",
 }
 
+# The columns read of each order table. A given schema saves the job that would infer it.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_regionkey int",
+    "part": "p_partkey bigint, p_type string, p_size int, p_retailprice double",
+}
+
 ROW_POS = "ROW_POS"
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def with_row_position(df: DataFrame) -> DataFrame:
