@@ -5,13 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens.functions.parsing import leading_digit
 from claimlens.functions.tails import two_sided_t
 from claimlens.operators.ordered import attach_lookup, stored, value_positions
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_probability(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value; applied to result tables of one row."""
     return pd.Series([None if pd.isna(a) or pd.isna(b) else two_sided_t(a, b) for a, b in zip(t, df)], dtype="float64")
@@ -37,15 +38,14 @@ def welch_test(
         ]
     n1, n2 = F.col("first_count"), F.col("second_count")
     e1, e2 = F.col("first_variance") / n1, F.col("second_variance") / n2
-    enough = F.when(
-        (n1 < 2) | (n2 < 2), F.raise_error(F.lit("the t-test needs two values in each cohort")).cast("double")
-    ).otherwise(F.col("first_mean") - F.col("second_mean"))
+    t = (F.col("first_mean") - F.col("second_mean")) / F.sqrt(e1 + e2)
+    too_few = F.raise_error(F.lit("the t-test needs two values in each cohort")).cast("double")
     tested = df.agg(*measures).select(
         "first_count",
         "second_count",
         "first_mean",
         "second_mean",
-        (enough / F.sqrt(e1 + e2)).alias("t_statistic"),
+        F.when((n1 < 2) | (n2 < 2), too_few).otherwise(t).alias("t_statistic"),
         (F.pow(e1 + e2, F.lit(2)) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))).alias("degrees_of_freedom"),
     )
     p = F.col("two_sided_p_value")

@@ -29,13 +29,19 @@ MART_NUMBERS = (
 )
 # Quotes are doubled inside quoted text, which the metadata column needs.
 CSV_FORM = {"header": "true", "quote": '"', "escape": '"'}
-# Written text keeps its own spaces and its difference between empty and missing.
-CSV_TEXT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""'}
+# Written text keeps its own spaces.
+CSV_TEXT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA) -> DataFrame:
-    """Raw claims with a row position in file order: splits are ordered by file and offset."""
-    raw = spark.read.schema(schema).options(**CSV_FORM).csv(path)
+def read_raw_csv(
+    spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False
+) -> DataFrame:
+    """Raw claims with a row position in file order: splits are ordered by file and offset.
+
+    Empty text reads as missing. ``multi_line`` allows line breaks inside quotes, at the price of reading
+    each file in one task.
+    """
+    raw = spark.read.schema(schema).options(**CSV_FORM, multiLine=str(multi_line).lower()).csv(path)
     return raw.withColumn(ROW_POS, F.monotonically_increasing_id())
 
 
