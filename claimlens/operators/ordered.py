@@ -24,10 +24,13 @@ RANGE = "_range"
 BROADCAST_ROWS = 200_000
 # A stored aggregate of at most this many rows may be ordered inside single tasks.
 ONE_TASK_ROWS = 1_000_000
-# Half-width of the rank interval searched for a quantile, and the accuracy of the first estimate. The
-# estimate is off by at most 1 / accuracy of the rows, so the interval always holds the quantile.
-RANK_MARGIN = 3e-4
-ACCURACY = 10_000
+# A quantile is searched in a rank interval of this half-width, as a share of the rows. The sketches that place
+# the interval are off by at most 1 / ACCURACY and, each of them, by one row; above WHOLE_ROWS rows the
+# half-width exceeds both together, and up to there every value is counted on its own.
+RANK_MARGIN = 1e-3
+ACCURACY = 2_000
+SKETCH_PARTS = 64
+WHOLE_ROWS = 200_000
 
 
 def ascending(*names: str) -> list[Column]:
@@ -212,16 +215,18 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group and column, with ``n`` and array ``quantiles``.
 
-    A first pass estimates each quantile from a mergeable sketch. A second counts the values close to the
-    estimates one by one and all others by the gap they fall in, so only a sliver of the distinct values is
-    shuffled and ordered. Null and NaN do not take part.
+    A first pass estimates each quantile from sketches, merged in several parts so that no task receives
+    the sketches of all splits: the least lower and the greatest upper end over the parts bound the quantile
+    of the whole. A second pass counts the values inside the interval one by one and all others by the gap
+    they fall in, so only a sliver of the distinct values is shuffled and ordered. Null and NaN do not take
+    part.
     """
     keys = [*group, "column"]
-    numbers = {c: F.col(c).cast("double") for c in columns}
-    clean = df.select(*group, *[F.when(~F.isnan(x), x).alias(f"_c{i}") for i, x in enumerate(numbers.values())])
+    numbers = [F.col(c).cast("double") for c in columns]
+    clean = df.select(*group, *[F.when(~F.isnan(x), x).alias(f"_c{i}") for i, x in enumerate(numbers)])
     wanted = sorted(set(probabilities))
     ends = [e for p in wanted for e in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))]
-    estimates = [
+    sketches = [
         F.struct(
             F.lit(c).alias("column"),
             F.count(f"_c{i}").alias("n"),
@@ -229,8 +234,16 @@ def exact_quantiles(
         ).alias(f"_c{i}")
         for i, c in enumerate(columns)
     ]
-    sketch = clean.groupBy(*group).agg(*estimates)
-    sketch = sketch.select(*group, F.inline(F.array(*[f"_c{i}" for i in range(len(columns))]))).filter("n > 0")
+    parts = clean.withColumn("_part", F.spark_partition_id() % SKETCH_PARTS).groupBy(*group, "_part").agg(*sketches)
+    sketch = (
+        parts.select(*group, F.inline(F.array(*[f"_c{i}" for i in range(len(columns))])))
+        .filter("n > 0")
+        .groupBy(*keys)
+        .agg(
+            F.sum("n").alias("n"),
+            F.array(*[(F.max if i % 2 else F.min)(F.col("ends")[i]) for i in range(len(ends))]).alias("ends"),
+        )
+    )
     # Without groups there is one row per column.
     sketch = F.broadcast(stored(sketch)) if not group else broadcast_if_small(sketch)
 
@@ -239,7 +252,7 @@ def exact_quantiles(
     matched = _null_safe([f"_g_{g}" for g in group] + ["_column"], keys)
     sided = long.filter(F.col("value").isNotNull()).join(sketch, matched)
     value, low, high = F.col("value"), F.col("ends"), F.col("ends")
-    near, gap = F.lit(False), F.lit(0)
+    near, gap = F.col("n") <= WHOLE_ROWS, F.lit(0)
     for i in range(len(wanted)):
         near = near | value.between(low[2 * i], high[2 * i + 1])
         gap = gap + F.when(value > high[2 * i + 1], 1).otherwise(0)

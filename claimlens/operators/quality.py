@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.operators.cleaning import numeric_columns
-from claimlens.operators.ordered import attach_lookup, exact_quantiles
+from claimlens.operators.ordered import attach_lookup, exact_quantiles, stored
 
 PREMIUMS = ("CURRENT_PREMIUM_LOCAL", "BASE_PREMIUM_USD", "CURRENT_PREMIUM_USD")
 
@@ -84,7 +84,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 3) -
         for c in names
     ]
     long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    counts = long.groupBy("column_name", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(long.groupBy("column_name", "value", "number").agg(F.count(F.lit(1)).alias("n")))
     n, number = F.col("n"), F.col("number")
     mean = F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))
     totals = counts.groupBy("column_name").agg(

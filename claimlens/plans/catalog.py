@@ -252,7 +252,7 @@ def unknown_currencies(spark, folder):
 @query
 def risk_features(spark, folder):
     """Every measure of a claim, before deduplication and imputation, from the damaged form."""
-    return _derived(spark, folder).select(
+    return risk.add_risk_features(cleaning.extract_metadata(raw_claims(spark, folder))).select(
         "PROPERTY_ID",
         "EXCHANGE_RATE_USD",
         "VALUATION_USD",
@@ -360,7 +360,8 @@ PROFILED = ["PROPERTY_TYPE", "COUNTRY_CODE", "DECODED_CONTRACTOR", "SQUARE_FOOTA
 
 @query
 def column_profile(spark, folder):
-    return rounded(quality.profile(typed_claims(spark, folder), PROFILED), mean=4, stddev=4)
+    profiled = ordered.stored(typed_claims(spark, folder).select(*PROFILED))
+    return rounded(quality.profile(profiled), mean=4, stddev=4)
 
 
 # Aggregates

@@ -95,6 +95,23 @@ def test_quantiles(spark, ranges):
             ]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_quantiles_of_many_rows(spark, monkeypatch, parts):
+    """Far more rows than are counted singly, a third of them equal, in sorted splits."""
+    monkeypatch.setattr(ordered, "WHOLE_ROWS", 150_000)
+    n = 300_000
+    value = F.when(F.col("id") % 3 == 0, 70_000).otherwise(F.col("id") * 48_271 % 99_991 if parts == 1 else F.col("id"))
+    df = spark.range(0, n, 1, parts).select(value.cast("double").alias("v"))
+    values = sorted(r.v for r in df.collect())
+    probabilities = [0.25, 0.5, 0.9]
+    found = ordered.exact_quantiles(df, ["v"], probabilities).first()
+    assert found.n == n
+    for p, q in zip(probabilities, found.quantiles):
+        at = (n - 1) * p
+        low, high = values[int(at)], values[int(at) + 1]
+        assert q == pytest.approx(low + (high - low) * (at - int(at)))
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "a double")
     assert ordered.exact_quantiles(df, ["a"], [0.5]).collect() == []
