@@ -35,8 +35,8 @@ def reporting_mart(
 ) -> DataFrame:
     """The portfolio with tier, decile, running damage, ranks, first-claim mark and both trackers.
 
-    ``portfolio`` holds one row per property and date; it is stored once, in ranges of country and date,
-    and every part below reads that copy. The decile needs no further movement of rows. The trackers may be
+    ``portfolio`` is stored once, in ranges of country and date, and every part below reads that copy. Claims
+    equal in property and date are told apart by their stored row number. The decile needs no further movement of rows. The trackers may be
     given precomputed. No join carries a broadcast hint, since adjusters and contractors may be many:
     adaptive execution broadcasts by measured size and splits hot keys otherwise.
 
@@ -44,11 +44,12 @@ def reporting_mart(
     property alone would pair every suspect claim of a property with every claim of it.
     """
     order = ascending("INCIDENT_DATE", "PROPERTY_ID")
-    base = ordered_ranges(portfolio, [*ascending("COUNTRY_CODE"), *order], ranges)
+    base = ordered_ranges(portfolio, [*ascending("COUNTRY_CODE"), *order], ranges, row_id="_row")
     rows = base.drop(RANGE)
     damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
-    wide = running_sum_in_ranges(base, damage, order, ["COUNTRY_CODE"]).transform(with_tier)
-    wide = with_tile(wide, ["PAYOUT_AUTHORIZED", "PROPERTY_ID", "INCIDENT_DATE"], 10, "payout_decile", None, rows)
+    wide = running_sum_in_ranges(base, damage, [*order, F.col("_row")], ["COUNTRY_CODE"]).transform(with_tier)
+    by_payout = ["PAYOUT_AUTHORIZED", "PROPERTY_ID", "INCIDENT_DATE", "_row"]
+    wide = with_tile(wide, by_payout, 10, "payout_decile", source=rows)
 
     keys = ["COUNTRY_CODE", "ADJUSTER_ID"]
     ranks = rank_in_group(adjuster_payouts(rows), "fake_payout_total", "adjuster_rank", ["COUNTRY_CODE"], ranges)

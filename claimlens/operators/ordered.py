@@ -38,14 +38,20 @@ def ascending(*names: str) -> list[Column]:
     return [F.col(n).asc_nulls_last() for n in names]
 
 
-def ordered_ranges(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+def ordered_ranges(
+    df: DataFrame, order: Sequence[Column], ranges: int | None = None, row_id: str | None = None
+) -> DataFrame:
     """Rows tagged with the id of the contiguous range of ``order`` they lie in, stored once.
 
-    Without ``ranges`` the number of ranges follows the shuffle settings and adaptive coalescing.
+    Without ``ranges`` the number of ranges follows the shuffle settings and adaptive coalescing. ``row_id``
+    adds a number unique to each row; it is given after the shuffle and stored, so it never changes.
     """
     checkpoint_dir(df.sparkSession)
     spread = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
-    return spread.withColumn(RANGE, F.spark_partition_id()).checkpoint()
+    tagged = spread.withColumn(RANGE, F.spark_partition_id())
+    if row_id:
+        tagged = tagged.withColumn(row_id, F.monotonically_increasing_id())
+    return tagged.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:

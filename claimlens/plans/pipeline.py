@@ -64,14 +64,17 @@ def derive(raw: DataFrame, keep: Sequence[str] = (ROW_POS,)) -> DataFrame:
     return add_risk_features(read)
 
 
-def clean(raw: DataFrame, order: Sequence[str] = (ROW_POS,)) -> DataFrame:
-    """The cleaned table. ``order`` names the columns that give the file order of the raw rows.
+def finish(derived: DataFrame, order: Sequence[str]) -> DataFrame:
+    """First claim of each property and date in ``order``, with gaps filled and text trimmed.
 
-    The derived and deduplicated rows are checkpointed before imputation, because the medians and the
-    final rows both read them. Each derived measure is imputed on its own and not computed again.
+    The deduplicated rows are stored before imputation, because the medians and the final rows both read
+    them. Each derived measure is imputed on its own and not computed again.
     """
-    order = [o if o in raw.columns else standard_name(o) for o in order]
-    extra = [o for o in order if o not in COLUMNS]
-    derived = derive(raw, keep=[ROW_POS, *extra])
     unique = stored(keep_first(derived, order).select(*COLUMNS))
     return unique.transform(impute_medians).transform(fill_text).transform(strip_text)
+
+
+def clean(raw: DataFrame, order: Sequence[str] = (ROW_POS,)) -> DataFrame:
+    """The cleaned table. ``order`` names the columns that give the file order of the raw rows."""
+    order = [o if o in raw.columns else standard_name(o) for o in order]
+    return finish(derive(raw, keep=[ROW_POS, *[o for o in order if o not in COLUMNS]]), order)
