@@ -9,8 +9,7 @@ from claimlens.operators.summary import suspects
 
 
 def incident_node(property_id: Column, date: Column) -> Column:
-    day = F.coalesce(F.date_format(date, "yyyy-MM-dd HH:mm:ss"), F.lit("undated"))
-    return F.concat_ws("@", property_id, day)
+    return F.concat_ws("@", property_id, F.coalesce(date.cast("string"), F.lit("undated")))
 
 
 def relationship_edges(df: DataFrame) -> DataFrame:

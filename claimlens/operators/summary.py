@@ -163,7 +163,7 @@ def premium_deviation(df: DataFrame, column: str = "CURRENT_PREMIUM_USD") -> Dat
 
 def monthly_gratuity(df: DataFrame) -> DataFrame:
     dated = df.filter(F.col("INCIDENT_DATE").isNotNull())
-    month = F.date_trunc("month", F.col("INCIDENT_DATE")).cast("timestamp_ntz")
+    month = F.trunc(F.col("INCIDENT_DATE").cast("date"), "month").cast("timestamp_ntz")
     return dated.groupBy(month.alias("month")).agg(mean("ADJUSTER_GRATUITY").alias("mean_gratuity"))
 
 

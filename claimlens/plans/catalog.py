@@ -55,8 +55,8 @@ def plain(df: DataFrame) -> DataFrame:
             return c.cast("double").alias(f.name)
         if isinstance(f.dataType, T.IntegralType):
             return c.cast("bigint").alias(f.name)
-        if isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-            return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
+        if isinstance(f.dataType, T.TimestampNTZType):
+            return c.cast("string").alias(f.name)
         return c
 
     return df.select(*[column(f) for f in df.schema.fields])

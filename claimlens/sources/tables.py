@@ -134,7 +134,7 @@ def damaged_claims(spark: SparkSession, folder: str) -> DataFrame:
         F.when(order % 997 == 0, F.lit(None))
         .when(order % 991 == 1, "0xZZ")
         .when(line % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(seconds))))
-        .otherwise(F.date_format("INCIDENT_DATE", "yyyy-MM-dd"))
+        .otherwise(F.col("INCIDENT_DATE").cast("date").cast("string"))
     )
     tokens = {name: a85encode(name.encode()).decode() for name in CONTRACTORS.values()}
     token = F.create_map(*[F.lit(v) for pair in tokens.items() for v in pair])[F.col("DECODED_CONTRACTOR")]
