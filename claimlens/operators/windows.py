@@ -23,20 +23,22 @@ from claimlens.operators.summary import daily_spike, suspects
 DAY_MICROS = 86_400_000_000
 
 
-def repeat_claims(df: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Claims whose manager's next claim went to the same adjuster, with that next claim."""
-    claim = df.select("PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED")
+def repeat_claims(df: DataFrame, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Claims whose manager's next claim went to the same adjuster, with that next claim.
+
+    ``ties`` orders claims equal in every column shown, so that copies spread over several ranges.
+    """
+    shown = ["PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED"]
     following = {
         "PROPERTY_ID": "next_property_id",
         "INCIDENT_DATE": "next_incident_date",
         "ADJUSTER_ID": "next_adjuster_id",
         "PAYOUT_AUTHORIZED": "next_payout_authorized",
     }
-    order = ["INCIDENT_DATE", "PROPERTY_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED"]
-    led = next_in_group(claim, following, ["MANAGER_ID"], order, ranges)
-    return led.filter(F.col("ADJUSTER_ID") == F.col("next_adjuster_id")).orderBy(
-        *ascending("MANAGER_ID", "INCIDENT_DATE", "PROPERTY_ID")
-    )
+    order = ["INCIDENT_DATE", "PROPERTY_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED", *ties]
+    led = next_in_group(df.select(*shown, *ties), following, ["MANAGER_ID"], order, ranges)
+    repeated = led.filter(F.col("ADJUSTER_ID") == F.col("next_adjuster_id")).drop(*ties)
+    return repeated.orderBy(*ascending("MANAGER_ID", "INCIDENT_DATE", "PROPERTY_ID"))
 
 
 def payout_deciles(df: DataFrame, ties: Sequence[str]) -> DataFrame:

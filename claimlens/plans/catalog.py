@@ -187,10 +187,9 @@ def manager_payout_json(spark, folder):
 def clustered_layout(spark, folder):
     """Claims stored in order of adjuster and date, and read back."""
     path = scratch_path(spark, "clustered")
-    files.write_clustered(
-        claims(spark, folder).select("ADJUSTER_ID", "INCIDENT_DATE", "PROPERTY_ID", "PAYOUT_AUTHORIZED"), path
-    )
-    return spark.read.parquet(path)
+    rows = claims(spark, folder).select("ADJUSTER_ID", "INCIDENT_DATE", "PROPERTY_ID", "PAYOUT_AUTHORIZED", ROW_POS)
+    files.write_clustered(rows, path, spread=[ROW_POS])
+    return spark.read.parquet(path).drop(ROW_POS)
 
 
 # Cleaning and projections
@@ -490,7 +489,7 @@ def rank_adjusters_by_country(spark, folder):
 
 @query
 def repeat_claims(spark, folder):
-    return windows.repeat_claims(claims(spark, folder))
+    return windows.repeat_claims(claims(spark, folder), [ROW_POS])
 
 
 @query

@@ -41,11 +41,11 @@ def relate(spark: SparkSession, out: str) -> DataFrame:
     """Cleaned table to ranks, repeat claims, relationship paths, trackers and the wide mart."""
     claims = files.read_partitioned(spark, f"{out}/claims", pipeline.COLUMNS)
     files.write_csv(windows.rank_adjusters(claims), f"{out}/reports/adjuster_ranks", quote_all=True)
-    files.write_csv(windows.repeat_claims(claims), f"{out}/reports/repeat_claims")
+    placed = with_row_position(spark.read.parquet(f"{out}/claims"))
+    files.write_csv(windows.repeat_claims(placed, [ROW_POS]), f"{out}/reports/repeat_claims")
     files.write_csv(windows.first_suspect_claims(claims), f"{out}/reports/first_suspect_claims")
     files.write_csv(summary.contractor_concentration(claims), f"{out}/reports/contractor_concentration")
     files.write_csv(summary.ratio_by_tier(claims), f"{out}/reports/ratio_by_tier")
-    placed = with_row_position(spark.read.parquet(f"{out}/claims"))
     files.write_csv(summary.decile_summary(placed, ["PAYOUT_AUTHORIZED", ROW_POS]), f"{out}/reports/payout_deciles")
     files.write_csv(graph.claim_paths(claims), f"{out}/reports/claim_paths")
     files.write_csv(graph.relationship_concentration(claims), f"{out}/reports/relationships")

@@ -74,9 +74,17 @@ def read_partitioned(spark: SparkSession, path: str, columns: Sequence[str] | No
     return df.select(*columns) if columns else df
 
 
-def write_clustered(df: DataFrame, path: str, keys: Sequence[str] = ("ADJUSTER_ID", "INCIDENT_DATE")) -> None:
-    """Parquet sorted by adjuster and date, so filters on them skip row groups; hot adjusters split by date."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+def write_clustered(
+    df: DataFrame,
+    path: str,
+    keys: Sequence[str] = ("ADJUSTER_ID", "INCIDENT_DATE"),
+    spread: Sequence[str] = (),
+) -> None:
+    """Parquet sorted by adjuster and date, so filters on them skip row groups.
+
+    A hot adjuster splits by date; ``spread``, such as the row position, also splits rows equal in both.
+    """
+    df.repartitionByRange(*keys, *spread).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

@@ -267,7 +267,7 @@ def test_spearman_beyond_one_task(stored_claims):
 
 
 def test_repeat_claims_over_ranges(stored_claims):
-    one = windows.repeat_claims(stored_claims, ranges=1)
-    many = windows.repeat_claims(stored_claims, ranges=9)
+    one = windows.repeat_claims(stored_claims, [ROW_POS], ranges=1)
+    many = windows.repeat_claims(stored_claims, [ROW_POS], ranges=9)
     assert one.exceptAll(many).count() == 0 and one.count() == many.count()
     assert one.filter("next_incident_date < INCIDENT_DATE").count() == 0

@@ -150,3 +150,20 @@ def test_rolling_mean_excludes_the_far_end(spark):
     for day in days:
         inside = [v for d, v in days.items() if day - 30 < d <= day]
         assert got[day] == pytest.approx(sum(inside) / len(inside))
+
+
+def test_hot_key_and_copies_spread_over_ranges(spark):
+    """A third of the rows on one key, all of them copies: no range holds more than its share."""
+    copies = F.col("id") % 3 == 0
+    rows = ordered.stored(
+        spark.range(30_000).select(
+            F.when(copies, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 11).cast("string"))).alias("k"),
+            F.when(copies, 1).otherwise(F.col("id")).alias("o"),
+            F.struct(F.lit(0).cast("bigint").alias("file"), F.col("id").alias("row")).alias("p"),
+        )
+    )
+    ranged = ordered.ordered_ranges(rows, ascending("k", "o", "p"), 12)
+    sizes = [n for _, n in ordered._range_sizes(ranged)]
+    assert len(sizes) == 12 and max(sizes) < 2 * 30_000 / 12
+    counted = ordered.running_sum(rows.withColumn("one", F.lit(1)), {"one": "n"}, ascending("o", "p"), ["k"], 12)
+    assert counted.filter("k = 'hot'").agg(F.max("n"), F.countDistinct("n")).first() == (10_000, 10_000)
