@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 TEXT_FIELD = r'"{name}"\s*:\s*"([^"]*)"'
 NUMBER_FIELD = r'"{name}"\s*:\s*([-+]?\d+(?:\.\d+)?)'
 
+# The characters that count as whitespace at the ends of a text.
+WHITESPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Last second a nanosecond timestamp can hold; later epoch values count as unreadable.
 LAST_EPOCH_SECOND = 9223372036
 
@@ -20,7 +26,7 @@ WRITTEN_FORMATS = ("M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy")
 
 def strip_all(text: Column) -> Column:
     """Remove every kind of leading and trailing whitespace, not only spaces."""
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def parse_mixed_date(text: Column) -> Column:

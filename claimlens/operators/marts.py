@@ -35,16 +35,16 @@ def reporting_mart(
 ) -> DataFrame:
     """The portfolio with tier, decile, running damage, ranks, first-claim mark and both trackers.
 
-    ``portfolio`` is stored once, in ranges of country and date, and every part below reads that copy. Claims
-    equal in property and date are told apart by their stored row number. The decile needs no further movement
-    of rows. The trackers may be given precomputed. Each joined side is stored and counted, and broadcast only
-    where it is small.
+    ``portfolio`` is stored once, in ranges of country and date, and every part below reads the columns it
+    needs from that copy. Claims equal in property and date are told apart by their stored row number. The
+    decile needs no further movement of rows. The trackers may be given precomputed. Each joined side is stored
+    and counted, and broadcast only where it is small.
 
     The first-claim mark joins on property and date, which keeps one output row per input row; a join on the
     property alone would pair every suspect claim of a property with every claim of it.
     """
     order = ascending("INCIDENT_DATE", "PROPERTY_ID")
-    base = ordered_ranges(portfolio, [*ascending("COUNTRY_CODE"), *order], ranges, row_id="_row")
+    base = ordered_ranges(portfolio, [*ascending("COUNTRY_CODE"), *order], ranges, row_id="_row", wide=True)
     rows = base.drop(RANGE)
     damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
     wide = running_sum_in_ranges(base, damage, [*order, F.col("_row")], ["COUNTRY_CODE"]).transform(with_tier)

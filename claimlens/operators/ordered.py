@@ -2,7 +2,7 @@
 
 The rows are range-partitioned on the full ordering, so a hot key spreads over as many ranges as its share
 of the rows needs. Each range is worked on locally and a small per-range carry (one row per range that
-starts inside a group) links neighbouring ranges. The ranged rows are checkpointed once, because sampling
+starts inside a group) links neighbouring ranges. The ranged rows are stored once, because sampling
 could place the range limits differently if they were computed again.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimlens.session import checkpoint_dir
+from claimlens.session import scratch_path, shared_folder
 
 RANGE = "_range"
 
@@ -39,27 +39,38 @@ def ascending(*names: str) -> list[Column]:
 
 
 def ordered_ranges(
-    df: DataFrame, order: Sequence[Column], ranges: int | None = None, row_id: str | None = None
+    df: DataFrame,
+    order: Sequence[Column],
+    ranges: int | None = None,
+    row_id: str | None = None,
+    wide: bool = False,
 ) -> DataFrame:
     """Rows tagged with the id of the contiguous range of ``order`` they lie in, stored once.
 
     Without ``ranges`` the number of ranges follows the shuffle settings and adaptive coalescing. ``row_id``
-    adds a number unique to each row; it is given after the shuffle and stored, so it never changes.
+    adds a number unique to each row; it is given after the shuffle and stored, so it never changes. ``wide``
+    stores by column, for rows whose readers need few columns each.
     """
-    checkpoint_dir(df.sparkSession)
     spread = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
     tagged = spread.withColumn(RANGE, F.spark_partition_id())
     if row_id:
         tagged = tagged.withColumn(row_id, F.monotonically_increasing_id())
-    return tagged.checkpoint()
+    return stored_by_column(tagged) if wide else stored(tagged)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the checkpoint folder for several readers."""
-    checkpoint_dir(df.sparkSession)
+    """The same rows from a reliable checkpoint, for several readers."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored_by_column(df: DataFrame) -> DataFrame:
+    """The same rows from a Parquet table in the shared folder, for several readers of few columns each."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(lookup: DataFrame) -> DataFrame:
     """Store a lookup and mark it for broadcast when its counted rows allow.
 

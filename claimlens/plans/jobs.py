@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimlens.operators import anomaly, graph, marts, quality, stats, summary, windows
 from claimlens.operators.insights import insights
-from claimlens.operators.ordered import stored
+from claimlens.operators.ordered import stored, stored_by_column
 from claimlens.plans import pipeline
 from claimlens.sources import files
 from claimlens.sources.tables import ROW_POS, with_row_position
@@ -23,7 +23,7 @@ def prepare(spark: SparkSession, raw_csv: str, out: str) -> DataFrame:
     The reports on all rows, before duplicates go, are written as well.
     """
     raw = files.read_raw_csv(spark, raw_csv)
-    derived = stored(pipeline.derive(raw))
+    derived = stored_by_column(pipeline.derive(raw))
     files.write_csv(summary.top_adjusters(derived), f"{out}/reports/top_adjusters")
     files.write_csv(summary.top_contractors(derived), f"{out}/reports/top_contractors")
     files.write_csv(summary.suspect_mean_spike(derived), f"{out}/reports/suspect_mean_spike")

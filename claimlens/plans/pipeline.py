@@ -20,7 +20,7 @@ from claimlens.operators.cleaning import (
     standardize_names,
     strip_text,
 )
-from claimlens.operators.ordered import stored
+from claimlens.operators.ordered import stored_by_column
 from claimlens.sources.tables import ROW_POS
 
 # Columns of the cleaned table, in the order of the source followed by the derived ones.
@@ -70,7 +70,7 @@ def finish(derived: DataFrame, order: Sequence[str]) -> DataFrame:
     The deduplicated rows are stored before imputation, because the medians and the final rows both read
     them. Each derived measure is imputed on its own and not computed again.
     """
-    unique = stored(keep_first(derived, order).select(*COLUMNS))
+    unique = stored_by_column(keep_first(derived, order).select(*COLUMNS))
     return unique.transform(impute_medians).transform(fill_text).transform(strip_text)
 
 

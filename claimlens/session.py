@@ -25,8 +25,8 @@ def build_session(app_name: str = "claimlens", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder reliable checkpoints go to.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and intermediate tables.
 
     On a cluster this is the shared folder named by ``spark.checkpoint.dir``. Only a local session may
     fall back to a folder of its own, because executors elsewhere could not read it.
@@ -45,5 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table, next to the checkpoints."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder for an intermediate table, deleted when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import anomaly, cleaning, graph, marts, quality, stats, summary, windows
 from claimlens.operators.insights import insights
+from claimlens.operators.ordered import exact_medians, stored
 from claimlens.plans import pipeline
 from claimlens.plans.catalog import portfolio
 from claimlens.session import scratch_path
@@ -113,7 +114,7 @@ def test_clean_does_not_depend_on_partitions(spark, small):
 
 
 def test_mart_keeps_rows_and_takes_trackers(spark, small):
-    base = pipeline.stored(portfolio(spark, small))
+    base = stored(portfolio(spark, small))
     mart = marts.reporting_mart(base, ranges=5)
     assert mart.count() == base.count()
     assert len(mart.columns) == len(base.columns) + 12
@@ -125,7 +126,7 @@ def test_mart_keeps_rows_and_takes_trackers(spark, small):
 def test_mart_does_not_fan_out(spark, small):
     base = portfolio(spark, small)
     suspects = base.filter("PHANTOM_CLAIM_SUSPECT = 1").limit(40)
-    one_property = pipeline.stored(suspects.withColumn("PROPERTY_ID", F.lit("PRP-1")).dropDuplicates(["INCIDENT_DATE"]))
+    one_property = stored(suspects.withColumn("PROPERTY_ID", F.lit("PRP-1")).dropDuplicates(["INCIDENT_DATE"]))
     mart = marts.reporting_mart(one_property)
     assert mart.count() == one_property.count()
     managers = one_property.select("MANAGER_ID").distinct().count()
@@ -133,7 +134,7 @@ def test_mart_does_not_fan_out(spark, small):
 
 
 def test_walk_agrees_with_recursive_sql(spark, small):
-    edges = pipeline.stored(graph.relationship_edges(portfolio(spark, small)))
+    edges = stored(graph.relationship_edges(portfolio(spark, small)))
     edges.createOrReplaceTempView("edges")
     sql = spark.sql(
         """WITH RECURSIVE w(incident, root, depth, node, node_type, path) AS (
@@ -176,7 +177,7 @@ def test_forest_finds_planted_outliers_under_any_partitioning(spark):
 def test_forest_scores_agree_with_a_walk_down_each_tree(spark):
     df = forest_input(spark)
     matrix = anomaly.feature_matrix(df, ["a", "b"])
-    nodes = pipeline.stored(anomaly.fit_forest(matrix, ["i"], trees=9, sample=32))
+    nodes = stored(anomaly.fit_forest(matrix, ["i"], trees=9, sample=32))
     table = {(n.tree, n.node): n for n in nodes.collect()}
     assert {t for t, _ in table} == set(range(9))
     got = {r.i: r.isolation_forest_score for r in anomaly.score(matrix, anomaly.forest_arrays(nodes)).collect()}
@@ -191,7 +192,7 @@ def test_forest_scores_agree_with_a_walk_down_each_tree(spark):
 
 
 def test_anomaly_tables(stored_claims):
-    scored = pipeline.stored(anomaly.isolation_forest(stored_claims, [ROW_POS], trees=20))
+    scored = stored(anomaly.isolation_forest(stored_claims, [ROW_POS], trees=20))
     rate = anomaly.anomaly_rate(scored).first()
     assert rate.anomaly_count == anomaly.anomalies(scored).count() == total(anomaly.anomalies_by_country(scored), "anomalies")
     assert rate.anomaly_rate == pytest.approx(rate.anomaly_count / stored_claims.count())
@@ -206,10 +207,8 @@ def test_stream_routes_each_claim_once(spark, small):
     arriving = scratch_path(spark, "arriving")
     rows.repartition(3).write.parquet(arriving)
     rows.limit(500).write.mode("append").parquet(arriving)
-    known = pipeline.stored(rows)
+    known = stored(rows)
     forest = anomaly.forest_arrays(anomaly.fit_forest(anomaly.feature_matrix(known), ["PROPERTY_ID", "INCIDENT_DATE"], trees=20))
-    from claimlens.operators.ordered import exact_medians
-
     medians = exact_medians(known, anomaly.FEATURES)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
     queue = screening.review_queue(stream, forest, medians)
