@@ -153,10 +153,9 @@ def _columns(spec: str) -> str:
     return ", ".join(out)
 
 
-def _from(table: str, spec: str, rest: str = "", **own: str) -> str:
-    """Columns of a shared table, or of the last table in ``own``."""
-    shared = [table] if table in CTES else []
-    return _with(shared, f"SELECT {_columns(spec)} FROM {table} {rest}", **own)
+def _from(table: str, spec: str, rest: str = "", needs: str = "", **own: str) -> str:
+    """Columns of a shared table, or of a table in ``own`` built from the shared table ``needs``."""
+    return _with([needs or table], f"SELECT {_columns(spec)} FROM {table} {rest}", **own)
 
 
 def _mean(column: str) -> str:
@@ -367,7 +366,10 @@ ORACLES: dict[str, str] = {
     CASE WHEN PAYOUT_AUTHORIZED <> 0 THEN ADJUSTER_KICKBACK_RATIO END AS ADJUSTER_KICKBACK_RATIO FROM claims""",
     ),
     "quoted_rank_file": _from(
-        "r", "COUNTRY_CODE ADJUSTER_ID $fake_payout_total #adjuster_rank", r=RANKS.format(source="suspects")
+        "r",
+        "COUNTRY_CODE ADJUSTER_ID $fake_payout_total #adjuster_rank",
+        needs="suspects",
+        r=RANKS.format(source="suspects"),
     ),
     "manager_payout_json": _with(
         ["claims"],
@@ -642,6 +644,7 @@ ORACLES: dict[str, str] = {
         "review",
         """PROPERTY_ID MANAGER_ID ADJUSTER_ID DECODED_CONTRACTOR $PAYOUT_AUTHORIZED $PREMIUM_SPIKE_USD
     $TOTAL_FINANCIAL_DAMAGE_USD PAYOUT_TO_VALUE_RATIO""",
+        needs="suspects",
         review="""SELECT * FROM suspects ORDER BY TOTAL_FINANCIAL_DAMAGE_USD DESC, PROPERTY_ID, MANAGER_ID, ADJUSTER_ID,
     DECODED_CONTRACTOR, PAYOUT_AUTHORIZED, PREMIUM_SPIKE_USD, PAYOUT_TO_VALUE_RATIO LIMIT 5""",
     ),
@@ -649,6 +652,7 @@ ORACLES: dict[str, str] = {
         "audited",
         """PROPERTY_ID @INCIDENT_DATE MANAGER_ID ADJUSTER_ID $PAYOUT_AUTHORIZED $ADJUSTER_GRATUITY $BASE_PREMIUM_USD
     $CURRENT_PREMIUM_LOCAL COUNTRY_CODE INCIDENT_CLASSIFICATION $TOTAL_FINANCIAL_DAMAGE_USD #PHANTOM_CLAIM_SUSPECT""",
+        needs="suspects",
         audited=f"""SELECT * FROM suspects ORDER BY PROPERTY_ID, INCIDENT_DATE, {", ".join(CLAIM_ORDER)},
     TOTAL_FINANCIAL_DAMAGE_USD LIMIT 150000""",
     ),
@@ -702,5 +706,3 @@ ORACLES: dict[str, str] = {
     round(regr_r2({Y}, {X}), 10) AS r_squared, count(*) AS observations FROM claims""",
     ),
 }
-for _name in ("quoted_rank_file", "policy_review", "audit_rows"):
-    ORACLES[_name] = _with(["suspects"], "").removesuffix("\n") + ",\n" + ORACLES[_name].removeprefix("WITH ")
