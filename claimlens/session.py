@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,8 +27,8 @@ def build_session(app_name: str = "claimlens", master: str | None = None, **conf
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``. Only a local session may
-    fall back to a folder of its own, because executors elsewhere could not read it.
+    This is the shared folder named by ``spark.checkpoint.dir``; where that is unset, a folder below the
+    warehouse, which all executors reach as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -37,9 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        configured = tempfile.mkdtemp(prefix="claimlens-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_claimlens"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
