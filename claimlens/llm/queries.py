@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import line_dedup, url_filters
+from claimlens.llm import decontamination, line_dedup, near_dedup, url_filters
 from claimlens.llm.oracles import ORACLES as ORACLES
 from claimlens.llm.tables import table
 
@@ -23,6 +23,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        decontamination.item_digest().alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "longest",
+    )
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url")
     return url_filters.judge(pages, URL_RULES).drop("url")
@@ -30,5 +48,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op10_url_filters": op10_url_filters,
 }
