@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, line_dedup, near_dedup, quality, toxicity, url_filters
+from claimlens.llm import decontamination, fingerprints, language, line_dedup, near_dedup, quality, toxicity, url_filters
 from claimlens.llm.oracles import ORACLES as ORACLES
 from claimlens.llm.tables import table
 
@@ -32,6 +32,15 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontamination.occurrences(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -60,6 +69,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_language_id": op6_language_id,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_toxicity": op8_toxicity,
     "op10_url_filters": op10_url_filters,
