@@ -19,25 +19,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
+from claimlens.llm.tables import kept
 
-SAMPLES = 64
+SAMPLES = 128
 TERMS = 2**15
 PIECE_BYTES = 1_000_000
-_TABLES: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
 def variates() -> tuple[np.ndarray, ...]:
-    """ln c - r, r and b of every term class and draw, and the value a for a weight of 1; the same in every task."""
-    key = (TERMS, SAMPLES)
-    if key not in _TABLES:
+    """ln c - r, r and b of every term class and draw, and ln a for a weight of 1; the same in every task."""
+
+    def make() -> tuple[np.ndarray, ...]:
         rng = np.random.Generator(np.random.PCG64(41))
         shape = (TERMS, SAMPLES)
         r = rng.standard_gamma(2.0, shape, dtype=np.float32)
         c = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32))
         b = rng.random(shape, dtype=np.float32)
         # ln a = ln c - r (t - b) - r, and for a weight of 1 t = floor(b) = 0.
-        _TABLES[key] = (c - r, r, b, c - r + r * b)
-    return _TABLES[key]
+        return c - r, r, b, c - r + r * b
+
+    return kept(f"variates {TERMS} {SAMPLES}", make)
 
 
 def weighted_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+import types
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +55,14 @@ def pieces(batch, column: str, most_bytes: int) -> Iterable:
         stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` returned first in this Python process, so that a reused worker need not make it for every task.
+
+    Task functions travel with their code, so their own globals are new in each task.
+    """
+    store = sys.modules.setdefault("_claimlens_kept", types.ModuleType("_claimlens_kept")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

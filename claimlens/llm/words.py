@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from claimlens.llm.tables import kept
+
 BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -24,7 +26,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _VALUES = np.random.Generator(np.random.PCG64(20_231)).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,9 +36,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i up to n, kept for the next call."""
-    if not _POWERS or len(_POWERS[0][0]) < n + 1:
-        size = 1 << (n + 1).bit_length()
+    """BASE**i and BASE**-i modulo 2**64 for i up to n at least."""
+    size = 1 << max(n + 1, 2**20).bit_length()
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
         made = []
         for base in (BASE, pow(BASE, -1, 2**64)):
             p = np.ones(size, dtype=np.uint64)
@@ -46,8 +48,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
                 p[filled : 2 * filled] = p[:filled] * np.uint64(factor)
                 filled, factor = 2 * filled, factor * factor % 2**64
             made.append(p)
-        _POWERS[0] = (made[0], made[1])
-    return _POWERS[0]
+        return made[0], made[1]
+
+    return kept(f"powers {size}", make) if size <= 2**23 else make()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
