@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
-from claimlens.llm.tables import pieces
+from claimlens.llm.tables import pieces, without_keys
 
 WIDTH = 10
 SHARD_BYTES = 4_000_000
@@ -255,6 +255,5 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", te
 
     Only the keys of affected documents move; rows that share key and text share their fate.
     """
-    bad = occurrences(docs, tests, key, text, **options).where("n_hit > 0").select(F.col(key).alias("_doc"), "_sig").distinct()
-    marked = docs.withColumn("_key", F.xxhash64(text))
-    return marked.join(bad, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_sig")), "left_anti").drop("_key")
+    bad = occurrences(docs, tests, key, text, **options).where("n_hit > 0").select(key, "_sig").distinct()
+    return without_keys(docs, bad, [F.col(key), F.xxhash64(text)])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
 from claimlens.llm.labelled import held_out, sample_ids, spread_parts, with_texts
-from claimlens.llm.tables import pieces, stored
+from claimlens.llm.tables import pieces, stored, without_keys
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -247,5 +247,5 @@ def keep_identified(docs: DataFrame, net: Net, key: str = "doc_id", text: str =
     """
     judged = predict(docs, net, key, text)
     kept = ((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).cast("int")
-    gone = judged.groupBy(F.col(key).alias("_gone")).agg(F.max(kept).alias("_kept")).where("_kept = 0").select("_gone")
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = judged.groupBy(key).agg(F.max(kept).alias("_kept")).where("_kept = 0").select(key)
+    return without_keys(docs, gone, [F.col(key)])

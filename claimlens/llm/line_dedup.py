@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.tables import stored
+from claimlens.llm.tables import free, stored
 
 WINDOW = 3
 # A second hash of the same lines starts from another value, so that a window is known by 128 bits.
@@ -61,15 +61,14 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     key and text count as one place and keep or lose the same lines; among equal keys the text's hash decides
     which is earlier. A null key comes first. Columns named ``n_lines`` and ``n_removed`` are replaced.
     """
-    gone = repeated_lines(docs, key, text, width)
     plain = docs.drop("n_lines", "n_removed")
-    at = plain.withColumn("_key", F.xxhash64(text)).join(
-        gone, F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_sig")), "left"
-    )
-    numbered = F.filter(_lines(F.col(text)), lambda line, k: ~F.array_contains("_gone", k))
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(numbered, "\n"))
+    doc, sig, lines, own = free(plain, "_doc", "_sig", "_gone", "_own")
+    gone = repeated_lines(plain, key, text, width).toDF(doc, sig, lines)
+    at = plain.withColumn(own, F.xxhash64(text)).join(gone, F.col(key).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sig)), "left")
+    numbered = F.filter(_lines(F.col(text)), lambda line, k: ~F.array_contains(lines, k))
+    kept = F.when(F.col(lines).isNull(), F.col(text)).otherwise(F.array_join(numbered, "\n"))
     return at.select(
         *[(kept if c == text else F.col(c)).alias(c) for c in plain.columns],
         F.coalesce(F.size(_lines(F.col(text))), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_removed"),
     )

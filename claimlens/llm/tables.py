@@ -33,6 +33,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken, made = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        made.append(name)
+    return made
+
+
+def without_keys(df: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows whose keys are not among those of ``gone`` (its columns in the order of ``keys``); null equals null."""
+    left, right = free(df, *(f"_left{k}" for k in range(len(keys)))), free(df, *(f"_right{k}" for k in range(len(keys))))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)]
+    test = same[0] if len(same) == 1 else same[0] & same[1]
+    return df.withColumns(dict(zip(left, keys))).join(gone.toDF(*right), test, "left_anti").drop(*left)
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other letter as it is."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.llm.tables import ascii_lower
+from claimlens.llm.tables import ascii_lower, free
 
 # One trie holds at most so many characters of rules (some tens of MB in a task); more rules make more tries,
 # each broadcast and walked in a pass of its own.
@@ -95,7 +95,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
         held += len(rule.host) + len(rule.path)
     context = pages.sparkSession.sparkContext
     judged = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    judged = judged.withColumn("_best", F.lit(None).cast("struct<labels:int,chars:int,block:boolean,rule:string>"))
+    best, new = free(judged, "_best", "_new")
+    judged = judged.withColumn(best, F.lit(None).cast("struct<labels:int,chars:int,block:boolean,rule:string>"))
     for block in blocks:
         trie = context.broadcast(build_trie(block))
 
@@ -113,8 +114,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFram
                     dtype=object,
                 )
 
-        judged = judged.withColumn("_new", match("host", "path"))
-        new = F.when(F.col("_new.rule").isNotNull(), F.col("_new"))
-        judged = judged.withColumn("_best", F.greatest("_best", new)).drop("_new")
-    verdict = F.when(F.col("_best.block"), "block").when(F.col("_best.rule").isNotNull(), "allow").otherwise(DEFAULT)
-    return judged.withColumns({"rule": F.col("_best.rule"), "verdict": verdict}).drop("_best")
+        judged = judged.withColumn(new, match("host", "path"))
+        found = F.when(F.col(f"{new}.rule").isNotNull(), F.col(new))
+        judged = judged.withColumn(best, F.greatest(best, found)).drop(new)
+    rule = F.col(f"{best}.rule")
+    verdict = F.when(F.col(f"{best}.block"), "block").when(rule.isNotNull(), "allow").otherwise(DEFAULT)
+    return judged.withColumns({"rule": rule, "verdict": verdict}).drop(best)
