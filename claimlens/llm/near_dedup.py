@@ -6,10 +6,13 @@ least value, and a set is done when all bins are filled. Every coordinate is thu
 the Jaccard similarity with concentration bounds, and a set of n elements needs about n + SIZE log SIZE steps.
 
 Texts with equal shingle sets are one node. Nodes that share a band of ROWS coordinates are candidates: with 32
-bands of 4 a pair at similarity 0.8 shares none with a chance of 5 in 10**8. In each bucket every node is first
-compared with the bucket's least one. Buckets that then still hold several components compare their nodes across
-components, in blocks; nothing lists all pairs of a bucket. A pair whose sketches agree in fewer than
-``ESTIMATE`` of the coordinates (six deviations below 0.8) is left; every other is verified on both full sets.
+bands of 4 a pair at similarity 0.8 shares none with a chance of 5 in 10**8, and 13 on average. In each bucket every
+node is compared with the bucket's least one, so candidates grow with the nodes and never with their pairs. Pairs
+whose sketches agree in LIKELY of the coordinates (over four deviations below 0.8) are verified on both full sets.
+
+Nodes joined by candidates of at least LOOSE agreement form a cloud. A cloud whose nodes are not all linked by then is
+gone through in blocks: every two blocks meet in a task that compares sketches and then full sets of nodes in
+different components, and returns one link per pair of components. No step lists the pairs of a group.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
 from claimlens.llm.components import components
-from claimlens.llm.tables import pieces, stored
+from claimlens.llm.tables import pieces, stored, without_keys
 
 SIZE = 128
 ROWS = 4
 BANDS = SIZE // ROWS
-ESTIMATE = 0.58
+LIKELY, LOOSE = 0.64, 0.45
 PIECE_BYTES = 2_000_000
-BLOCK = 256
+# Nodes of a block; sets are compared by products of 0/1 matrices, so many shingles at a time.
+BLOCK = 512
+COLUMNS = 4_096
 _EMPTY = np.uint64(2**64 - 1)
 _SEEDS = W.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(W.BASE))
 
@@ -111,34 +116,29 @@ def sketched(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).mapInArrow(sketch, schema)
 
 
-def _likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes allow the similarity and the sketches agree in enough coordinates."""
-    sizes = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    return sizes & ((a == b).sum(axis=-1) >= ESTIMATE * percent / 80 * SIZE)
-
-
 def _sketch_rows(column: pa.Array) -> np.ndarray:
     return W.text_bytes(column)[0].reshape(len(column), SIZE)
 
 
-def likely_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of nodes that their sketches do not rule out."""
+def sketched_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of nodes that agree loosely, and whether they are ``likely`` to meet the similarity."""
     side = nodes.select("node", "n", "sketch")
     u = side.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
     v = side.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = _likely(
-                _sketch_rows(batch.column("su")), _sketch_rows(batch.column("sv")), np.asarray(batch.column("nu")), np.asarray(batch.column("nv")), percent
-            )
-            yield batch.select(["u", "v"]).filter(pa.array(ok))
+            agree = (_sketch_rows(batch.column("su")) == _sketch_rows(batch.column("sv"))).mean(axis=1) * 80 / percent
+            nu, nv = np.asarray(batch.column("nu")), np.asarray(batch.column("nv"))
+            likely = (agree >= LIKELY) & (100 * np.minimum(nu, nv) >= percent * np.maximum(nu, nv))
+            made = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(likely)], ["u", "v", "likely"])
+            yield made.filter(pa.array(likely | (agree >= LOOSE)))
 
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(check, "u long, v long")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(check, "u long, v long, likely boolean")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets meet the similarity."""
+def shingle_blobs(texts: DataFrame, width: int) -> DataFrame:
+    """``_doc`` and ``members``, the sorted shingle hashes of each text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +148,12 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
                 blobs = [hashes[cuts[k] : cuts[k + 1]].tobytes() for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(blobs, pa.binary())], ["_doc", "members"])
 
+    return texts.select("_doc", "_text").mapInArrow(sets, "_doc long, members binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets meet the similarity."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -160,52 +166,80 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
     asked = pairs.select(F.col("u").alias("_doc")).union(pairs.select(F.col("v").alias("_doc"))).distinct()
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
     # Rows that share a key may differ in their text; each is then tried, as the node is one of them.
-    members = stored(texts.join(asked, "_doc").mapInArrow(sets, "_doc long, members binary"), "members")
+    members = stored(shingle_blobs(texts.join(asked, "_doc"), width), "members")
     u = members.select(F.col("_doc").alias("u"), F.col("members").alias("mu"))
     v = members.select(F.col("_doc").alias("v"), F.col("members").alias("mv"))
     met = pairs.join(u, "u").join(v, "v").select("u", "v", "mu", "mv").mapInArrow(meet, "u long, v long")
     return met.distinct()
 
 
-def cross_pairs(buckets: DataFrame, label: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs of nodes that share a bucket and lie in different components.
-
-    A bucket's nodes are dealt to blocks, and every two blocks meet in a task of their own.
+def block_links(sets: list[np.ndarray], made: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """One pair of components for every two that a pair of nodes, one of ``left`` and one of ``right``, links."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    agree = np.zeros((len(left), len(right)), dtype=np.int32)
+    for k in range(SIZE):
+        agree += made[left, k][:, None] == made[right, k][None, :]
+    wanted = (agree >= LIKELY * percent / 80 * SIZE) & (component[left][:, None] != component[right][None, :])
+    keep_l, keep_r = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    if not len(keep_l):
+        return []
+    wanted, left, right = wanted[keep_l][:, keep_r], left[keep_l], right[keep_r]
+    nodes = np.unique(np.concatenate((left, right)))
+    row = np.repeat(np.arange(len(nodes)), size[nodes])
+    values, column, count = np.unique(np.concatenate([sets[k] for k in nodes]), return_inverse=True, return_counts=True)
+    # Shingles of a single node are in no intersection.
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    place_l, place_r = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    common = np.zeros((len(left), len(right)), dtype=np.float64)
+    for low in range(0, int(number[-1]) + 1, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        held = np.zeros((len(nodes), COLUMNS), dtype=np.float32)
+        held[row[a:b], column[a:b] - low] = 1
+        common += held[place_l] @ held[place_r].T
+    linked = wanted & (100 * common >= percent * (size[left][:, None] + size[right][None, :] - common))
+    at_l, at_r = np.nonzero(linked)
+    u, v = component[left[at_l]], component[right[at_r]]
+    return sorted(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist())))
+
+
+def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between components of one cloud, verified on full sets.
+
+    ``clouds`` and ``label`` give the cloud and the component of nodes. A cloud's nodes are dealt to blocks, and every
+    two blocks meet in a group of their own.
     """
-    labelled = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = stored(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
-    mixed = stored(mixed.where("a < b").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = clouds.select("node", F.col("component").alias("cloud")).join(label, "node", "left")
+    own = stored(own.withColumn("component", F.coalesce("component", "node")), "clouds")
+    roots = own.select(F.col("cloud").alias("node"), "cloud").distinct().join(label, "node", "left")
+    # The least node of a cloud is its name and not among the rows above.
+    own = own.unionByName(roots.withColumn("component", F.coalesce("component", "node")))
+    mixed = own.groupBy("cloud").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
+    mixed = stored(mixed.where("a < b").select("cloud", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    open_ = own.join(mixed, "cloud").join(nodes.select("node", "sketch"), "node")
+    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
+    asked = open_.select(F.col("node").alias("_doc")).distinct()
+    members = shingle_blobs(texts.join(asked, "_doc"), width).withColumnRenamed("_doc", "node")
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
     )
-    rows = (
-        labelled.join(mixed, "bucket")
-        .withColumn("own", own)
-        .join(nodes.select("node", "n", "sketch"), "node")
-        .select("bucket", "node", "component", "n", "sketch", "own", F.inline(meets))
-    )
+    rows = open_.withColumn("own", at).join(members, "node")
+    rows = rows.select("cloud", "component", "sketch", "members", "own", F.inline(meets))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, comp = np.asarray(table.column("node")), np.asarray(table.column("component"))
-        size, own, made = np.asarray(table.column("n")), np.asarray(table.column("own")), _sketch_rows(table.column("sketch"))
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        low = own.min()
-        found_u, found_v = [], []
-        for k in range(len(node)):
-            if not same and own[k] != low:
-                continue
-            other = np.flatnonzero((comp != comp[k]) & ((node > node[k]) if same else (own != low)))
-            if len(other):
-                ok = other[_likely(made[other], made[k], size[other], size[k], percent)]
-                found_u.append(np.full(len(ok), node[k])), found_v.append(node[ok])
-        u = np.concatenate(found_u) if found_u else np.zeros(0, np.int64)
-        v = np.concatenate(found_v) if found_v else np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+        component, block = np.asarray(table.column("component")), np.asarray(table.column("own"))
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("members")]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = block_links(sets, _sketch_rows(table.column("sketch")), component, left, right, percent)
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return rows.groupBy("cloud", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -228,14 +262,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     hubs = stored(buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "hubs")
     shared = stored(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
     stars = shared.where("node > hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    links = stored(verified(stored(likely_pairs(stars, nodes, percent), "pairs"), docs, key, text, width, percent), "links")
+    pairs = stored(sketched_pairs(stars, nodes, percent), "pairs")
+    links = stored(verified(pairs.where("likely").select("u", "v"), docs, key, text, width, percent), "links")
     first = stored(components(links), "labels")
-    rest = stored(cross_pairs(shared.select("bucket", "node"), first, nodes, percent), "cross")
-    if rest.isEmpty():
-        last = first
-    else:
-        more = verified(rest, docs, key, text, width, percent)
-        last = stored(components(links.union(more)), "labels")
+    clouds = stored(components(pairs.select("u", "v")), "clouds")
+    more = stored(cloud_links(clouds, first, nodes, docs, key, text, width, percent), "more")
+    last = first if more.isEmpty() else stored(components(links.union(more)), "labels")
     by_set = firsts.join(last, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("_component"))
     by_set = stored(by_set, "by_set")
     joined = made.select("_doc", "n", "f1", "f2").join(by_set, ["f1", "f2"], "left")
@@ -246,5 +278,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, all their columns as they were."""
     judged = near_duplicates(docs, key, text, width, percent)
-    gone = judged.groupBy(F.col(key).alias("_gone")).agg(F.max("kept").alias("_any")).where(~F.col("_any"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = judged.groupBy(key).agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(key)
+    return without_keys(docs, gone, [F.col(key).cast("long")])
