@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.operators.cleaning import finite, impute_medians
-from claimlens.operators.ordered import ascending
+from claimlens.operators.ordered import ascending, stored
 
+# The features and the columns of the anomaly table.
 FEATURES = (
     "PAYOUT_AUTHORIZED",
     "PREMIUM_SPIKE_USD",
@@ -40,7 +41,6 @@ NODE_SCHEMA = "tree int, node int, feature int, threshold double, low int, high
 
 TREES = 150
 SAMPLE = 256
-POOL = 65_536
 SEED = 42
 
 
@@ -62,32 +62,38 @@ def feature_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
 def tree_samples(
     matrix: DataFrame, key: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> DataFrame:
-    """``sample`` rows for each tree, chosen by hashes of the row key and so alike for any partitioning.
+    """``min(sample, rows)`` rows for each tree, chosen by hashes of the row key and so alike for any partitioning.
 
-    A first hash thins the rows to a pool of bounded size; a second one, different for each tree, picks the
-    tree's rows from it. Before ranking, a threshold leaves each tree little more than it needs.
+    A first hash thins the rows to a pool of about as many as all trees draw together; a second one, different for
+    each tree, picks the tree's rows from it. Both thresholds leave some more than is needed, and are raised until
+    no tree lacks a row.
     """
     total = matrix.count()
     features = [c for c in matrix.columns if c.startswith("_f")]
+    first = Window.partitionBy("tree").orderBy("_h", *ascending(*key))
 
     def below(share: float):
         return F.lit(int(min(2**63 - 1, -(2**63) + share * 2**64)))
 
-    pool_share = min(1.0, (POOL + 6 * POOL**0.5) / max(total, 1))
-    pool = matrix.withColumn("_u", F.xxhash64(F.lit(seed), *key)).filter(F.col("_u") <= below(pool_share))
-    pooled = max(1.0, total * pool_share)
-    tree_share = min(1.0, (sample + 6 * sample**0.5 + 10) / pooled)
-    drawn = (
-        pool.select(*key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        .withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col("tree"), *key))
-        .filter(F.col("_h") <= below(tree_share))
-    )
-    first = Window.partitionBy("tree").orderBy("_h", *ascending(*key))
-    return (
-        drawn.withColumn("_rn", F.row_number().over(first))
-        .filter(F.col("_rn") <= sample)
-        .select("tree", F.col("_rn").alias("draw"), *features)
-    )
+    slack, wanted = 1.0, trees * sample
+    while True:
+        pool_share = min(1.0, slack * (wanted + 6 * wanted**0.5 + 10) / max(total, 1))
+        pooled = max(1.0, total * pool_share)
+        tree_share = min(1.0, slack * (sample + 6 * sample**0.5 + 10) / pooled)
+        pool = matrix.withColumn("_u", F.xxhash64(F.lit(seed), *key)).filter(F.col("_u") <= below(pool_share))
+        drawn = (
+            pool.select(*key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+            .withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col("tree"), *key))
+            .filter(F.col("_h") <= below(tree_share))
+        )
+        picked = stored(
+            drawn.withColumn("_rn", F.row_number().over(first))
+            .filter(F.col("_rn") <= sample)
+            .select("tree", F.col("_rn").alias("draw"), *features)
+        )
+        if (pool_share >= 1 and tree_share >= 1) or picked.count() == trees * min(sample, total):
+            return picked
+        slack *= 2
 
 
 def _grow(sample: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:

@@ -18,7 +18,7 @@ from claimlens.functions.parsing import (
     strip_all,
     text_field,
 )
-from claimlens.operators.ordered import ascending, attach_lookup, broadcast_if_small, exact_medians
+from claimlens.operators.ordered import ascending, attach_lookup, exact_medians, stored_lookup
 
 
 def standardize_names(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -71,11 +71,13 @@ def decode_contractors(
 ) -> DataFrame:
     """Decode each distinct token once and join the names back.
 
-    The names are broadcast when their counted number allows.
+    Rows without a token match nothing; they join under keys of their own, one for each input split, and so do not
+    meet in one partition.
     """
     tokens = df.select(token).filter(F.col(token).isNotNull()).distinct()
-    names = tokens.select(token, decode_ascii85(F.col(token)).alias(out))
-    return df.join(broadcast_if_small(names), token, "left").select(*df.columns, out)
+    names = tokens.select(F.concat(F.lit("="), token).alias("_token"), decode_ascii85(F.col(token)).alias(out))
+    own = F.coalesce(F.concat(F.lit("="), token), F.concat(F.lit("-"), F.spark_partition_id().cast("string")))
+    return df.withColumn("_token", own).join(stored_lookup(names), "_token", "left").select(*df.columns, out)
 
 
 def unknown_currencies(df: DataFrame, rate: str = "EXCHANGE_RATE_USD") -> DataFrame:

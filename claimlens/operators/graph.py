@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.operators.ordered import stored
 from claimlens.operators.summary import suspects
 
 
@@ -39,8 +40,8 @@ def relationship_edges(df: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, root_type: str = "manager", max_depth: int = 3) -> DataFrame:
     """Paths from the root nodes along the edges of one incident, each node at most once per path.
 
-    One equi-join on (incident, node) per level. The key is nearly unique, so no level has a hot key, and
-    unlike a recursive query there is no limit on the rows of a level.
+    One equi-join on (incident, node) per level, each computed once and stored. The key is nearly unique, so no level
+    has a hot key, and unlike a recursive query there is no limit on the rows of a level.
     """
     roots = edges.filter(F.col("from_type") == root_type)
     level = roots.select(
@@ -51,18 +52,20 @@ def walk(edges: DataFrame, root_type: str = "manager", max_depth: int = 3) -> Da
         F.col("from_node").alias("node"),
         F.col("from_type").alias("node_type"),
         F.array("from_node").alias("visited"),
-    ).distinct()
+    )
+    level = stored(level.distinct())
     levels = [level]
     steps = edges.select(
         F.col("incident").alias("_incident"), F.col("from_type"), F.col("from_node"), F.col("to_type"), F.col("to_node")
-    ).distinct()
+    )
+    steps = stored(steps.distinct())
     for _ in range(max_depth):
         met = (
             (F.col("incident") == F.col("_incident"))
             & (F.col("node") == F.col("from_node"))
             & (F.col("node_type") == F.col("from_type"))
         )
-        level = (
+        level = stored(
             level.join(steps, met)
             .filter(~F.array_contains("visited", F.col("to_node")))
             .select(

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from claimlens.operators.cleaning import keep_first
 from claimlens.operators.ordered import (
-    RANGE,
     ascending,
     attach_lookup,
-    broadcast_if_small,
-    ordered_ranges,
     rank_in_group,
     running_sum_in_ranges,
+    stored_by_column,
+    stored_lookup,
+    tagged_ranges,
     with_tile,
 )
 from claimlens.operators.summary import adjuster_tracker, contractor_tracker, suspects, with_tier
@@ -35,19 +35,19 @@ def reporting_mart(
 ) -> DataFrame:
     """The portfolio with tier, decile, running damage, ranks, first-claim mark and both trackers.
 
-    ``portfolio`` is stored once, in ranges of country and date, and every part below reads the columns it
-    needs from that copy. Claims equal in property and date are told apart by their stored row number. The
-    decile needs no further movement of rows. The trackers may be given precomputed. Each joined side is stored
-    and counted, and broadcast only where it is small.
+    ``portfolio`` is computed and stored once, and every part below reads the columns it needs from that copy. Claims
+    equal in property and date are told apart by their stored row number. The rows find their range of country and
+    date in place and move once, for the running sum; the decile needs no movement. The trackers may be given
+    precomputed. Each joined side is stored, so that Spark decides by its bytes how to join it.
 
     The first-claim mark joins on property and date, which keeps one output row per input row; a join on the
     property alone would pair every suspect claim of a property with every claim of it.
     """
-    order = ascending("INCIDENT_DATE", "PROPERTY_ID")
-    base = ordered_ranges(portfolio, [*ascending("COUNTRY_CODE"), *order], ranges, row_id="_row", wide=True)
-    rows = base.drop(RANGE)
+    order = ["INCIDENT_DATE", "PROPERTY_ID", "_row"]
+    rows = stored_by_column(portfolio.withColumn("_row", F.monotonically_increasing_id()))
+    base = tagged_ranges(rows, ["COUNTRY_CODE", *order], ranges, is_stored=True)
     damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
-    wide = running_sum_in_ranges(base, damage, [*order, F.col("_row")], ["COUNTRY_CODE"]).transform(with_tier)
+    wide = running_sum_in_ranges(base, damage, ascending(*order), ["COUNTRY_CODE"]).transform(with_tier)
     by_payout = ["PAYOUT_AUTHORIZED", "PROPERTY_ID", "INCIDENT_DATE", "_row"]
     wide = with_tile(wide, by_payout, 10, "payout_decile", source=rows)
 
@@ -57,7 +57,7 @@ def reporting_mart(
     contractors = contractor_tracker(rows) if contractors is None else contractors
 
     # Missing keys match nothing here, as in an ordinary equi-join.
-    wide = wide.join(broadcast_if_small(ranks), keys, "left")
+    wide = wide.join(stored_lookup(ranks), keys, "left")
     first = first_claim_keys(rows).withColumn("first_corrupt_claim", F.lit(1))
     wide = attach_lookup(wide, first, ["PROPERTY_ID", "INCIDENT_DATE"])
     by_adjuster = adjusters.select(
@@ -72,8 +72,8 @@ def reporting_mart(
         F.col("total_payout_stolen").alias("contractor_total_payout_stolen"),
         F.col("avg_premium_spike").alias("contractor_avg_premium_spike"),
     )
-    wide = wide.join(broadcast_if_small(by_adjuster), "ADJUSTER_ID", "left")
-    wide = wide.join(broadcast_if_small(by_contractor), "DECODED_CONTRACTOR", "left")
+    wide = wide.join(stored_lookup(by_adjuster), "ADJUSTER_ID", "left")
+    wide = wide.join(stored_lookup(by_contractor), "DECODED_CONTRACTOR", "left")
     derived = [
         "valuation_tier",
         "payout_decile",

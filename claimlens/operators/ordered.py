@@ -2,8 +2,9 @@
 
 The rows are range-partitioned on the full ordering, so a hot key spreads over as many ranges as its share
 of the rows needs. Each range is worked on locally and a small per-range carry (one row per range that
-starts inside a group) links neighbouring ranges. The ranged rows are stored once, because sampling
-could place the range limits differently if they were computed again.
+starts inside a group) links neighbouring ranges. Rows are stored by column before they are ranged; wide rows
+then find their range by comparing with the limits and move once, to the window that works on it. There is one
+path for every size.
 """
 
 from __future__ import annotations
@@ -20,17 +21,11 @@ from claimlens.session import scratch_path, shared_folder
 
 RANGE = "_range"
 
-# A stored lookup of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
-# A stored aggregate of at most this many rows may be ordered inside single tasks.
-ONE_TASK_ROWS = 1_000_000
 # A quantile is searched in a rank interval of this half-width, as a share of the rows. The sketches that place
-# the interval are off by at most 1 / ACCURACY and, each of them, by one row; above WHOLE_ROWS rows the
-# half-width exceeds both together, and up to there every value is counted on its own.
-RANK_MARGIN = 1e-3
+# the interval are off by at most 1 / ACCURACY and, each of them, by one row; where the rows are so few that the
+# half-width does not cover both, the interval ends at the least and the greatest value.
+RANK_MARGIN = 2e-3
 ACCURACY = 2_000
-SKETCH_PARTS = 64
-WHOLE_ROWS = 200_000
 
 
 def ascending(*names: str) -> list[Column]:
@@ -39,23 +34,46 @@ def ascending(*names: str) -> list[Column]:
 
 
 def ordered_ranges(
-    df: DataFrame,
-    order: Sequence[Column],
-    ranges: int | None = None,
-    row_id: str | None = None,
-    wide: bool = False,
+    df: DataFrame, order: Sequence[Column], ranges: int | None = None, row_id: str | None = None
 ) -> DataFrame:
-    """Rows tagged with the id of the contiguous range of ``order`` they lie in, stored once.
+    """Narrow rows tagged with the id of the contiguous range of ``order`` they lie in, computed once and stored.
 
     Without ``ranges`` the number of ranges follows the shuffle settings and adaptive coalescing. ``row_id``
-    adds a number unique to each row; it is given after the shuffle and stored, so it never changes. ``wide``
-    stores by column, for rows whose readers need few columns each.
+    adds a number unique to each row; it is given after the shuffle and stored, so it never changes.
     """
-    spread = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    kept = stored_by_column(df)
+    spread = kept.repartitionByRange(ranges, *order) if ranges else kept.repartitionByRange(*order)
     tagged = spread.withColumn(RANGE, F.spark_partition_id())
     if row_id:
         tagged = tagged.withColumn(row_id, F.monotonically_increasing_id())
-    return stored_by_column(tagged) if wide else stored(tagged)
+    return stored(tagged)
+
+
+def tagged_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None, is_stored: bool = False) -> DataFrame:
+    """Wide rows, computed once and stored by column, with the id of their range of ``order`` (ascending, missing last).
+
+    Only the ordering columns are sorted into ranges. The greatest key of each range comes to the driver, and every
+    row finds its range by halving among those limits, so the rows themselves do not move. ``is_stored`` says that
+    the rows come from a stored table already.
+    """
+    kept = df if is_stored else stored_by_column(df)
+    keys = kept.select(*order)
+    sort = ascending(*order)
+    spread = keys.repartitionByRange(ranges, *sort) if ranges else keys.repartitionByRange(*sort)
+    key = _ordering_struct([F.col(c) for c in order])
+    tops = spread.groupBy(F.spark_partition_id().alias(RANGE)).agg(F.max_by(F.struct(*order), key).alias("top")).collect()
+    types = {f.name: f.dataType for f in keys.schema.fields}
+    tops.sort(key=lambda r: r[RANGE])
+    limits = [_ordering_struct([_literal(r["top"][c], types[c]) for c in order]) for r in tops[:-1]]
+    compared = F.col("_order_key")
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(compared <= limits[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
+
+    return kept.withColumn("_order_key", key).withColumn(RANGE, halved(0, len(limits))).drop("_order_key")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -71,13 +89,9 @@ def stored_by_column(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(lookup: DataFrame) -> DataFrame:
-    """Store a lookup and mark it for broadcast when its counted rows allow.
-
-    Otherwise the join shuffles, and adaptive execution splits the hot keys.
-    """
-    kept = stored(lookup)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+def stored_lookup(lookup: DataFrame) -> DataFrame:
+    """A join side stored by column, so that Spark knows its bytes and decides by its own threshold how to join."""
+    return stored_by_column(lookup)
 
 
 def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -87,11 +101,12 @@ def _null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
 def attach_lookup(df: DataFrame, lookup: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
     """Left join on keys where null equals null.
 
-    ``bounded`` marks a lookup whose size is proven small; any other is stored and counted first.
+    ``bounded`` marks a lookup whose size is proven small; any other is stored first. Rows with a null key that has
+    no entry would all meet in one partition; adaptive execution splits it.
     """
     renamed = [f"_key_{k}" for k in keys]
     side = lookup.withColumnsRenamed(dict(zip(keys, renamed)))
-    side = F.broadcast(side) if bounded else broadcast_if_small(side)
+    side = F.broadcast(side) if bounded else stored_lookup(side)
     return df.join(side, _null_safe(keys, renamed), "left").drop(*renamed)
 
 
@@ -108,12 +123,20 @@ def running_sum(
 ) -> DataFrame:
     """``sum(value) over (partition by group order by order rows unbounded preceding)`` per value -> output.
 
-    ``order`` should be total up to interchangeable rows.
+    For narrow rows and any ``order``, which should be total up to interchangeable rows.
     """
     ranged = ordered_ranges(df, [*ascending(*group), *order], ranges)
     return running_sum_in_ranges(ranged, values, order, group)
 
 
+def running_sum_of_rows(
+    df: DataFrame, values: dict[str, str], order: Sequence[str], group: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
+    """:func:`running_sum` for wide rows in ascending order, which move once."""
+    tagged = tagged_ranges(df, [*group, *order], ranges)
+    return running_sum_in_ranges(tagged, values, ascending(*order), group)
+
+
 def running_sum_in_ranges(
     ranged: DataFrame, values: dict[str, str], order: Sequence[Column], group: Sequence[str] = ()
 ) -> DataFrame:
@@ -143,21 +166,6 @@ def running_sum_in_ranges(
     return joined.withColumns(totals).drop(*helpers, RANGE)
 
 
-def running_sum_of_aggregate(
-    df: DataFrame,
-    values: dict[str, str],
-    order: Sequence[Column],
-    group: Sequence[str] = (),
-    ranges: int | None = None,
-) -> DataFrame:
-    """:func:`running_sum` of an aggregate, which is stored first and ordered in place while it is small."""
-    kept = stored(df)
-    if ranges is None and kept.count() <= ONE_TASK_ROWS:
-        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return kept.withColumns({o: F.sum(v).over(window) for v, o in values.items()})
-    return running_sum(kept, values, order, group, ranges)
-
-
 def next_in_group(
     df: DataFrame,
     columns: dict[str, str],
@@ -170,7 +178,7 @@ def next_in_group(
     The last row of a group inside a range takes its successor from the first row of the group's next
     range; that table has at most one row per range.
     """
-    ranged = ordered_ranges(df, ascending(*group, *order), ranges)
+    ranged = tagged_ranges(df, [*group, *order], ranges)
     following = F.struct(*[F.col(c).alias(o) for c, o in columns.items()])
     rank_key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
     firsts = ranged.groupBy(*group, RANGE).agg(F.min_by(following, rank_key).alias("_first"))
@@ -204,7 +212,7 @@ def value_positions(
     number = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.groupBy(*group, column).agg(number.alias("_n"))
     sort = F.col(column).desc_nulls_first() if descending else F.col(column).asc_nulls_last()
-    return running_sum_of_aggregate(counts, {"_n": "_upto"}, [sort], group, ranges)
+    return running_sum(counts, {"_n": "_upto"}, [sort], group, ranges)
 
 
 def rank_in_group(
@@ -212,17 +220,48 @@ def rank_in_group(
 ) -> DataFrame:
     """``rank() over (partition by group order by column desc)`` of an aggregate, which is stored first.
 
-    A large aggregate is ranked by way of its distinct values, so that neither a group nor a run of equal
-    values has to fit one task.
+    It is ranked by way of its distinct values, so that neither a group nor a run of equal values has to fit one
+    task.
     """
-    kept = stored(df)
-    if ranges is None and kept.count() <= ONE_TASK_ROWS:
-        return kept.withColumn(out, F.rank().over(Window.partitionBy(*group).orderBy(F.col(column).desc_nulls_first())))
+    kept = stored_by_column(df)
     positions = value_positions(kept, column, group, descending=True, ranges=ranges)
     ranks = positions.select(*group, column, (F.col("_upto") - F.col("_n") + 1).alias(out))
     return attach_lookup(kept, ranks, [*group, column])
 
 
+def _quantile_bounds(clean: DataFrame, columns: Sequence[str], wanted: Sequence[float], group: Sequence[str]) -> DataFrame:
+    """One row per group: for each column its count ``n`` and, per probability, the ends of its interval.
+
+    Sketches are merged in as many parts as a shuffle has, so no task receives those of all splits. The least lower
+    and the greatest upper end over the parts bound the quantile of the whole, if the margin covers one row of every
+    part; else the extremes do.
+    """
+    parts = int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = [e for p in wanted for e in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))]
+    sketches = [
+        F.struct(
+            F.count(f"_c{i}").alias("n"),
+            F.min(f"_c{i}").alias("least"),
+            F.max(f"_c{i}").alias("most"),
+            F.percentile_approx(f"_c{i}", ends, ACCURACY).alias("ends"),
+        ).alias(f"_b{i}")
+        for i in range(len(columns))
+    ]
+    part = (F.spark_partition_id() % parts).alias("_part")
+    by_part = clean.select(*clean.columns, part).groupBy(*group, "_part").agg(*sketches)
+
+    def merged(i: int) -> Column:
+        b, n = F.col(f"_b{i}"), F.sum(f"_b{i}.n")
+        trusted = n * (RANK_MARGIN - 1 / ACCURACY) > parts
+        sides = []
+        for k in range(len(ends)):
+            pick, extreme = (F.max, F.max(b["most"])) if k % 2 else (F.min, F.min(b["least"]))
+            sides.append(F.when(trusted, pick(b["ends"][k])).otherwise(extreme))
+        return F.struct(n.alias("n"), F.array(*sides).alias("ends")).alias(f"_b{i}")
+
+    return by_part.groupBy(*group).agg(*[merged(i) for i in range(len(columns))])
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -232,55 +271,62 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: one row per group and column, with ``n`` and array ``quantiles``.
 
-    A first pass estimates each quantile from sketches, merged in several parts so that no task receives
-    the sketches of all splits: the least lower and the greatest upper end over the parts bound the quantile
-    of the whole. A second pass counts the values inside the interval one by one and all others by the gap
-    they fall in, so only a sliver of the distinct values is shuffled and ordered. Null and NaN do not take
-    part.
+    A first pass bounds each quantile by sketches. A second counts, in the same rows, the values below and between
+    the intervals, and picks out only the values inside them, which are then counted one by one and ordered. Without
+    groups the bounds are literals. Null and NaN do not take part.
     """
     keys = [*group, "column"]
     numbers = [F.col(c).cast("double") for c in columns]
     clean = df.select(*group, *[F.when(~F.isnan(x), x).alias(f"_c{i}") for i, x in enumerate(numbers)])
     wanted = sorted(set(probabilities))
-    ends = [e for p in wanted for e in (max(0.0, p - RANK_MARGIN), min(1.0, p + RANK_MARGIN))]
-    sketches = [
+    bounds = _quantile_bounds(clean, columns, wanted, group)
+    if group:
+        sided = attach_lookup(clean, bounds, group)
+    else:
+        row = bounds.first()  # one row, of a few numbers for each column
+        literals = {}
+        for i in range(len(columns)):
+            sides = F.array(*[F.lit(x).cast("double") for x in row[f"_b{i}"]["ends"]])
+            literals[f"_b{i}"] = F.struct(F.lit(row[f"_b{i}"]["n"]).cast("bigint").alias("n"), sides.alias("ends"))
+        sided = clean.withColumns(literals)
+
+    near, gap = [], []
+    for i in range(len(columns)):
+        value, sides = F.col(f"_c{i}"), F.col(f"_b{i}")["ends"]
+        inside, beyond = F.lit(False), F.lit(0)
+        for k in range(len(wanted)):
+            inside = inside | value.between(sides[2 * k], sides[2 * k + 1])
+            beyond = beyond + F.when(value > sides[2 * k + 1], 1).otherwise(0)
+        near.append(value.isNotNull() & inside)
+        gap.append(beyond)
+    taken = [
+        F.when(near[i], F.struct(F.lit(c).alias("column"), F.col(f"_b{i}")["n"].alias("n"), gap[i].alias("_gap"), F.col(f"_c{i}").alias("value")))
+        for i, c in enumerate(columns)
+    ]
+    picked = sided.select(*group, F.inline(F.filter(F.array(*taken), lambda x: x.isNotNull())))
+    singly = picked.groupBy(*keys, "n", "_gap", "value").agg(F.count(F.lit(1)).alias("_n"))
+    # The far values of each gap are only counted: one row per group.
+    far = [
+        F.count_if(F.col(f"_c{i}").isNotNull() & ~near[i] & (gap[i] == g)).alias(f"_far{i}_{g}")
+        for i in range(len(columns))
+        for g in range(len(wanted) + 1)
+    ]
+    totals = [F.max(F.col(f"_b{i}")["n"]).alias(f"_n{i}") for i in range(len(columns))]
+    gaps = [
         F.struct(
             F.lit(c).alias("column"),
-            F.count(f"_c{i}").alias("n"),
-            F.percentile_approx(f"_c{i}", ends, ACCURACY).alias("ends"),
-        ).alias(f"_c{i}")
+            F.col(f"_n{i}").alias("n"),
+            F.lit(g).alias("_gap"),
+            F.lit(None).cast("double").alias("value"),
+            F.col(f"_far{i}_{g}").alias("_n"),
+        )
         for i, c in enumerate(columns)
+        for g in range(len(wanted) + 1)
     ]
-    parts = clean.withColumn("_part", F.spark_partition_id() % SKETCH_PARTS).groupBy(*group, "_part").agg(*sketches)
-    sketch = (
-        parts.select(*group, F.inline(F.array(*[f"_c{i}" for i in range(len(columns))])))
-        .filter("n > 0")
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            F.array(*[(F.max if i % 2 else F.min)(F.col("ends")[i]) for i in range(len(ends))]).alias("ends"),
-        )
-    )
-    # Without groups there is one row per column.
-    sketch = F.broadcast(stored(sketch)) if not group else broadcast_if_small(sketch)
-
-    entries = [F.struct(F.lit(c).alias("_column"), F.col(f"_c{i}").alias("value")) for i, c in enumerate(columns)]
-    long = clean.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.inline(F.array(*entries)))
-    matched = _null_safe([f"_g_{g}" for g in group] + ["_column"], keys)
-    sided = long.filter(F.col("value").isNotNull()).join(sketch, matched)
-    value, low, high = F.col("value"), F.col("ends"), F.col("ends")
-    near, gap = F.col("n") <= WHOLE_ROWS, F.lit(0)
-    for i in range(len(wanted)):
-        near = near | value.between(low[2 * i], high[2 * i + 1])
-        gap = gap + F.when(value > high[2 * i + 1], 1).otherwise(0)
-    counts = (
-        sided.select(*keys, "n", gap.alias("_gap"), F.when(near, value).alias("value"))
-        .groupBy(*keys, "n", "_gap", "value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counted = sided.groupBy(*group).agg(*totals, *far).select(*group, F.inline(F.array(*gaps))).filter("_n > 0")
     # The far values of a gap lie below its near ones.
     order = [F.col("_gap").asc(), F.col("value").asc_nulls_first()]
-    positions = running_sum_of_aggregate(counts, {"_n": "_upto"}, order, [*keys, "n"], ranges)
+    positions = running_sum(singly.unionByName(counted), {"_n": "_upto"}, order, [*keys, "n"], ranges)
     picks, found = [], {}
     for i, p in enumerate(wanted):
         at = (F.col("n") - 1) * F.lit(float(p))
@@ -291,8 +337,7 @@ def exact_quantiles(
         exact = below + (above - below) * (at - F.floor(at))
         missed = F.raise_error(F.lit("a quantile lies outside its estimated interval")).cast("double")
         found[p] = F.when(below.isNull() | above.isNull(), missed).otherwise(exact)
-    picked = positions.groupBy(*keys, "n").agg(*picks)
-    return picked.select(*keys, "n", F.array(*[found[p] for p in probabilities]).alias("quantiles"))
+    return positions.groupBy(*keys, "n").agg(*picks).select(*keys, "n", F.array(*[found[p] for p in probabilities]).alias("quantiles"))
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> dict[str, float | None]:

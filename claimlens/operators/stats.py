@@ -25,7 +25,10 @@ def welch_test(
     group: str = "DECODED_CONTRACTOR",
     value: str = "PAYOUT_AUTHORIZED",
 ) -> DataFrame:
-    """Welch's t-test that the first cohort's mean exceeds the second's; fails below two values a cohort."""
+    """Welch's t-test that the first cohort's mean exceeds the second's; fails below two values a cohort.
+
+    Two cohorts without any variation have no t statistic: it and all that follows from it are null.
+    """
     number = F.col(value).cast("double")
     measures = []
     for name, label in (("first", first), ("second", second)):
@@ -37,8 +40,8 @@ def welch_test(
             F.var_samp(member).alias(f"{name}_variance"),
         ]
     n1, n2 = F.col("first_count"), F.col("second_count")
-    e1, e2 = F.col("first_variance") / n1, F.col("second_variance") / n2
-    t = (F.col("first_mean") - F.col("second_mean")) / F.sqrt(e1 + e2)
+    e1, e2 = F.try_divide(F.col("first_variance"), n1), F.try_divide(F.col("second_variance"), n2)
+    t = F.try_divide(F.col("first_mean") - F.col("second_mean"), F.sqrt(e1 + e2))
     too_few = F.raise_error(F.lit("the t-test needs two values in each cohort")).cast("double")
     tested = df.agg(*measures).select(
         "first_count",
@@ -46,7 +49,7 @@ def welch_test(
         "first_mean",
         "second_mean",
         F.when((n1 < 2) | (n2 < 2), too_few).otherwise(t).alias("t_statistic"),
-        (F.pow(e1 + e2, F.lit(2)) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))).alias("degrees_of_freedom"),
+        F.try_divide(F.pow(e1 + e2, F.lit(2)), F.try_divide(e1 * e1, n1 - 1) + F.try_divide(e2 * e2, n2 - 1)).alias("degrees_of_freedom"),
     )
     p = F.col("two_sided_p_value")
     return (
@@ -88,10 +91,11 @@ def benford_test(df: DataFrame, column: str = "PAYOUT_AUTHORIZED") -> DataFrame:
 
 
 def _with_p(result: DataFrame, r: str, out: str) -> DataFrame:
-    """p-value of a correlation over ``observations`` pairs."""
+    """p-value of a correlation over ``observations`` pairs: 1 for two pairs, null where there is no coefficient."""
     free = F.col("observations") - 2
     t = F.when(F.abs(r) < 1, F.col(r) * F.sqrt(free / (1 - F.col(r) * F.col(r)))).otherwise(F.lit(float("inf")))
-    return result.withColumn(out, t_probability(t, free.cast("double")))
+    p = F.when(free == 0, F.lit(1.0)).otherwise(t_probability(t, free.cast("double")))
+    return result.withColumn(out, F.when(F.col(r).isNotNull() & ~F.isnan(r), p))
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -99,9 +103,18 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, x: str = "VALUATION_USD", y: str = "PAYOUT_AUTHORIZED") -> DataFrame:
-    both = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
-    result = _pairs(df, x, y).agg(both.alias("pearson_r"), F.count(F.lit(1)).alias("observations"))
-    return _with_p(result, "pearson_r", "pearson_p_value")
+    """Linear correlation; null over a constant column, which has none."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    sums = _pairs(df, x, y).agg(
+        varied.alias("varied"),
+        F.covar_pop(a, b).alias("xy"),
+        F.stddev_pop(a).alias("xx"),
+        F.stddev_pop(b).alias("yy"),
+        F.count(F.lit(1)).alias("observations"),
+    )
+    r = F.when(F.col("varied"), F.try_divide(F.col("xy"), F.col("xx") * F.col("yy")))
+    return _with_p(sums.select(r.alias("pearson_r"), "observations"), "pearson_r", "pearson_p_value")
 
 
 def average_ranks(pairs: DataFrame, column: str, out: str, ranges: int | None = None) -> DataFrame:

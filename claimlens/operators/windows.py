@@ -11,10 +11,11 @@ from claimlens.functions.parsing import epoch_micros
 from claimlens.operators.cleaning import keep_first
 from claimlens.operators.ordered import (
     ascending,
+    attach_lookup,
     next_in_group,
     rank_in_group,
     running_sum,
-    running_sum_of_aggregate,
+    running_sum_of_rows,
     stored,
     with_tile,
 )
@@ -48,9 +49,8 @@ def payout_deciles(df: DataFrame, ties: Sequence[str]) -> DataFrame:
 
 def running_damage(df: DataFrame, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Damage accumulated within each country in order of date and property."""
-    order = ascending("INCIDENT_DATE", "PROPERTY_ID", *ties)
     damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
-    return running_sum(df, damage, order, ["COUNTRY_CODE"], ranges)
+    return running_sum_of_rows(df, damage, ["INCIDENT_DATE", "PROPERTY_ID", *ties], ["COUNTRY_CODE"], ranges)
 
 
 def adjuster_payouts(df: DataFrame) -> DataFrame:
@@ -74,18 +74,31 @@ def first_suspect_claims(df: DataFrame) -> DataFrame:
     return first.orderBy(*ascending("MANAGER_ID"))
 
 
-def rolling_mean(points: DataFrame, time: str, value: str, out: str, days: int = 30) -> DataFrame:
+def rolling_mean(points: DataFrame, time: str, value: str, out: str, days: int = 30, ranges: int | None = None) -> DataFrame:
     """Mean of the points in the ``days`` up to and including each point, the far end excluded.
 
-    Time is cut into blocks as long as the window and each point also joins the next block, so a window
-    never reaches beyond its block and no task sees the whole series.
+    Every value enters a running sum at its time and leaves it a window later. The sums are of exact decimals, so
+    what left leaves no trace, and the work grows with the points and not with those in a window.
     """
     span = days * DAY_MICROS
-    timed = points.withColumn("_t", epoch_micros(F.col(time))).withColumn("_home", F.floor(F.col("_t") / F.lit(span)))
-    copies = timed.withColumn("_block", F.explode(F.array(F.col("_home"), F.col("_home") + 1)))
-    recent = Window.partitionBy("_block").orderBy("_t").rangeBetween(-(span - 1), 0)
-    rolled = copies.withColumn(out, F.avg(value).over(recent))
-    return rolled.filter(F.col("_block") == F.col("_home")).drop("_t", "_home", "_block")
+    timed = points.withColumn("_t", epoch_micros(F.col(time)))
+    # A double as an exact pair: a part of twelve decimals and what it leaves, in units of 1e-24.
+    amount = F.col(value).cast("double")
+    coarse = amount.cast("decimal(38,12)")
+    rest = ((amount - coarse.cast("double")) * 1e24).cast("decimal(38,0)")
+    known = timed.filter(amount.isNotNull()).groupBy("_t").agg(
+        F.sum(coarse).cast("decimal(38,12)").alias("_a"), F.sum(rest).cast("decimal(38,0)").alias("_b"), F.count(F.lit(1)).alias("_k")
+    )
+    here = F.struct(F.col("_t").alias("_at"), "_a", "_b", "_k")
+    gone = F.struct((F.col("_t") + span).alias("_at"), (-F.col("_a")).alias("_a"), (-F.col("_b")).alias("_b"), (-F.col("_k")).alias("_k"))
+    asked = timed.select(F.col("_t").alias("_at"), F.lit(0).cast("decimal(38,12)").alias("_a"), F.lit(0).cast("decimal(38,0)").alias("_b"), F.lit(0).cast("bigint").alias("_k")).distinct()
+    steps = known.select(F.inline(F.array(here, gone))).unionByName(asked).groupBy("_at").agg(
+        F.sum("_a").cast("decimal(38,12)").alias("_a"), F.sum("_b").cast("decimal(38,0)").alias("_b"), F.sum("_k").alias("_k")
+    )
+    summed = running_sum(steps, {"_a": "_ra", "_b": "_rb", "_k": "_rk"}, [F.col("_at").asc()], ranges=ranges)
+    total = F.col("_ra").cast("double") + F.col("_rb").cast("double") / 1e24
+    means = summed.select(F.col("_at").alias("_t"), F.try_divide(total, F.col("_rk")).alias(out))
+    return attach_lookup(timed, means, ["_t"]).drop("_t")
 
 
 def spike_trend(df: DataFrame, days: int = 30) -> DataFrame:
@@ -108,7 +121,7 @@ def cumulative_damage(df: DataFrame, ranges: int | None = None) -> DataFrame:
         F.struct(F.sum("total_damage_usd").cast("double").alias("damage"), F.sum("one").alias("managers"))
     ).scalar()
     sums = {"total_damage_usd": "cumulative_damage", "one": "place"}
-    placed = running_sum_of_aggregate(kept, sums, order, ranges=ranges)
+    placed = running_sum(kept, sums, order, ranges=ranges)
     share = F.col("cumulative_damage").cast("double") / F.col("whole.damage")
     return placed.withColumn("whole", whole).select(
         "MANAGER_ID",

@@ -461,7 +461,7 @@ def daily_spike(spark, folder):
 
 @query
 def spike_trend(spark, folder):
-    return rounded(windows.spike_trend(claims(spark, folder)), rolling_mean_spike=9)
+    return rounded(windows.spike_trend(claims(spark, folder)), rolling_mean_spike=6)
 
 
 @query

@@ -34,6 +34,8 @@ def test_running_sum(skewed, ranges):
     order = ascending("o", "i")
     window = Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     got = ordered.running_sum(skewed, {"v": "s", "o": "t"}, order, ["k"], ranges)
+    rows = ordered.running_sum_of_rows(skewed, {"v": "s", "o": "t"}, ["o", "i"], ["k"], ranges)
+    assert collected(rows.select("i", "s", "t")) == collected(got.select("i", "s", "t"))
     want = skewed.withColumns({"s": F.sum("v").over(window), "t": F.sum("o").over(window)})
     assert collected(got.select("i", "s", "t")) == collected(want.select("i", "s", "t"))
 
@@ -96,9 +98,8 @@ def test_quantiles(spark, ranges):
 
 
 @pytest.mark.parametrize("parts", [1, 5])
-def test_quantiles_of_many_rows(spark, monkeypatch, parts):
+def test_quantiles_of_many_rows(spark, parts):
     """Far more rows than are counted singly, a third of them equal, in sorted splits."""
-    monkeypatch.setattr(ordered, "WHOLE_ROWS", 150_000)
     n = 300_000
     value = F.when(F.col("id") % 3 == 0, 70_000).otherwise(F.col("id") * 48_271 % 99_991 if parts == 1 else F.col("id"))
     df = spark.range(0, n, 1, parts).select(value.cast("double").alias("v"))
@@ -128,17 +129,34 @@ def test_first_rows_and_sample(spark):
     assert ordered.fixed_sample(df, 5000, ["v"]).count() == 1000
 
 
-def test_join_beyond_the_broadcast_limit(spark, skewed, monkeypatch):
+def test_lookup_by_shuffle_and_by_broadcast_agree(spark, skewed):
     lookup = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     near = collected(ordered.attach_lookup(skewed, lookup, ["k"]))
-    monkeypatch.setattr(ordered, "BROADCAST_ROWS", 0)
-    assert collected(ordered.attach_lookup(skewed, lookup, ["k"])) == near
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert collected(ordered.attach_lookup(skewed, lookup, ["k"])) == near
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
-def test_aggregates_beyond_one_task(skewed, monkeypatch):
-    near = collected(ordered.rank_in_group(skewed, "o", "r", ["k"]).select("i", F.col("r").cast("bigint")))
-    monkeypatch.setattr(ordered, "ONE_TASK_ROWS", 0)
-    assert collected(ordered.rank_in_group(skewed, "o", "r", ["k"]).select("i", "r")) == near
+def test_wide_rows_are_computed_once_and_move_once(spark, skewed):
+    """Every input row is made once, and the running sum deals the rows once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def counted(i):
+        made.add(1)
+        return i
+
+    rows = skewed.repartition(3).withColumn("i", counted("i"))
+    summed = ordered.running_sum_of_rows(rows, {"v": "s"}, ["o", "i"], ["k"], 4)
+    assert summed.count() == 1500 and made.value == 1500
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    # One for the rows; the others belong to the carry, which has a row per range.
+    scans = plan.count("FileScan parquet")
+    assert scans == 2 and len([x for x in wide if "k#" in x]) >= 1
 
 
 def test_rolling_mean_excludes_the_far_end(spark):
@@ -152,6 +170,19 @@ def test_rolling_mean_excludes_the_far_end(spark):
         assert got[day] == pytest.approx(sum(inside) / len(inside))
 
 
+def test_rolling_mean_of_many_times(spark):
+    """200,000 distinct seconds within two windows: the work must not grow with the points in a window."""
+    points = spark.range(200_000).select(
+        (F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 20)).alias("t"),
+        F.when(F.col("id") % 7 != 0, (F.col("id") % 1000) / 7.0).alias("v"),
+    )
+    got = windows.rolling_mean(points, "t", "v", "m")
+    assert got.count() == 200_000
+    last = got.orderBy(F.col("t").desc()).first()
+    inside = [k % 1000 / 7.0 for k in range(200_000 - 129_600, 200_000) if k % 7]
+    assert last.m == pytest.approx(sum(inside) / len(inside), rel=1e-12)
+
+
 def test_hot_key_and_copies_spread_over_ranges(spark):
     """A third of the rows on one key, all of them copies: no range holds more than its share."""
     copies = F.col("id") % 3 == 0
@@ -165,5 +196,8 @@ def test_hot_key_and_copies_spread_over_ranges(spark):
     ranged = ordered.ordered_ranges(rows, ascending("k", "o", "p"), 12)
     sizes = [n for _, n in ordered._range_sizes(ranged)]
     assert len(sizes) == 12 and max(sizes) < 2 * 30_000 / 12
-    counted = ordered.running_sum(rows.withColumn("one", F.lit(1)), {"one": "n"}, ascending("o", "p"), ["k"], 12)
+    tagged = ordered.tagged_ranges(rows, ["k", "o", "p"], 12)
+    sizes = [n for _, n in ordered._range_sizes(tagged)]
+    assert len(sizes) == 12 and max(sizes) < 2 * 30_000 / 12
+    counted = ordered.running_sum_of_rows(rows.withColumn("one", F.lit(1)), {"one": "n"}, ["o", "p"], ["k"], 12)
     assert counted.filter("k = 'hot'").agg(F.max("n"), F.countDistinct("n")).first() == (10_000, 10_000)
