@@ -20,8 +20,20 @@ WHITESPACE = (
 # Last second a nanosecond timestamp can hold; later epoch values count as unreadable.
 LAST_EPOCH_SECOND = 9223372036
 
-# Written dates that are not ISO, tried in this order.
-WRITTEN_FORMATS = ("M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy")
+# Written dates that are not ISO, tried in this order: a month above 12 can only be a day.
+WRITTEN_FORMATS = (
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "yyyy/M/d",
+    "yyyy.M.d",
+    "yyyyMMdd",
+    "d-MMM-yyyy",
+    "MMM d, yyyy",
+    "MMM d yyyy",
+    "d MMM yyyy",
+)
+# Two-digit years count from 1969 to 2068.
+SHORT_FORMAT, SHORT_YEARS_FROM = "d-MMM-yy", 1969
 
 
 def strip_all(text: Column) -> Column:
@@ -35,16 +47,26 @@ def parse_mixed_date(text: Column) -> Column:
     The epoch arithmetic stays in the zone-free type, so the session time zone plays no part.
     """
     value = strip_all(text)
-    seconds = F.conv(F.substring(value, 3, 16), 16, 10).cast("decimal(20,0)")
+    digits = F.regexp_replace(F.substring(value, 3, 2**31 - 1), "^0+(?=.)", "")
+    seconds = F.conv(digits, 16, 10).cast("decimal(20,0)")
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     from_hex = F.when(
-        value.rlike(r"\A0[xX][0-9a-fA-F]{1,16}\z") & (seconds <= LAST_EPOCH_SECOND),
+        digits.rlike(r"\A[0-9a-fA-F]{1,16}\z") & (seconds <= LAST_EPOCH_SECOND),
         epoch + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")),
     )
-    written = [
-        F.to_date(F.try_to_timestamp(value, F.lit(form))).cast("timestamp_ntz") for form in WRITTEN_FORMATS
-    ]
-    from_text = F.coalesce(value.try_cast("timestamp_ntz"), *written)
+    # A time of day after the date is added to it; alone it would be read in the session's zone.
+    clock = F.regexp_extract(value, r" (\d{1,2}:[0-5]\d(?::[0-5]\d)?)\z", 1)
+    day = F.when(clock != "", F.regexp_replace(value, r" \d{1,2}:[0-5]\d(?::[0-5]\d)?\z", "")).otherwise(value)
+
+    def part(at: int) -> Column:
+        return F.coalesce(F.get(F.split(F.nullif(clock, F.lit("")), ":"), F.lit(at)).cast("int"), F.lit(0))
+
+    short = F.to_date(F.try_to_timestamp(day, F.lit(SHORT_FORMAT)))
+    short = F.when(F.year(short) >= SHORT_YEARS_FROM + 100, F.add_months(short, -1200)).otherwise(short)
+    dates = F.coalesce(*[F.to_date(F.try_to_timestamp(day, F.lit(form))) for form in WRITTEN_FORMATS], short)
+    time = F.make_dt_interval(hours=part(0), mins=part(1), secs=part(2).cast("decimal(18,6)"))
+    written = F.when(part(0) < 24, dates.cast("timestamp_ntz") + time)
+    from_text = F.coalesce(value.try_cast("timestamp_ntz"), written)
     return F.when(value.rlike("^0[xX]"), from_hex).otherwise(from_text)
 
 
@@ -64,9 +86,13 @@ def number_field(json_text: Column, name: str, data_type: str = "decimal(18,2)")
     return F.nullif(F.regexp_extract(json_text, pattern, 1), F.lit("")).try_cast(data_type)
 
 
+# Fixed value: the characters that a standard column name keeps.
+NAME_KEEPS = r"[^A-Za-z0-9]+"
+
+
 def standard_name(name: str) -> str:
     """Column name in upper case with runs of other characters turned into one underscore."""
-    return re.sub(r"[^A-Za-z0-9]+", "_", str(name)).strip("_").upper()
+    return re.sub(NAME_KEEPS, "_", str(name)).strip("_").upper()
 
 
 def epoch_micros(ts: Column) -> Column:

@@ -86,11 +86,15 @@ def unknown_currencies(df: DataFrame, rate: str = "EXCHANGE_RATE_USD") -> DataFr
 
 
 def missing_dates(raw: DataFrame, column: str = "INCIDENT_DATE") -> DataFrame:
-    """Missing dates after parsing and after imputation."""
-    parsed = parse_dates(raw, column).select(column)
+    """Missing dates after parsing, blank and unreadable ones apart, and after imputation."""
+    text = F.col(column).cast("string")
+    parsed = parse_dates(raw.select(column, (F.coalesce(strip_all(text), F.lit("")) == "").alias("_blank")), column)
     filled = F.coalesce(F.col(column), median_date(parsed, column))
+    gone = F.col(column).isNull()
     return parsed.agg(
-        F.count_if(F.col(column).isNull()).alias("missing_before"),
+        F.count_if(gone).alias("missing_before"),
+        F.count_if(gone & F.col("_blank")).alias("blank_before"),
+        F.count_if(gone & ~F.col("_blank")).alias("unreadable_before"),
         F.count_if(filled.isNull()).alias("missing_after"),
     )
 

@@ -95,9 +95,37 @@ def raw_csv_claims(spark, folder):
     files.write_csv(damaged_claims(spark, folder).drop(ROW_POS), path)
     read = cleaning.standardize_names(files.read_raw_csv(spark, path), keep=[ROW_POS])
     parsed = read.transform(cleaning.parse_dates).transform(cleaning.extract_metadata)
-    return parsed.select(
-        "PROPERTY_ID", "INCIDENT_DATE", "VALUATION_LOCAL", "PAYOUT_AUTHORIZED", "CONTRACTOR_A85", "INSURANCE_METADATA_JSON"
+    return parsed.drop(ROW_POS)
+
+
+# Files of unequal size, smallest manager numbers in the middle one.
+FILE_OF_MANAGER = "CASE WHEN MANAGER_ID < 'MGR-110' THEN 2 WHEN MANAGER_ID < 'MGR-150' THEN 0 ELSE 1 END"
+LINE_ORDER = ["PAYOUT_AUTHORIZED", "ADJUSTER_GRATUITY", "ADJUSTER_ID", "MANAGER_ID", "VALUATION_LOCAL", "BASE_PREMIUM_USD", "CURRENT_PREMIUM_LOCAL"]
+
+
+@query
+def first_in_file_order(spark, folder):
+    """Claims with tidy ids written to several raw files and scanned back: the first of each property and date."""
+    path = scratch_path(spark, "ordered_csv")
+    rows = ordered.stored_by_column(typed_claims(spark, folder).drop(ROW_POS).withColumn("_file", F.expr(FILE_OF_MANAGER)))
+    metadata = F.concat(
+        F.lit('{"payout_authorized": '), F.col("PAYOUT_AUTHORIZED").cast("string"),
+        F.lit(', "adjuster_gratuity": '), F.col("ADJUSTER_GRATUITY").cast("string"), F.lit("}"),
     )
+    for number in range(3):
+        part = rows.filter(F.col("_file") == number).orderBy(*ordered.ascending(*LINE_ORDER))
+        # The header's order is not that of the schema.
+        text = part.select("MANAGER_ID", metadata.alias("Insurance Metadata JSON"), *[c for c in CSV_COLUMNS if c != "MANAGER_ID"])
+        files.write_csv(text, f"{path}/{number}")
+    read = files.read_raw_csv(spark, f"{path}/*").transform(cleaning.parse_dates).transform(cleaning.extract_metadata)
+    first = cleaning.keep_first(read, [ROW_POS])
+    return first.select("PROPERTY_ID", "INCIDENT_DATE", *LINE_ORDER)
+
+
+CSV_COLUMNS = [
+    "PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "ADJUSTER_ID", "PROPERTY_TYPE", "CURRENCY_CODE", "SQUARE_FOOTAGE",
+    "VALUATION_LOCAL", "CURRENT_PREMIUM_LOCAL", "BASE_PREMIUM_USD", "COUNTRY_CODE",
+]
 
 
 @query
@@ -583,9 +611,33 @@ def fixed_sample(spark, folder):
     return ordered.fixed_sample(rows, 50_000, [ROW_POS]).drop(ROW_POS)
 
 
+@query
+def sample_identities(spark, folder):
+    """Of a sample of 1,000 claims: its size, its distinct rows, and how many of them the claims hold."""
+    rows = ordered.stored_by_column(claims(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", ROW_POS))
+    drawn = ordered.stored(ordered.fixed_sample(rows, 1_000, [ROW_POS]))
+    found = rows.join(drawn.select(ROW_POS), ROW_POS, "left_semi").agg(F.count("*").alias("found")).scalar()
+    return drawn.agg(F.count("*").alias("size"), F.countDistinct(ROW_POS).alias("distinct_rows")).withColumn("found", found)
+
+
 # Statistics
 
 
+@query
+def correlations_with_a_constant(spark, folder):
+    """Both correlations over a column that never varies: there is none, and no p-value."""
+    rows = claims(spark, folder).select(F.lit(7).alias("FLAT"), "PAYOUT_AUTHORIZED")
+    linear, ranked = stats.pearson(rows, "FLAT"), stats.spearman(rows, "FLAT")
+    return linear.crossJoin(ranked.drop("observations"))
+
+
+@query
+def welch_of_constant_cohorts(spark, folder):
+    """The t-test over two cohorts that each hold one value only."""
+    flat = F.when(F.col("DECODED_CONTRACTOR") == COHORTS[0], 3).otherwise(5).alias("PAYOUT_AUTHORIZED")
+    return stats.welch_test(claims(spark, folder).select("DECODED_CONTRACTOR", flat))
+
+
 @query
 def welch_test(spark, folder):
     digits = dict(t_statistic=8, degrees_of_freedom=4, two_sided_p_value=7, one_sided_p_value=7)
@@ -665,3 +717,78 @@ def streamed_review(spark, folder):
     queue = screening.review_queue(stream, anomaly.load_forest(spark, forest), medians)
     screening.start_review(queue, sink, state).awaitTermination()
     return spark.read.schema(queue.schema).parquet(sink)
+
+
+# A forest written down, so that SQL can walk it: tree, node, feature, threshold, low, high, path, sample.
+LITERAL_FOREST = [
+    (0, 0, 0, 40000.0, 1, 2, 0.0, 8),
+    (0, 1, 1, 900.5, 3, 4, 0.0, 8),
+    (0, 2, 2, 2500.25, 5, 6, 0.0, 8),
+    (0, 3, 0, float("inf"), 3, 3, 4.5, 8),
+    (0, 4, 0, float("inf"), 4, 4, 3.0, 8),
+    (0, 5, 0, float("inf"), 5, 5, 2.5, 8),
+    (0, 6, 0, float("inf"), 6, 6, 2.0, 8),
+    (1, 0, 5, 9000000.0, 1, 2, 0.0, 8),
+    (1, 1, 3, 45000.75, 3, 4, 0.0, 8),
+    (1, 2, 4, 0.0015, 5, 6, 0.0, 8),
+    (1, 3, 0, float("inf"), 3, 3, 4.0, 8),
+    (1, 4, 0, float("inf"), 4, 4, 2.0, 8),
+    (1, 5, 0, float("inf"), 5, 5, 3.5, 8),
+    (1, 6, 0, float("inf"), 6, 6, 1.5, 8),
+]
+
+
+def _literal_forest(spark):
+    return anomaly.forest_arrays(spark.createDataFrame(LITERAL_FOREST, anomaly.NODE_SCHEMA))
+
+
+def _literal_scored(spark, folder):
+    return anomaly.score(anomaly.feature_matrix(claims(spark, folder)), _literal_forest(spark))
+
+
+@query
+def literal_forest_scores(spark, folder):
+    """All claims scored by a small forest that SQL can walk as well."""
+    scored = _literal_scored(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "isolation_forest_flag", "isolation_forest_score")
+    return rounded(scored, isolation_forest_score=9)
+
+
+@query
+def literal_forest_rate(spark, folder):
+    return rounded(anomaly.anomaly_rate(_literal_scored(spark, folder)), anomaly_rate=12)
+
+
+@query
+def literal_forest_countries(spark, folder):
+    return anomaly.anomalies_by_country(_literal_scored(spark, folder))
+
+
+@query
+def literal_streamed_review(spark, folder):
+    """Stored claims arrive as a stream and are scored with the written forest."""
+    arriving, sink, state = (scratch_path(spark, n) for n in ("arriving", "review", "review_state"))
+    portfolio(spark, folder).select(*anomaly.ANOMALY_COLUMNS).write.parquet(arriving)
+    known = spark.read.parquet(arriving)
+    stream = spark.readStream.schema(known.schema).parquet(arriving)
+    queue = screening.review_queue(stream, _literal_forest(spark), ordered.exact_medians(known, anomaly.FEATURES))
+    screening.start_review(queue, sink, state).awaitTermination()
+    return rounded(spark.read.schema(queue.schema).parquet(sink).select("PROPERTY_ID", "INCIDENT_DATE", "isolation_forest_score"), isolation_forest_score=9)
+
+
+@query
+def insight_figures(spark, folder):
+    """Figures read back from the insight document, without its forest."""
+    document = insights.insights(ordered.stored_by_column(claims(spark, folder)))
+    places = {
+        "t_statistic": "t_test.t_statistic",
+        "benford_observations": "benfords_law.observations",
+        "chi_square": "benfords_law.chi_square",
+        "pearson_r": "pearson.pearson_r",
+        "spearman_rho": "spearman.spearman_rho",
+        "pareto_managers": "pareto.manager_count",
+        "premium_mad": "premium_mad",
+        "monthly_rows": "monthly_rows",
+        "daily_rows": "daily_rows",
+        "payouts": "claim_payout_descriptive_statistics.count",
+    }
+    return document.select(*[F.round(F.get_json_object("insights", f"$.{p}").cast("double"), 4).alias(n) for n, p in places.items()])

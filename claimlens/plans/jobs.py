@@ -20,10 +20,11 @@ KEY = ["PROPERTY_ID", "INCIDENT_DATE"]
 def prepare(spark: SparkSession, raw_csv: str, out: str) -> DataFrame:
     """Raw CSV to the cleaned table by country, the audit file and the payout of each manager.
 
-    The reports on all rows, before duplicates go, are written as well.
+    The CSV is parsed once. The reports on all rows, before duplicates go, are written as well.
     """
-    raw = files.read_raw_csv(spark, raw_csv)
-    derived = stored_by_column(pipeline.derive(raw))
+    text = stored_by_column(files.read_raw_text(spark, raw_csv))
+    files.write_csv(files.unparsed(text), f"{out}/reports/unparsed")
+    derived = stored_by_column(pipeline.derive(files.type_raw(text)))
     files.write_csv(summary.top_adjusters(derived), f"{out}/reports/top_adjusters")
     files.write_csv(summary.top_contractors(derived), f"{out}/reports/top_contractors")
     files.write_csv(summary.suspect_mean_spike(derived), f"{out}/reports/suspect_mean_spike")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from base64 import a85encode
 
-from claimlens.plans.catalog import CLAIM_ORDER, COHORTS, PROFILED
+from claimlens.plans.catalog import CLAIM_ORDER, COHORTS, FILE_OF_MANAGER, LINE_ORDER, PROFILED
 from claimlens.sources.tables import CONTRACTORS, COUNTRIES, CURRENCIES, PROPERTY_TYPES
 
 
@@ -338,7 +338,19 @@ def _listed(spec: str) -> str:
 
 ORACLES: dict[str, str] = {
     "raw_csv_claims": _from(
-        "raw", "PROPERTY_ID @INCIDENT_DATE $VALUATION_LOCAL $PAYOUT_AUTHORIZED CONTRACTOR_A85 INSURANCE_METADATA_JSON"
+        "raw",
+        """PROPERTY_ID @INCIDENT_DATE MANAGER_ID ADJUSTER_ID PROPERTY_TYPE CURRENCY_CODE $SQUARE_FOOTAGE $VALUATION_LOCAL
+    $CURRENT_PREMIUM_LOCAL $BASE_PREMIUM_USD INSURANCE_METADATA_JSON COUNTRY_CODE INCIDENT_CLASSIFICATION
+    $PAYOUT_AUTHORIZED CONTRACTOR_A85 $ADJUSTER_GRATUITY""",
+    ),
+    "first_in_file_order": _with(
+        ["typed"],
+        f"""SELECT PROPERTY_ID, strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE,
+    CAST(PAYOUT_AUTHORIZED AS DOUBLE) AS PAYOUT_AUTHORIZED, CAST(ADJUSTER_GRATUITY AS DOUBLE) AS ADJUSTER_GRATUITY,
+    ADJUSTER_ID, MANAGER_ID, CAST(VALUATION_LOCAL AS DOUBLE) AS VALUATION_LOCAL,
+    CAST(BASE_PREMIUM_USD AS DOUBLE) AS BASE_PREMIUM_USD, CAST(CURRENT_PREMIUM_LOCAL AS DOUBLE) AS CURRENT_PREMIUM_LOCAL
+    FROM (SELECT *, row_number() OVER (PARTITION BY PROPERTY_ID, INCIDENT_DATE ORDER BY {FILE_OF_MANAGER},
+        {", ".join(LINE_ORDER)}) AS line FROM typed) WHERE line = 1""",
     ),
     "mart_csv_coercion": _with(
         ["claims"],
@@ -380,7 +392,11 @@ ORACLES: dict[str, str] = {
     "imputed_dates": _from("derived_rates", "PROPERTY_ID MANAGER_ID @INCIDENT_DATE #YEAR #MONTH #QUARTER"),
     "missing_dates": _with(
         ["raw"],
-        "SELECT count(*) - count(INCIDENT_DATE) AS missing_before, CAST(0 AS BIGINT) AS missing_after FROM raw",
+        """SELECT count(*) - count(INCIDENT_DATE) AS missing_before, count(*) FILTER (WHERE l_orderkey % 997 = 0) AS blank_before,
+    count(*) FILTER (WHERE l_orderkey % 997 <> 0 AND l_orderkey % 991 = 1) AS unreadable_before,
+    CAST(0 AS BIGINT) AS missing_after FROM typed_raw""",
+        typed_raw="""SELECT l_orderkey, CASE WHEN l_orderkey % 997 = 0 OR l_orderkey % 991 = 1 THEN NULL ELSE INCIDENT_DATE END
+    AS INCIDENT_DATE FROM typed""",
     ),
     "metadata_fields": _from(
         "raw", "PROPERTY_ID INCIDENT_CLASSIFICATION $PAYOUT_AUTHORIZED CONTRACTOR_A85 $ADJUSTER_GRATUITY"
@@ -706,3 +722,64 @@ ORACLES: dict[str, str] = {
     round(regr_r2({Y}, {X}), 10) AS r_squared, count(*) AS observations FROM claims""",
     ),
 }
+
+# The written forest as SQL: the walk down each tree as nested cases, and the score of the mean path.
+WALKS = """SELECT *, CASE WHEN PAYOUT_AUTHORIZED <= 40000.0 THEN CASE WHEN PREMIUM_SPIKE_USD <= 900.5 THEN 4.5 ELSE 3.0 END
+        ELSE CASE WHEN ADJUSTER_GRATUITY <= 2500.25 THEN 2.5 ELSE 2.0 END END
+    + CASE WHEN CAST(VALUATION_USD AS DOUBLE) <= 9000000.0
+        THEN CASE WHEN CAST(TOTAL_FINANCIAL_DAMAGE_USD AS DOUBLE) <= 45000.75 THEN 4.0 ELSE 2.0 END
+        ELSE CASE WHEN PAYOUT_TO_VALUE_RATIO <= 0.0015 THEN 3.5 ELSE 1.5 END END AS walked FROM {source}"""
+SCORED = """SELECT *, 0.5 - pow(2, -CAST(walked AS DOUBLE) / 2 / (2 * (ln(7) + 0.5772156649015329) - 1.75)) AS s FROM walks"""
+FLAG = "CASE WHEN s < 0 THEN -1 ELSE 1 END"
+
+
+def _forest(source: str, body: str) -> str:
+    return _with([source], body, walks=WALKS.format(source=source), scored=SCORED)
+
+
+ORACLES |= {
+    "sample_identities": _with(
+        ["claims"],
+        """SELECT least(1000, count(*)) AS size, least(1000, count(*)) AS distinct_rows, least(1000, count(*)) AS found FROM claims""",
+    ),
+    "correlations_with_a_constant": _with(
+        ["claims"],
+        """SELECT CAST(NULL AS DOUBLE) AS pearson_r, count(*) AS observations, CAST(NULL AS DOUBLE) AS pearson_p_value,
+    CAST(NULL AS DOUBLE) AS spearman_rho, CAST(NULL AS DOUBLE) AS spearman_p_value FROM claims""",
+    ),
+    "welch_of_constant_cohorts": _with(
+        ["claims"],
+        f"""SELECT count(*) FILTER (WHERE DECODED_CONTRACTOR = {_text(COHORTS[0])}) AS first_count,
+    count(*) FILTER (WHERE DECODED_CONTRACTOR = {_text(COHORTS[1])}) AS second_count,
+    CAST(3 AS DOUBLE) AS first_mean, CAST(5 AS DOUBLE) AS second_mean, CAST(NULL AS DOUBLE) AS t_statistic,
+    CAST(NULL AS DOUBLE) AS degrees_of_freedom, CAST(NULL AS DOUBLE) AS two_sided_p_value,
+    CAST(NULL AS DOUBLE) AS one_sided_p_value, CAST(NULL AS BOOLEAN) AS significant_at_0_05 FROM claims""",
+    ),
+    "literal_forest_scores": _forest(
+        "claims",
+        f"""SELECT PROPERTY_ID, strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE, MANAGER_ID,
+    CAST({FLAG} AS BIGINT) AS isolation_forest_flag, round(s, 9) AS isolation_forest_score FROM scored""",
+    ),
+    "literal_forest_rate": _forest(
+        "claims", "SELECT count(*) FILTER (WHERE s < 0) AS anomaly_count, round(count(*) FILTER (WHERE s < 0) / count(*), 12) AS anomaly_rate FROM scored"
+    ),
+    "literal_forest_countries": _forest(
+        "claims", "SELECT COUNTRY_CODE, count(*) AS anomalies FROM scored WHERE s < 0 GROUP BY COUNTRY_CODE"
+    ),
+    "literal_streamed_review": _forest(
+        "portfolio",
+        """SELECT PROPERTY_ID, strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE, round(s, 9) AS isolation_forest_score
+    FROM scored WHERE s < 0""",
+    ),
+}
+ORACLES["insight_figures"] = f"""SELECT
+    (SELECT round(t_statistic, 4) FROM ({ORACLES["welch_test"]})) AS t_statistic,
+    (SELECT round(CAST(observations AS DOUBLE), 4) FROM ({ORACLES["benford_test"]})) AS benford_observations,
+    (SELECT round(chi_square, 4) FROM ({ORACLES["benford_test"]})) AS chi_square,
+    (SELECT round(pearson_r, 4) FROM ({ORACLES["pearson_correlation"]})) AS pearson_r,
+    (SELECT round(spearman_rho, 4) FROM ({ORACLES["spearman_correlation"]})) AS spearman_rho,
+    (SELECT round(CAST(count(*) AS DOUBLE), 4) FROM ({ORACLES["pareto_managers"]})) AS pareto_managers,
+    (SELECT round(any_value(columns(*)), 4) FROM ({ORACLES["premium_deviation"]})) AS premium_mad,
+    (SELECT round(CAST(count(*) AS DOUBLE), 4) FROM ({ORACLES["monthly_gratuity"]})) AS monthly_rows,
+    (SELECT round(CAST(count(*) AS DOUBLE), 4) FROM ({ORACLES["daily_spike"]})) AS daily_rows,
+    (SELECT round(CAST(count AS DOUBLE), 4) FROM ({ORACLES["payout_statistics"]})) AS payouts"""

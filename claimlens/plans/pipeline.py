@@ -23,7 +23,7 @@ from claimlens.operators.cleaning import (
 from claimlens.operators.ordered import stored_by_column
 from claimlens.sources.tables import ROW_POS
 
-# Columns of the cleaned table, in the order of the source followed by the derived ones.
+# Columns of the cleaned table, in the order of the source followed by the derived ones.
 COLUMNS = (
     "PROPERTY_ID",
     "INCIDENT_DATE",

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlens.functions.parsing import standard_name, strip_all
 from claimlens.sources.tables import ROW_POS
 
-# The raw file's columns. Text stays text until the cleaning operators parse it.
+# The raw file's columns, by standard name. Text stays text until the cleaning operators parse it.
 RAW_SCHEMA = (
-    "Property_ID string, Incident_Date string, Manager_ID string, Adjuster_ID string, Property_Type string, "
-    "Currency_Code string, Square_Footage int, Valuation_Local decimal(18,2), "
-    "Current_Premium_Local decimal(18,2), Base_Premium_USD decimal(18,2), Insurance_Metadata_JSON string, "
-    "Country_Code string"
+    "PROPERTY_ID string, INCIDENT_DATE string, MANAGER_ID string, ADJUSTER_ID string, PROPERTY_TYPE string, "
+    "CURRENCY_CODE string, SQUARE_FOOTAGE decimal(18,4), VALUATION_LOCAL decimal(22,6), "
+    "CURRENT_PREMIUM_LOCAL decimal(22,6), BASE_PREMIUM_USD decimal(22,6), INSURANCE_METADATA_JSON string, "
+    "COUNTRY_CODE string"
 )
+# The mart's amounts.
 MART_NUMBERS = (
     "PAYOUT_AUTHORIZED",
     "VALUATION_USD",
@@ -33,16 +35,53 @@ CSV_FORM = {"header": "true", "quote": '"', "escape": '"'}
 CSV_TEXT = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_raw_csv(
-    spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False
-) -> DataFrame:
-    """Raw claims with a row position in file order: splits are ordered by file and offset.
+def read_raw_text(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """The raw file's columns as text under their standard names, with each row's place in file order.
 
-    Empty text reads as missing. ``multi_line`` allows line breaks inside quotes, at the price of reading
-    each file in one task.
+    Columns are found by the header, wherever they stand; a missing or doubled one is an error, as is a file whose
+    header differs from the first one's. A place is the file, the offset of its split and the row's number there,
+    so files follow each other by path. Empty text reads as missing. ``multi_line`` allows line breaks inside
+    quotes, at the price of reading each file in one task.
     """
-    raw = spark.read.schema(schema).options(**CSV_FORM, multiLine=str(multi_line).lower()).csv(path)
-    return raw.withColumn(ROW_POS, F.monotonically_increasing_id())
+    form = {**CSV_FORM, "multiLine": str(multi_line).lower()}
+    header = spark.read.options(**form).csv(path).columns
+    names = [standard_name(c) for c in header]
+    wanted = T.StructType.fromDDL(schema).fieldNames()
+    absent, doubled = [c for c in wanted if c not in names], [c for c in wanted if names.count(c) > 1]
+    if absent or doubled:
+        raise ValueError(f"raw columns missing: {absent}, more than once: {doubled}")
+    read = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    raw = spark.read.schema(read).options(**form, enforceSchema="false").csv(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    found = dict(zip(names, header))
+    return raw.select(*[F.col(f"`{found[c]}`").alias(c) for c in wanted], place.alias(ROW_POS))
+
+
+def type_raw(text: DataFrame, schema: str = RAW_SCHEMA) -> DataFrame:
+    """Raw text columns in their types; what does not parse becomes null."""
+    fields = T.StructType.fromDDL(schema).fields
+    typed = {f.name: strip_all(F.col(f.name)).try_cast(f.dataType) for f in fields if f.dataType != T.StringType()}
+    return text.withColumns(typed)
+
+
+def unparsed(text: DataFrame, schema: str = RAW_SCHEMA) -> DataFrame:
+    """Per typed column the values that are there but do not parse."""
+    fields = [f for f in T.StructType.fromDDL(schema).fields if f.dataType != T.StringType()]
+
+    def lost(f: T.StructField):
+        value = strip_all(F.col(f.name))
+        return F.count_if((value != "") & value.try_cast(f.dataType).isNull()).alias(f.name)
+
+    return text.agg(*[lost(f) for f in fields]).unpivot([], [f.name for f in fields], "column_name", "unparsed")
+
+
+def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi_line: bool = False) -> DataFrame:
+    """Raw claims by header, typed, with their place in file order."""
+    return type_raw(read_raw_text(spark, path, schema, multi_line), schema)
 
 
 def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import math
 from datetime import datetime
 from decimal import Decimal
 
@@ -31,6 +32,18 @@ def test_mixed_dates(spark, zone):
         "2022-01-06": datetime(2022, 1, 6),
         "2022-03-13 02:30:00": datetime(2022, 3, 13, 2, 30),
         "1/6/2022": datetime(2022, 1, 6),
+        "13/02/2022": datetime(2022, 2, 13),
+        "06 Jan 2022": datetime(2022, 1, 6),
+        "2022.01.06": datetime(2022, 1, 6),
+        "20220106": datetime(2022, 1, 6),
+        "1/6/2022 14:30": datetime(2022, 1, 6, 14, 30),
+        "3/13/2022 02:30:05": datetime(2022, 3, 13, 2, 30, 5),
+        "1/6/2022 24:30": None,
+        "Jan 6 2022": datetime(2022, 1, 6),
+        "06-Jan-22": datetime(2022, 1, 6),
+        "06-Jan-75": datetime(1975, 1, 6),
+        "0x00000000000000005db23b00": datetime(2019, 10, 25),
+        "0x0": datetime(1970, 1, 1),
         "2022-02-30": None,
         "": None,
         "junk": None,
@@ -126,4 +139,9 @@ def test_t_tail_at_published_figures():
         assert two_sided_t(t, n - 2) == pytest.approx(p, rel=1e-8)
     assert two_sided_t(1.0, 1.0) == pytest.approx(0.5)
     assert two_sided_t(0.0, 5.0) == 1.0
+    for t in (0.5, 2.0, 6.0):  # the normal tail and its first correction for many degrees of freedom
+        normal = math.erfc(t / math.sqrt(2))
+        step = (t**3 + t) / 4 * math.exp(-t * t / 2) * 2 / math.sqrt(2 * math.pi)
+        for df in (1e7, 1e9, 1e12):
+            assert two_sided_t(t, df) == pytest.approx(normal + step / df, rel=1e-9)
     assert two_sided_t(2.0, 1e9) == pytest.approx(two_sided_t(2.0, 9.9e6), rel=1e-6)

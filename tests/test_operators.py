@@ -270,3 +270,51 @@ def test_repeat_claims_over_ranges(stored_claims):
     many = windows.repeat_claims(stored_claims, [ROW_POS], ranges=9)
     assert one.exceptAll(many).count() == 0 and one.count() == many.count()
     assert one.filter("next_incident_date < INCIDENT_DATE").count() == 0
+
+
+def test_degenerate_statistics(spark):
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (1.0, 4.0)], "x double, y double")
+    for test in (stats.pearson, stats.spearman):
+        row = test(flat, "x", "y").first()
+        assert row[0] is None and row[2] is None and row[1] == 3
+    two = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
+    for test in (stats.pearson, stats.spearman):
+        assert test(two, "x", "y").first()[2] == 1.0
+    assert stats.pearson(flat.limit(0), "x", "y").first().pearson_r is None
+    rows = spark.createDataFrame([("Apex Restoration", 3)] * 3 + [("Global Rebuild", 3)] * 2, "DECODED_CONTRACTOR string, PAYOUT_AUTHORIZED int")
+    result = stats.welch_test(rows).first()
+    assert result.t_statistic is None and result.two_sided_p_value is None and result.significant_at_0_05 is None
+
+
+def test_trees_draw_from_all_rows(spark):
+    from claimlens.operators import anomaly
+
+    matrix = spark.range(300_000).select("id", F.col("id").cast("double").alias("_f0"))
+    drawn = anomaly.tree_samples(matrix, ["id"], trees=1, sample=100_000)
+    assert drawn.count() == 100_000 and drawn.select("_f0").distinct().count() == 100_000
+    small = anomaly.tree_samples(matrix.limit(50), ["id"], trees=3, sample=64).groupBy("tree").count().collect()
+    assert sorted(r["count"] for r in small) == [50, 50, 50]
+
+
+def test_raw_scan_follows_the_header_and_the_files(spark, tmp_path):
+    from claimlens.sources import files
+    from claimlens.sources.tables import ROW_POS
+
+    names = ["Manager_ID", "Incident Date", "property-id", "Adjuster_ID", "Property_Type", "Currency_Code", "Square_Footage", "Valuation_Local"]
+    names += ["Current_Premium_Local", "Base_Premium_USD", "Insurance_Metadata_JSON", "Country_Code"]
+
+    def lines(managers):
+        return "\n".join([",".join(names), *[f"{m},2022-01-06,PRP-1,A,Single,USD,1500.0,1000.456,x{m},12,,US" for m in managers]]) + "\n"
+
+    (tmp_path / "a.csv").write_text(lines(["M1", "M2"]))
+    (tmp_path / "b.csv").write_text(lines([f"N{k}" for k in range(500)]))
+    text = files.read_raw_text(spark, str(tmp_path))
+    rows = files.type_raw(text).orderBy(ROW_POS).collect()
+    assert [r.MANAGER_ID for r in rows] == ["M1", "M2", *[f"N{k}" for k in range(500)]]
+    assert (float(rows[0].VALUATION_LOCAL), float(rows[0].SQUARE_FOOTAGE), rows[0].CURRENT_PREMIUM_LOCAL) == (1000.456, 1500.0, None)
+    lost = {r.column_name: r.unparsed for r in files.unparsed(text).collect()}
+    assert lost["CURRENT_PREMIUM_LOCAL"] == 502 and lost["VALUATION_LOCAL"] == 0
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "c.csv").write_text("Manager_ID,Country_Code\nM,US\n")
+    with pytest.raises(ValueError, match="INCIDENT_DATE"):
+        files.read_raw_text(spark, str(tmp_path / "only"))
