@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.operators.cleaning import numeric_columns
-from claimlens.operators.ordered import attach_lookup, exact_quantiles, stored
+from claimlens.operators.ordered import attach_lookup, exact_quantiles, stored_by_column
 
 PREMIUMS = ("CURRENT_PREMIUM_LOCAL", "BASE_PREMIUM_USD", "CURRENT_PREMIUM_USD")
 
@@ -69,56 +70,53 @@ def column_types(df: DataFrame) -> DataFrame:
 def profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 3) -> DataFrame:
     """Per column: counts, distinct values, extremes, moments, quartiles and the most frequent values.
 
-    Distinct and frequent values come from one count of (column, value) pairs, so a frequent value is
-    collapsed before the shuffle.
+    The rows are stored by column. One aggregate gives counts, extremes and moments of all columns; distinct and
+    frequent values come column by column, each reading its own column only, and a frequent value is collapsed before
+    the shuffle. Every part has one row per column, or ``top``.
     """
     names = [c for c in (columns or df.columns) if not isinstance(df.schema[c].dataType, T.StructType)]
-    df = df.select(*names)
-    numbers = numeric_columns(df)
-    entries = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(c).cast("string").alias("value"),
-            (F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")).alias("number"),
+    kept = stored_by_column(df.select(*names))
+    numbers = numeric_columns(kept)
+    facts, distinct, frequent = [], [], []
+    for c in names:
+        text = F.col(c).cast("string")
+        number = F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
+        facts.append(
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.count_if(F.col(c).isNull()).alias("null_count"),
+                F.min(text).alias("min_text"),
+                F.max(text).alias("max_text"),
+                F.min(number).alias("min_number"),
+                F.max(number).alias("max_number"),
+                F.avg(number).alias("mean"),
+                *([F.stddev_samp(number).alias("stddev")] if numbers else []),
+            )
         )
-        for c in names
-    ]
-    long = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    counts = stored(long.groupBy("column_name", "value", "number").agg(F.count(F.lit(1)).alias("n")))
-    n, number = F.col("n"), F.col("number")
-    mean = F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))
-    totals = counts.groupBy("column_name").agg(
-        F.sum(n).alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("null_count"),
-        F.count("value").alias("distinct_count"),
-        F.min("value").alias("min_text"),
-        F.max("value").alias("max_text"),
-        F.min(number).alias("min_number"),
-        F.max(number).alias("max_number"),
-        mean.alias("mean"),
-    )
-    moments = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in numbers])
-    spread = moments.unpivot([], numbers, "column_name", "stddev") if numbers else None
-    frequent = Window.partitionBy("column_name").orderBy(n.desc(), "value")
+        counts = kept.groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("value").isNotNull())
+        distinct.append(counts.agg(F.count(F.lit(1)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count"))
+        frequent.append(counts.orderBy(F.col("n").desc(), "value").limit(top).select(F.lit(c).alias("column_name"), "n", "value"))
+    result = kept.agg(F.array(*facts).alias("_facts")).select(F.inline("_facts"))
+    entry = F.struct((-F.col("n")).alias("n"), "value")
     common = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("_rn", F.row_number().over(frequent))
-        .filter(F.col("_rn") <= top)
+        reduce(DataFrame.unionByName, frequent)
         .groupBy("column_name")
-        .agg(F.sort_array(F.collect_list(F.struct("_rn", "value", "n"))).alias("_top"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_top"))
         .select(
             "column_name",
             F.array_join(
-                F.transform("_top", lambda t: F.concat(t["value"], F.lit(" ("), t["n"].cast("string"), F.lit(")"))),
+                F.transform("_top", lambda t: F.concat(t["value"], F.lit(" ("), (-t["n"]).cast("string"), F.lit(")"))),
                 "; ",
             ).alias("top_values"),
         )
     )
-    result = attach_lookup(totals, common, ["column_name"])
+    result = attach_lookup(result, reduce(DataFrame.unionByName, distinct), ["column_name"], bounded=True)
+    result = attach_lookup(result, common, ["column_name"], bounded=True)
     if numbers:
-        quartiles = exact_quantiles(df, numbers, [0.25, 0.5, 0.75]).select(
+        quartiles = exact_quantiles(kept, numbers, [0.25, 0.5, 0.75]).select(
             F.col("column").alias("column_name"),
             *[F.col("quantiles")[i].alias(q) for i, q in enumerate(("q1", "median", "q3"))],
         )
-        result = attach_lookup(attach_lookup(result, spread, ["column_name"]), quartiles, ["column_name"])
+        result = attach_lookup(result, quartiles, ["column_name"], bounded=True)
     return result
