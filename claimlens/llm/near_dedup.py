@@ -151,8 +151,8 @@ def shingle_blobs(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("_doc", "_text").mapInArrow(sets, "_doc long, members binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets meet the similarity."""
+def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets meet the similarity. Of rows that share a key each text is tried."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +163,6 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int,
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    asked = pairs.select(F.col("u").alias("_doc")).union(pairs.select(F.col("v").alias("_doc"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    # Rows that share a key may differ in their text; each is then tried, as the node is one of them.
-    members = stored(shingle_blobs(texts.join(asked, "_doc"), width), "members")
     u = members.select(F.col("_doc").alias("u"), F.col("members").alias("mu"))
     v = members.select(F.col("_doc").alias("v"), F.col("members").alias("mv"))
     met = pairs.join(u, "u").join(v, "v").select("u", "v", "mu", "mv").mapInArrow(meet, "u long, v long")
@@ -206,7 +202,7 @@ def block_links(sets: list[np.ndarray], made: np.ndarray, component: np.ndarray,
     return sorted(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist())))
 
 
-def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between components of one cloud, verified on full sets.
 
     ``clouds`` and ``label`` give the cloud and the component of nodes. A cloud's nodes are dealt to blocks, and every
@@ -220,15 +216,12 @@ def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, docs: Dat
     mixed = own.groupBy("cloud").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
     mixed = stored(mixed.where("a < b").select("cloud", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
     open_ = own.join(mixed, "cloud").join(nodes.select("node", "sketch"), "node")
-    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    asked = open_.select(F.col("node").alias("_doc")).distinct()
-    members = shingle_blobs(texts.join(asked, "_doc"), width).withColumnRenamed("_doc", "node")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
     )
-    rows = open_.withColumn("own", at).join(members, "node")
+    rows = open_.withColumn("own", at).join(members.withColumnRenamed("_doc", "node"), "node")
     rows = rows.select("cloud", "component", "sketch", "members", "own", F.inline(meets))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -263,10 +256,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = stored(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
     stars = shared.where("node > hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     pairs = stored(sketched_pairs(stars, nodes, percent), "pairs")
-    links = stored(verified(pairs.where("likely").select("u", "v"), docs, key, text, width, percent), "links")
+    asked = pairs.select(F.col("u").alias("_doc")).union(pairs.select(F.col("v").alias("_doc"))).distinct()
+    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
+    members = stored(shingle_blobs(texts, width), "members")
+    links = stored(verified(pairs.where("likely").select("u", "v"), members, percent), "links")
     first = stored(components(links), "labels")
     clouds = stored(components(pairs.select("u", "v")), "clouds")
-    more = stored(cloud_links(clouds, first, nodes, docs, key, text, width, percent), "more")
+    more = stored(cloud_links(clouds, first, nodes, members, percent), "more")
     last = first if more.isEmpty() else stored(components(links.union(more)), "labels")
     by_set = firsts.join(last, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("_component"))
     by_set = stored(by_set, "by_set")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable
@@ -21,10 +22,18 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def stored(df: DataFrame, name: str = "text") -> DataFrame:
-    """The same rows from a Parquet table in the shared folder: computed once, and safe from lost executors."""
+    """The same rows from a Parquet table in the shared folder: computed once, and safe from lost executors.
+
+    The shuffle files behind the table are then of no use. Spark deletes those whose frames the driver has let go, so
+    the driver is asked to, rather than to keep them until it happens to run short of memory.
+    """
     path = scratch_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
