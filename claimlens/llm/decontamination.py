@@ -26,7 +26,7 @@ from claimlens.llm import words as W
 from claimlens.llm.tables import pieces, without_keys
 
 WIDTH = 10
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 # Test texts of one broadcast block, in bytes.
 BLOCK_BYTES = 8_000_000
 

@@ -53,10 +53,10 @@ class Index:
         self.left = self.listed = self.size
 
     def use(self, document: int) -> None:
-        """Take a document out; when half are gone, their postings go as well."""
+        """Take a document out; when a tenth are gone, their postings go as well."""
         self.unused[document] = False
         self.left -= 1
-        if 2 * self.left < self.listed:
+        if 10 * self.left < 9 * self.listed:
             stay = self.unused[self.owner]
             self.owner, self.weight = self.owner[stay], self.weight[stay]
             self.starts = np.concatenate(([0], np.cumsum(stay)))[self.starts]

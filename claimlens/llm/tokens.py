@@ -1,21 +1,21 @@
 """Token ids of whole texts by a public byte-pair tokenizer file, each distinct word encoded once per task.
 
-The tokenizer splits normalised text into letter runs, single digits and runs of signs, and encodes each by itself.
-For texts of Latin letters the split is done here and the words' ids are looked up; any other text, where Unicode
-rules of the two sides could differ, goes to the tokenizer as a whole. Both ways give the same ids.
+The tokenizer drops white space and never joins what it separates, so the words between are encoded each by itself and
+their ids are kept. Texts of Latin letters are lowered and split here; any other text, where Unicode rules of the two
+sides could differ, goes to the tokenizer as a whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
-# Words kept between texts; beyond that the store starts anew.
-MOST_WORDS = 1_000_000
+# Words kept between texts, in two generations: when the younger is full it becomes the older, and words of the older
+# that are met again are young anew.
+MOST_WORDS = 300_000
 LONGEST = 48
-# Fixed value: how the tokenizer file splits normalised text, written for Latin letters.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 # Control characters, unusual spaces, fractions and all beyond Latin Extended-B are left to the tokenizer.
 _UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbeİɐ-\U0010ffff]")
 
@@ -29,27 +29,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint16).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; none for a null or empty one."""
-        split = [None if not t or _UNUSUAL.search(t) else _SPLIT.findall(t.lower()) for t in texts]
+        split = [None if not t or _UNUSUAL.search(t) else t.lower().split() for t in texts]
         if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        new = [w for w in {w for words in split if words for w in words} if w not in known]
-        fresh: dict[str, bytes] = {}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        # The words of these texts, in a store of their own: looked up once here, then from little memory.
+        here: dict[str, bytes] = {}
+        new = []
+        for w in set().union(*[words for words in split if words]):
+            ids = known.get(w)
+            if ids is None:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                known[w] = ids
+            here[w] = ids
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            fresh.update(zip(part, self._whole(part)))
-        known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-        long = {w: ids for w, ids in fresh.items() if len(w) > LONGEST}
+            fresh = dict(zip(part, self._whole(part)))
+            here.update(fresh)
+            known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
         made = []
         for t, words in zip(texts, split):
             if words is not None:
-                blob = b"".join([known[w] if len(w) <= LONGEST else long[w] for w in words]) if long else b"".join(map(known.__getitem__, words))
+                blob = b"".join(map(here.__getitem__, words))
             else:
                 blob = self._whole([t])[0] if t else b""
             made.append(np.frombuffer(blob, dtype=np.uint16))
