@@ -14,7 +14,8 @@ or earlier in the same one. The suffix arrays need only hold places where an ans
 4. Covered stretches are joined with the texts, merged and cut out.
 
 Anchors that very many documents share (found on a sample of documents, and so only a matter of how work is dealt) are
-dealt by context in step 2 and by string in step 3. Texts move compressed.
+dealt by context in step 2. Anchors with more than MANY open contexts are cut into single strings and dealt by these in
+step 3, so no shard depends on how often a passage occurs. Texts move compressed.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ LENGTH = 100
 GRAM = 32
 # A run is cut after so many windows, which bounds a context to RUN + LENGTH - 1 bytes.
 RUN = 64
-# Contexts of one suffix array, in bytes; whole anchors only.
-SHARD_BYTES = 3_000_000
+# Contexts of one suffix array, in bytes; whole anchors only, of at most MANY contexts each.
+SHARD_BYTES = 1_500_000
+MANY = 10_000
 # One document in SAMPLE looks for anchors in more than HOT_SHARE of the sampled documents.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.01, 32
 SALTS = 1_024
@@ -163,7 +165,7 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
 
 
 def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
-    """``covered`` runs, and the first runs of contexts whose strings must still be compared (``open``, ``hot``)."""
+    """``covered`` runs, and the first runs of contexts whose strings must still be compared (``open``)."""
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     salted = found.withColumns({"hot": is_hot, "salt": F.when(is_hot, F.pmod("c", F.lit(SALTS))).otherwise(0)})
     ordered = salted.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "at")
@@ -195,14 +197,16 @@ def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
         recurs = np.bincount(group, weights=again)[group] > 0
         open_ = new_c & ((contexts > 1) | recurs | own_hot)
         keep = np.flatnonzero(covered | open_)
-        made = [h[keep], c[keep] & 127, doc[keep], at[keep], covered[keep], open_[keep], own_hot[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["h", "windows", "doc", "at", "covered", "open", "hot"])
+        made = [h[keep], c[keep] & 127, doc[keep], at[keep], covered[keep], open_[keep]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["h", "windows", "doc", "at", "covered", "open"])
 
-    schema = "h long, windows long, doc long, at long, covered boolean, open boolean, hot boolean"
+    schema = "h long, windows long, doc long, at long, covered boolean, open boolean"
     return ordered.select(*names).mapInArrow(work, schema)
 
 
 def _packed_texts(keyed: DataFrame) -> DataFrame:
+    """Texts compressed one by one, which move as about two thirds of what Spark's own compression leaves."""
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight = zstd.ZstdCompressor(level=3)
         for batch in batches:
@@ -218,11 +222,14 @@ def _sig(at: str = "at"):
 
 
 def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Open runs with their bytes, as (shard, h, doc, at, windows, context), or (covered) stretches.
+    """Open runs with their bytes, as (shard, doc, at, windows, context); without a shard and bytes, covered stretches.
 
-    Runs of a hot anchor are cut into single strings, of which each task sends the earliest and covers the others.
+    Runs of an anchor with many contexts are cut into single strings, of which each batch sends the earliest and covers
+    the others.
     """
-    wanted = open_runs.groupBy("doc", _sig().alias("sig")).agg(F.collect_list(F.struct("h", "at", "windows", "hot")).alias("runs"))
+    many = stored(open_runs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY), "many")
+    marked = open_runs.join(many, "h", "left").withColumn("hot", F.col("n").isNotNull())
+    wanted = marked.groupBy("doc", _sig().alias("sig")).agg(F.collect_list(F.struct("h", "at", "windows", "hot")).alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstd.ZstdDecompressor()
@@ -234,7 +241,7 @@ def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
                 for run in asked:
                     start = run["at"] & _STARTS
                     if not run["hot"]:
-                        out.append((run["h"], run["h"], doc, run["at"], run["windows"], text[start : start + run["windows"] + LENGTH - 1]))
+                        out.append((run["h"], doc, run["at"], run["windows"], text[start : start + run["windows"] + LENGTH - 1]))
                         continue
                     for s in range(start, start + run["windows"]):
                         piece, place = (run["h"], text[s : s + LENGTH]), (doc, (sig << START_BITS) + s)
@@ -243,18 +250,17 @@ def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
                             single[piece] = place
                             known, place = place, known
                         if place and place != known:
-                            out.append((None, run["h"], place[0], place[1], 1, None))
-            out += [(xxhash.xxh3_64_intdigest(text) - 2**63, h, doc, at, 1, text) for (h, text), (doc, at) in single.items()]
+                            out.append((None, place[0], place[1], 1, None))
+            out += [(xxhash.xxh3_64_intdigest(text) - 2**63, doc, at, 1, text) for (_, text), (doc, at) in single.items()]
             if out:
-                kinds = [pa.int64()] * 5 + [pa.binary()]
+                kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], CONTEXT)
 
-    docs = _packed_texts(keyed).where("packed != X''")
-    joined = docs.join(wanted, ["doc", "sig"]).select("doc", "sig", "runs", "packed")
-    return joined.mapInArrow(cut, "shard long, h long, doc long, at long, windows long, context binary")
+    joined = _packed_texts(keyed).join(wanted, ["doc", "sig"]).select("doc", "sig", "runs", "packed")
+    return joined.mapInArrow(cut, "shard long, doc long, at long, windows long, context binary")
 
 
-CONTEXT = ["shard", "h", "doc", "at", "windows", "context"]
+CONTEXT = ["shard", "doc", "at", "windows", "context"]
 
 
 def repeated_starts(context: list[bytes], windows: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +355,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         loose = zstd.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for null, packed, found in zip(*(batch.column(n).to_pylist() for n in ("null", "packed", "found"))):
+            for packed, found in zip(*(batch.column(n).to_pylist() for n in ("packed", "found"))):
                 raw = loose.decompress(packed) if packed else b""
                 gone = merged([(f["at"] & _STARTS, (f["at"] & _STARTS) + f["windows"] + LENGTH - 1) for f in found or ()])
                 last, kept = 0, []
@@ -363,8 +369,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = [pa.array(x, k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([doc, *columns], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    texts = _packed_texts(keyed)
-    joined = texts.join(spans, ["doc", "sig"], "left").select("doc", "null", "packed", "found")
+    joined = _packed_texts(keyed).join(spans, ["doc", "sig"], "left").select("doc", "null", "packed", "found")
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<low: bigint, high: bigint>>"
     return joined.mapInArrow(cut, f"`{key}` long, {schema}")
 

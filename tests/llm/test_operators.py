@@ -135,6 +135,7 @@ def test_substring_dedup_equals_brute_force(spark, odd):
 def test_substring_dedup_of_hot_and_periodic_text(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", 5)
+    monkeypatch.setattr(substring_dedup, "MANY", 5)
     common = passage(9, 30)
     rows = [(k, passage(100 + k, 8 + k % 5) + " " + common + " " + passage(200 + k, 9)) for k in range(40)]
     rows += [(50, "ab" * 400), (51, "ab" * 90 + passage(300, 20)), (52, passage(301, 20) * 3)]
