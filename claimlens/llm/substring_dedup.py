@@ -40,7 +40,7 @@ GRAM = 32
 RUN = 64
 # Contexts of one suffix array, in bytes; whole anchors only, of at most MANY contexts each.
 SHARD_BYTES = 1_500_000
-MANY = 10_000
+MANY = 30_000
 # One document in SAMPLE looks for anchors in more than HOT_SHARE of the sampled documents.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.01, 32
 SALTS = 1_024
@@ -236,6 +236,7 @@ def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             single: dict[tuple[int, bytes], tuple[int, int]] = {}
+            later: list[tuple[int, int]] = []
             for doc, sig, asked, packed in zip(*(batch.column(n).to_pylist() for n in ("doc", "sig", "runs", "packed"))):
                 text = loose.decompress(packed)
                 for run in asked:
@@ -250,7 +251,13 @@ def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
                             single[piece] = place
                             known, place = place, known
                         if place and place != known:
-                            out.append((None, place[0], place[1], 1, None))
+                            later.append(place)
+            if later:
+                # Consecutive starts are one covered stretch.
+                doc, at = np.array(sorted(set(later)), dtype=np.int64).T
+                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))))
+                count = np.diff(np.append(first, len(doc)))
+                out += [(None, d, a, n, None) for d, a, n in zip(doc[first].tolist(), at[first].tolist(), count.tolist())]
             out += [(xxhash.xxh3_64_intdigest(text) - 2**63, doc, at, 1, text) for (_, text), (doc, at) in single.items()]
             if out:
                 kinds = [pa.int64()] * 4 + [pa.binary()]
