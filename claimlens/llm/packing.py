@@ -23,7 +23,7 @@ from claimlens.llm.tokens import Encoder
 WINDOW = 2_048
 END = 1
 # Text of a shard: bounds the index and a task's memory. A single larger text makes a shard of its own.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_500_000
 K1, B = 1.2, 0.75
 # Sequence numbers of a task: the task's number times this, and on.
 PER_TASK = 2**33
@@ -34,14 +34,16 @@ class Index:
 
     def __init__(self, documents: list[np.ndarray]):
         self.size = len(documents)
-        terms, counts, lengths = [], [], np.array([max(len(d), 1) for d in documents], dtype=np.float64)
-        for d in documents:
-            held, n = np.unique(d, return_counts=True)
-            terms.append(held), counts.append(n)
-        self.terms = terms
-        owner = np.repeat(np.arange(self.size), [len(t) for t in terms])
-        term = np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64)
-        tf = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
+        size = np.array([len(d) for d in documents], dtype=np.int64)
+        lengths = np.maximum(size, 1).astype(np.float64)
+        # One sort of (document, term) for the whole shard.
+        owner = np.repeat(np.arange(self.size, dtype=np.int64), size)
+        flat = np.concatenate(documents).astype(np.int64) if documents else np.zeros(0, np.int64)
+        pairs = np.sort((owner << 16) | flat)
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.zeros(0, np.int64)
+        tf = np.diff(np.append(first, len(pairs))).astype(np.float64)
+        owner, term = pairs[first] >> 16, pairs[first] & 0xFFFF
+        self.terms, self.limits = term, np.searchsorted(owner, np.arange(self.size + 1))
         frequency = np.bincount(term, minlength=2**16)
         idf = np.log(1 + (self.size - frequency + 0.5) / (frequency + 0.5))
         norm = K1 * (1 - B + B * lengths / lengths.mean()) if self.size else lengths
@@ -64,7 +66,7 @@ class Index:
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused documents by falling BM25 score for the seed's terms, those without a common term last."""
-        held = self.terms[seed].astype(np.int64)
+        held = self.terms[self.limits[seed] : self.limits[seed + 1]]
         low, size = self.starts[held], self.starts[held + 1] - self.starts[held]
         at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
         scores = np.bincount(self.owner[at], weights=self.weight[at], minlength=self.size)
