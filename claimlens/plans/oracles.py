@@ -557,7 +557,7 @@ ORACLES: dict[str, str] = {
     "spike_trend": _with(
         ["claims"],
         """SELECT strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE, mean_spike,
-    round(avg(mean_spike) OVER (ORDER BY INCIDENT_DATE RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW), 6)
+    round(avg(mean_spike) OVER (ORDER BY INCIDENT_DATE RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) + 2.5e-8, 6)
     AS rolling_mean_spike FROM daily""",
         daily=DAILY,
     ),
