@@ -7,12 +7,14 @@ the Jaccard similarity with concentration bounds, and a set of n elements needs
 
 Texts with equal shingle sets are one node. Nodes that share a band of ROWS coordinates are candidates: with 32
 bands of 4 a pair at similarity 0.8 shares none with a chance of 5 in 10**8, and 13 on average. In each bucket every
-node is compared with the bucket's least one, so candidates grow with the nodes and never with their pairs. Pairs
-whose sketches agree in LIKELY of the coordinates (over four deviations below 0.8) are verified on both full sets.
-
-Nodes joined by candidates of at least LOOSE agreement form a cloud. A cloud whose nodes are not all linked by then is
-gone through in blocks: every two blocks meet in a task that compares sketches and then full sets of nodes in
-different components, and returns one link per pair of components. No step lists the pairs of a group.
+node is compared with the bucket's least one, its hub. Pairs whose sketches agree in LIKELY of the coordinates (over
+four deviations below 0.8) are verified on both full sets.
+
+Nodes joined by candidates of at least LOOSE agreement form a cloud. A bucket whose nodes beside the hub lie in several
+clouds is not settled by its hub: its nodes meet in blocks, and two clouds that hold a likely pair become one. A cloud
+whose nodes are not all linked by then is gone through in blocks: every two blocks meet in a task that compares sketches
+and then full sets of nodes in different components, and returns one link per pair of components. No step lists the
+pairs of a group.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
@@ -36,6 +38,9 @@ PIECE_BYTES = 2_000_000
 # Nodes of a block; sets are compared by products of 0/1 matrices, so many shingles at a time.
 BLOCK = 512
 COLUMNS = 4_096
+# Nodes of a bucket that meet in one task, by sketches alone, and those compared at once.
+MEETING = 4_096
+TILE = 512
 _EMPTY = np.uint64(2**64 - 1)
 _SEEDS = W.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(W.BASE))
 
@@ -202,6 +207,68 @@ def block_links(sets: list[np.ndarray], made: np.ndarray, component: np.ndarray,
     return sorted(set(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist())))
 
 
+def _dealt(blocks: str) -> tuple[Column, Column]:
+    """A node's own block of so many, and an array of the pairs of blocks (i, j) in which that block meets all others."""
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col(blocks) - 1),
+        lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
+    )
+    return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int"), meets
+
+
+def tied_clouds(made: np.ndarray, size: np.ndarray, cloud: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> set[tuple[int, int]]:
+    """The pairs of different clouds that a likely pair of nodes, one of ``left`` and one of ``right``, ties."""
+    found: set[tuple[int, int]] = set()
+    for a in range(0, len(left), TILE):
+        one = left[a : a + TILE]
+        for b in range(0, len(right), TILE):
+            two = right[b : b + TILE]
+            other = cloud[one][:, None] != cloud[two][None, :]
+            if not other.any():
+                continue
+            agree = np.zeros(other.shape, dtype=np.uint8)
+            for x, y in zip(made[one].T, made[two].T):
+                agree += x[:, None] == y[None, :]
+            u, v = np.nonzero(other & (agree >= LIKELY * percent / 80 * SIZE))
+            u, v = one[u], two[v]
+            near = 100 * np.minimum(size[u], size[v]) >= percent * np.maximum(size[u], size[v])
+            u, v = cloud[u[near]], cloud[v[near]]
+            found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist()))
+    return found
+
+
+def bucket_ties(shared: DataFrame, clouds: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of clouds tied by a likely pair of nodes in a bucket, neither being its hub.
+
+    A node in no cloud is one of its own. Hubs have met every node of their buckets before. Buckets of at most MEETING
+    nodes are dealt whole to groups of about as many; larger ones are cut into blocks, and every two of them meet.
+    """
+    own = shared.where("node > hub").select("bucket", "node").join(clouds.withColumnRenamed("component", "cloud"), "node", "left")
+    own = stored(own.withColumn("cloud", F.coalesce("cloud", "node")), "dealt")
+    mixed = own.groupBy("bucket").agg(F.min("cloud").alias("a"), F.max("cloud").alias("b"), F.count("*").alias("size"))
+    mixed = stored(mixed.where("a < b").select("bucket", "size", F.ceil(F.col("size") / MEETING).cast("int").alias("blocks")), "open")
+    whole = mixed.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
+    at, meets = _dealt("blocks")
+    group = F.when(F.col("blocks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(whole // MEETING + 1)))
+    rows = own.join(mixed, "bucket").join(nodes.select("node", "n", "sketch"), "node").withColumn("own", at)
+    rows = rows.select((F.col("blocks") > 1).alias("cut"), group.alias("group"), "bucket", "cloud", "n", "sketch", "own", F.inline(meets))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        made = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SIZE)
+        bucket, cloud, size, block = (np.asarray(table.column(c)) for c in ("bucket", "cloud", "n", "own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found: set[tuple[int, int]] = set()
+        order = np.argsort(bucket, kind="stable")
+        for one in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            left, right = one[block[one] == i], one[block[one] == j]
+            found |= tied_clouds(made, size, cloud, left, right, percent)
+        ties = sorted(found)
+        return pa.table({"u": pa.array([u for u, _ in ties], pa.int64()), "v": pa.array([v for _, v in ties], pa.int64())})
+
+    return rows.groupBy("cut", "group", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
 def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between components of one cloud, verified on full sets.
 
@@ -216,11 +283,7 @@ def cloud_links(clouds: DataFrame, label: DataFrame, nodes: DataFrame, members:
     mixed = own.groupBy("cloud").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
     mixed = stored(mixed.where("a < b").select("cloud", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
     open_ = own.join(mixed, "cloud").join(nodes.select("node", "sketch"), "node")
-    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")),
-    )
+    at, meets = _dealt("blocks")
     rows = open_.withColumn("own", at).join(members.withColumnRenamed("_doc", "node"), "node")
     rows = rows.select("cloud", "component", "sketch", "members", "own", F.inline(meets))
 
@@ -256,12 +319,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     shared = stored(buckets.join(hubs.select("bucket", "hub"), "bucket"), "buckets")
     stars = shared.where("node > hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     pairs = stored(sketched_pairs(stars, nodes, percent), "pairs")
-    asked = pairs.select(F.col("u").alias("_doc")).union(pairs.select(F.col("v").alias("_doc"))).distinct()
+    clouds = stored(components(pairs.select("u", "v")), "clouds")
+    ties = stored(bucket_ties(shared, clouds, nodes, percent), "ties")
+    met = pairs.select("u", "v").union(ties)
+    if not ties.isEmpty():
+        clouds = stored(components(met), "clouds")
+    asked = met.select(F.col("u").alias("_doc")).union(met.select(F.col("v").alias("_doc"))).distinct()
     texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
     members = stored(shingle_blobs(texts, width), "members")
     links = stored(verified(pairs.where("likely").select("u", "v"), members, percent), "links")
     first = stored(components(links), "labels")
-    clouds = stored(components(pairs.select("u", "v")), "clouds")
     more = stored(cloud_links(clouds, first, nodes, members, percent), "more")
     last = first if more.isEmpty() else stored(components(links.union(more)), "labels")
     by_set = firsts.join(last, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("_component"))

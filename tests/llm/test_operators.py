@@ -6,6 +6,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +229,27 @@ def test_near_dedup_of_chains_and_large_groups(spark):
     assert got == brute_components(rows, 4)
 
 
+def composed(strangers: int, seed: int):
+    """A near pair of 240 words, and strangers that hold 105 of these each and come before both in order of keys."""
+    rng = np.random.default_rng(seed)
+    fresh = lambda n: [f"w{k}" for k in rng.integers(0, 10**12, n)]
+    own = fresh(240)
+    rows = [(k, " ".join([own[x] for x in rng.permutation(240)[:105]] + fresh(135))) for k in range(strangers)]
+    return rows + [(10**6, " ".join(own)), (10**6 + 1, " ".join(own[:220] + fresh(20)))]
+
+
+def test_near_copies_that_share_all_their_buckets_with_strangers(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEETING", 100, raising=False)
+    rows = composed(700, 28)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, width=1).collect()}
+    number: dict[tuple, int] = {}
+    sets = {k: {number.setdefault(x, len(number)) for x in shingles(t, 1)} for k, t in rows}
+    alike = [(a, b) for a, b in combinations(sorted(sets), 2) if 180 * len(sets[a] & sets[b]) >= 80 * (len(sets[a]) + len(sets[b]))]
+    assert alike == [(10**6, 10**6 + 1)]
+    assert got == {k: (len(x), 10**6 if k == 10**6 + 1 else k) for k, x in sets.items()}
+
+
 def test_every_coordinate_of_a_sketch_fills():
     rng = np.random.default_rng(3)
     sizes = [1, 2, 5, 60, 900]
