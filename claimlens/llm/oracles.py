@@ -39,7 +39,41 @@ SELECT page_id, host, path,
 FROM fits
 """
 
+
+
+def centroid_clusters(rounds: int) -> str:
+    """K-means round by round: nearest by (distance, number), then the mean rounded down."""
+    nearest = """SELECT vec_id, row, e, min_by(k, (d, k)) AS k, min(d) AS d FROM (
+  SELECT v.vec_id, v.row, v.e, c.k, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.c[i]) * (v.e[i] - c.c[i]))) AS d
+  FROM v, c{n} AS c) GROUP BY vec_id, row, e"""
+    moved = """SELECT c.k, coalesce(m.c, c.c) AS c FROM c{n} AS c LEFT JOIN (
+  SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c
+  FROM (SELECT k, p, sum(e[p]) AS s, CAST(count(*) AS HUGEINT) AS n FROM a{n}, (SELECT unnest(range(1, 65)) AS p) GROUP BY k, p)
+  GROUP BY k) AS m ON c.k = m.k"""
+    tables = [
+        """v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row,
+    list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS k, e AS c
+  FROM (SELECT e, sha256('3:' || CAST(vec_id AS VARCHAR)) AS h FROM v ORDER BY h, e LIMIT 8))""",
+    ]
+    for n in range(rounds):
+        tables += [f"a{n} AS MATERIALIZED ({nearest.format(n=n)})", f"c{n + 1} AS MATERIALIZED ({moved.format(n=n)})"]
+    tables.append(f"last AS MATERIALIZED ({nearest.format(n=rounds)})")
+    return (
+        "WITH "
+        + ",\n".join(tables)
+        + f"""
+SELECT last.vec_id, CAST(last.k AS INTEGER) AS cluster, CAST(last.d AS BIGINT) AS distance,
+  CAST(sum(last.d) OVER (PARTITION BY last.k) AS BIGINT) AS cluster_inertia, CAST(sum(last.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.c, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM last JOIN c{rounds} AS c ON last.k = c.k
+"""
+    )
+
+
 ORACLES = {
     "op3_line_dedup": LINE_DEDUP,
     "op10_url_filters": URL_FILTERS,
+    "op12_centroid_clustering": centroid_clusters(10),
 }
