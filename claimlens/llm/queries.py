@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
+from claimlens.llm import alignment, clustering, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
 from claimlens.llm.oracles import ORACLES as ORACLES
 from claimlens.llm.tables import table
 
@@ -74,6 +74,14 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(pages, URL_RULES).drop("url")
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.centroid_clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,4 +93,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_centroid_clustering": op12_centroid_clustering,
 }
