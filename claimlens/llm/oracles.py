@@ -72,8 +72,32 @@ FROM last JOIN c{rounds} AS c ON last.k = c.k
     )
 
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE split AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS node, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, node, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+  FROM split
+), items AS MATERIALIZED (
+  SELECT node, len(s) AS n, unnest(s) AS e FROM sets
+), shared AS MATERIALIZED (
+  SELECT * FROM items WHERE e IN (SELECT e FROM items GROUP BY e HAVING count(*) > 1)
+), pairs AS MATERIALIZED (
+  SELECT a.node AS u, b.node AS v FROM shared AS a JOIN shared AS b ON a.e = b.e AND a.node <> b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT node, node AS other FROM sets UNION SELECT reach.node, v FROM reach JOIN pairs ON other = u
+)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT reach.node, min(doc_id) AS component_id FROM reach JOIN sets ON other = sets.node GROUP BY reach.node) AS c ON c.node = sets.node
+"""
+
 ORACLES = {
     "op3_line_dedup": LINE_DEDUP,
     "op10_url_filters": URL_FILTERS,
     "op12_centroid_clustering": centroid_clusters(10),
+    "op13_ngram_jaccard_join": JACCARD_JOIN,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import alignment, clustering, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
+from claimlens.llm import alignment, clustering, decontamination, fingerprints, language, line_dedup, near_dedup, packing, quality, set_join, substring_dedup, toxicity, url_filters
 from claimlens.llm.oracles import ORACLES as ORACLES
 from claimlens.llm.tables import table
 
@@ -82,6 +82,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.centroid_clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -95,4 +99,5 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }

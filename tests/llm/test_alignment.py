@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left
 from collections import Counter
 
 import pytest
@@ -61,10 +62,11 @@ def brute(texts):
                 spans.append((at, at + size(k), k))
                 at += size(k)
         cuts = sorted({e for _, e, _ in spans_a} & {e for _, e, _ in spans_b})
-        groups, low = [], 0
-        for cut in cuts:
-            groups.append("|".join(",".join(str(k) for s, e, k in spans if low <= s and e <= cut) for spans in (spans_a, spans_b)))
-            low = cut
+        held = [([], []) for _ in cuts]
+        for side, spans in enumerate((spans_a, spans_b)):
+            for _, e, k in spans:
+                held[bisect_left(cuts, e)][side].append(str(k))
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in held]
         links, j = [], 0
         for s, e, k in spans_a:
             while spans_b[j][1] <= s:
