@@ -1,4 +1,4 @@
-"""Isolation forest: trees grown from hashed subsamples, rows scored in place."""
+"""Isolation forest: trees grown level by level from hashed subsamples, rows scored in place."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.operators.cleaning import finite, impute_medians
-from claimlens.operators.ordered import ascending, stored
+from claimlens.operators.ordered import below_share, hex_digits, least_by_digest, seeded_digest, stored
 
 # The features and the columns of the anomaly table.
 FEATURES = (
@@ -61,96 +61,110 @@ def feature_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
 
 def tree_samples(
     matrix: DataFrame, key: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
-) -> DataFrame:
-    """``min(sample, rows)`` rows for each tree, chosen by hashes of the row key and so alike for any partitioning.
+) -> tuple[DataFrame, int]:
+    """``min(sample, rows)`` rows for each tree (``tree``, ``f``), and that number.
 
-    A first hash thins the rows to a pool of about as many as all trees draw together; a second one, different for
-    each tree, picks the tree's rows from it. Both thresholds leave some more than is needed, and are raised until
-    no tree lacks a row.
+    The ``trees * sample`` rows with the least md5 of seed and key are the pool, and of these each tree takes the rows
+    with the least md5 of tree and that digest: the same rows for any partitioning, and ones that SQL can name. Rows of
+    one key are told apart by nothing, so a key should be unique.
     """
     total = matrix.count()
     features = [c for c in matrix.columns if c.startswith("_f")]
-    first = Window.partitionBy("tree").orderBy("_h", *ascending(*key))
-
-    def below(share: float):
-        return F.lit(int(min(2**63 - 1, -(2**63) + share * 2**64)))
-
-    slack, wanted = 1.0, trees * sample
+    hashed = matrix.select(seeded_digest(key, seed).alias("h"), F.array(*features).alias("f"))
+    # At most trees * sample rows, whatever the size of the data.
+    pool = least_by_digest(hashed, "h", trees * sample, total).repartition("h")
+    size, pooled = min(sample, total), min(trees * sample, total)
+    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = drawn.withColumn("g", F.md5(F.concat(F.col("tree").cast("string"), F.lit(":"), F.col("h"))))
+    slack = 1.0
     while True:
-        pool_share = min(1.0, slack * (wanted + 6 * wanted**0.5 + 10) / max(total, 1))
-        pooled = max(1.0, total * pool_share)
-        tree_share = min(1.0, slack * (sample + 6 * sample**0.5 + 10) / pooled)
-        pool = matrix.withColumn("_u", F.xxhash64(F.lit(seed), *key)).filter(F.col("_u") <= below(pool_share))
-        drawn = (
-            pool.select(*key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-            .withColumn("_h", F.xxhash64(F.lit(seed + 1), F.col("tree"), *key))
-            .filter(F.col("_h") <= below(tree_share))
-        )
-        picked = stored(
-            drawn.withColumn("_rn", F.row_number().over(first))
-            .filter(F.col("_rn") <= sample)
-            .select("tree", F.col("_rn").alias("draw"), *features)
-        )
-        if (pool_share >= 1 and tree_share >= 1) or picked.count() == trees * min(sample, total):
-            return picked
+        share = min(1.0, slack * (size + 6 * size**0.5 + 20) / max(pooled, 1))
+        near = stored(drawn.filter(below_share(F.col("g"), share)))
+        # A tree with too few rows has none beyond the threshold to fill up with.
+        if share >= 1 or near.groupBy("tree").count().filter(F.col("count") >= size).count() == trees:
+            break
         slack *= 2
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("g", "h"))
+    return near.withColumn("place", place).filter(F.col("place") <= sample).select("tree", "f"), size
 
 
-def _grow(sample: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (feature, threshold, low, high, path) of one isolation tree; a leaf points to itself."""
-    nodes: list[tuple] = [()]
-    waiting = [(0, sample, 0)]
-    while waiting:
-        place, points, depth = waiting.pop()
-        least, most = (points.min(axis=0), points.max(axis=0)) if len(points) else (np.zeros(1), np.zeros(1))
-        varied = np.flatnonzero(most > least)
-        if depth >= limit or len(points) <= 1 or not len(varied):
-            nodes[place] = (0, math.inf, place, place, depth + expected_path(len(points)))
-            continue
-        feature = int(rng.choice(varied))
-        cut = float(rng.uniform(least[feature], most[feature]))
-        below = points[:, feature] <= cut
-        low, high = len(nodes), len(nodes) + 1
-        nodes += [(), ()]
-        nodes[place] = (feature, cut, low, high, 0.0)
-        waiting += [(low, points[below], depth + 1), (high, points[~below], depth + 1)]
-    return nodes
+def _path_of(points: Column) -> Column:
+    """:func:`expected_path` of a column."""
+    many = 2 * (F.log(points - 1.0) + float(np.euler_gamma)) - 2 * (points - 1.0) / points
+    return F.when(points <= 1, 0.0).when(points == 2, 1.0).otherwise(many)
 
 
 def fit_forest(
     matrix: DataFrame, key: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
 ) -> DataFrame:
-    """Node table of the forest. Each group holds the at most ``sample`` rows of one tree."""
-    samples = tree_samples(matrix, key, trees, sample, seed)
-    features = [c for c in samples.columns if c.startswith("_f")]
+    """Node table of the forest, grown level by level for all trees at once.
 
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(rows["tree"].iloc[0])
-        points = rows.sort_values("draw")[features].to_numpy("float64")
-        limit = math.ceil(math.log2(max(len(points), 2)))
-        nodes = _grow(points, limit, np.random.default_rng([seed, tree]))
-        frame = pd.DataFrame(nodes, columns=["feature", "threshold", "low", "high", "path"])
-        frame.insert(0, "node", np.arange(len(nodes)))
-        frame.insert(0, "tree", tree)
-        return frame.assign(sample=len(points))
-
-    return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    Nodes are numbered as in a heap: 0 is the root, 2n + 1 and 2n + 2 lie below n. At each level windows over (tree, node)
+    give every row the bounds of its node; a digest of seed, tree and node then draws one of the features that vary in
+    it and the share of its span at which it is cut. A node is a leaf at the depth limit, or if it holds one row or
+    equal ones. All levels share the one shuffle that brought the rows of a tree together.
+    """
+    rows, size = tree_samples(matrix, key, trees, sample, seed)
+    width = sum(c.startswith("_f") for c in matrix.columns)
+    limit = math.ceil(math.log2(max(size, 2)))
+    # The rows of a tree stay together through all levels; the tasks share out the trees.
+    rows = rows.repartition(max(1, trees // 5), "tree")
+    trail = "array<struct<node:int,feature:int,threshold:double,points:bigint,leaf:boolean>>"
+    rows = rows.select("tree", "f", F.lit(0).alias("node"), F.lit(False).alias("done"), F.array().cast(trail).alias("trail"))
+    own = Window.partitionBy("tree", "node")
+    varied = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.get("high", i) > F.get("low", i))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col("node").cast("string")))
+    chosen = F.get("varied", (hex_digits(F.col("draw"), 1, 8) % F.greatest(F.size("varied"), F.lit(1))).cast("int"))
+    low, high = F.get("low", "feature"), F.get("high", "feature")
+    cut = low + hex_digits(F.col("draw"), 9, 12) / F.lit(float(2**48)) * (high - low)
+    # Rounding may not reach the upper bound, or nothing would lie beyond the cut.
+    threshold = F.when(F.col("leaf"), float("inf")).when(cut >= high, low).otherwise(cut)
+    step = F.array(F.struct("node", "feature", "threshold", "points", "leaf"))
+    below = 2 * F.col("node") + F.when(F.get("f", "feature") <= F.col("threshold"), 1).otherwise(2)
+    for level in range(limit + 1):
+        lows = F.array(*[F.min(F.get("f", F.lit(i))).over(own) for i in range(width)])
+        highs = F.array(*[F.max(F.get("f", F.lit(i))).over(own) for i in range(width)])
+        rows = rows.select("*", F.count(F.lit(1)).over(own).alias("points"), lows.alias("low"), highs.alias("high"))
+        rows = rows.select("*", varied.alias("varied"), draw.alias("draw"))
+        leaf = (F.col("points") <= 1) | (F.size("varied") == 0) if level < limit else F.lit(True)
+        rows = rows.select("*", leaf.alias("leaf"), F.when(leaf, 0).otherwise(chosen).alias("feature"))
+        rows = rows.select("*", threshold.alias("threshold"))
+        over = F.col("done") | F.col("leaf")
+        rows = rows.select(
+            "tree",
+            "f",
+            F.when(over, F.col("node")).otherwise(below).alias("node"),
+            over.alias("done"),
+            F.when(F.col("done"), F.col("trail")).otherwise(F.concat("trail", step)).alias("trail"),
+        )
+    nodes = rows.select("tree", F.inline("trail")).distinct()
+    depth = F.floor(F.log2(F.col("node") + 1.5))
+    return nodes.select(
+        "tree",
+        "node",
+        "feature",
+        "threshold",
+        F.when(F.col("leaf"), F.col("node")).otherwise(2 * F.col("node") + 1).alias("low"),
+        F.when(F.col("leaf"), F.col("node")).otherwise(2 * F.col("node") + 2).alias("high"),
+        F.when(F.col("leaf"), depth + _path_of(F.col("points"))).otherwise(0.0).alias("path"),
+        F.lit(size).alias("sample"),
+    )
 
 
 def forest_arrays(nodes: DataFrame) -> dict:
     """The forest on the driver: at most 2 * sample - 1 nodes per tree, whatever the size of the data."""
-    table = nodes.toPandas().sort_values(["tree", "node"])
-    start = table.groupby("tree")["node"].transform("size").groupby(table["tree"]).first().cumsum().shift(fill_value=0)
-    offset = table["tree"].map(start).to_numpy()
+    table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
+    place = pd.MultiIndex.from_frame(table[["tree", "node"]])
+    size = int(table["sample"].max()) if len(table) else 0
     return {
-        "roots": start.to_numpy(dtype="int64"),
+        "roots": table.drop_duplicates("tree").index.to_numpy(dtype="int64"),
         "feature": table["feature"].to_numpy(dtype="int64"),
         "threshold": table["threshold"].to_numpy(),
-        "low": table["low"].to_numpy() + offset,
-        "high": table["high"].to_numpy() + offset,
+        "low": place.get_indexer(pd.MultiIndex.from_arrays([table["tree"], table["low"]])),
+        "high": place.get_indexer(pd.MultiIndex.from_arrays([table["tree"], table["high"]])),
         "path": table["path"].to_numpy(),
-        "depth": math.ceil(math.log2(max(int(table["sample"].max()), 2))),
-        "scale": expected_path(int(table["sample"].max())),
+        "depth": math.ceil(math.log2(max(size, 2))),
+        "scale": expected_path(size),
     }
 
 

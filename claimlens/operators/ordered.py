@@ -440,23 +440,44 @@ def first_rows(df: DataFrame, order: Sequence[str], limit: int, ranges: int | No
     return kept.drop(RANGE)
 
 
+def row_key(key: Sequence[str]) -> Column:
+    """The key columns as one text, a missing value as an empty one."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+
+
+def seeded_digest(key: Sequence[str], seed: int) -> Column:
+    """md5 of seed and row key: an order of the rows that is random, repeatable and known to SQL as well."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), row_key(key)))
+
+
+def hex_digits(digest: Column, start: int, length: int) -> Column:
+    """The number that some digits of a digest stand for."""
+    return F.conv(F.substring(digest, start, length), 16, 10).cast("bigint")
+
+
+def below_share(digest: Column, share: float) -> Column:
+    """Whether a digest is among that share of all digests: a comparison of their texts."""
+    return digest < F.lit(f"{int(share * 2**32):08x}") if share < 1 else F.lit(True)
+
+
+def least_by_digest(df: DataFrame, digest: str, size: int, total: int) -> DataFrame:
+    """The ``size`` rows of least digest. Rows that cannot be among them are dropped where they lie, by a threshold on
+    the first digits that is raised until enough are left; the rest is stored."""
+    wanted, slack = min(size, total), 1.0
+    while True:
+        share = min(1.0, slack * (wanted + 6 * wanted**0.5 + 20) / max(total, 1))
+        near = stored(df.filter(below_share(F.col(digest), share)))
+        if share >= 1 or near.count() >= wanted:
+            return near.orderBy(digest).limit(wanted)
+        slack *= 2
+
+
 def fixed_sample(df: DataFrame, size: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``min(size, rows)`` rows, chosen by a hash of the row key and so alike for any partitioning.
+    """Exactly ``min(size, rows)`` rows, chosen by a digest of the row key and so alike for any partitioning.
 
-    A hash threshold first thins the rows to slightly more than ``size``; should it leave too few, it is
-    raised until it leaves enough.
+    Rows equal in the key are told apart by nothing.
     """
     total = df.count()
     if total <= size:
         return df
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    share = (size + 6 * size**0.5 + 20) / total
-    while True:
-        thinned = hashed
-        if share < 1:
-            top = int(-(2**63) + share * (2**64 - 1))
-            thinned = hashed.filter(F.col("_h") <= F.lit(min(top, 2**63 - 1)))
-        if share >= 1 or thinned.count() >= size:
-            break
-        share *= 2
-    return thinned.orderBy("_h", *ascending(*key)).limit(size).drop("_h")
+    return least_by_digest(df.withColumn("_h", seeded_digest(key, seed)), "_h", size, total).drop("_h")

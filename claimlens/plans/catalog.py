@@ -45,6 +45,10 @@ CLAIM_ORDER = [
     "COUNTRY_CODE",
     "INCIDENT_CLASSIFICATION",
 ]
+# Columns that name a claim and fix its features: claims equal in them are interchangeable in a sample.
+FOREST_KEY = [
+    "PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED", "ADJUSTER_GRATUITY", "PREMIUM_SPIKE_USD", "VALUATION_USD",
+]
 COHORTS = ["Apex Restoration", "Global Rebuild"]
 
 
@@ -609,8 +613,7 @@ def audit_rows(spark, folder):
 @query
 def fixed_sample(spark, folder):
     """A seeded sample of 50,000 claims."""
-    rows = claims(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", "PAYOUT_AUTHORIZED", ROW_POS)
-    return ordered.fixed_sample(rows, 50_000, [ROW_POS]).drop(ROW_POS)
+    return ordered.fixed_sample(claims(spark, folder).select(*FOREST_KEY), 50_000, FOREST_KEY)
 
 
 @query
@@ -675,18 +678,25 @@ def fitted_line(spark, folder):
 
 
 def _scored(spark, folder):
-    rows = claims(spark, folder).select(*anomaly.ANOMALY_COLUMNS, ROW_POS)
-    return anomaly.isolation_forest(ordered.stored(rows), [ROW_POS])
+    return anomaly.isolation_forest(ordered.stored(claims(spark, folder).select(*anomaly.ANOMALY_COLUMNS)), FOREST_KEY)
+
+
+@query
+def forest_nodes(spark, folder):
+    """The forest itself: every node of every tree."""
+    nodes = anomaly.fit_forest(anomaly.feature_matrix(claims(spark, folder).select(*anomaly.ANOMALY_COLUMNS)), FOREST_KEY)
+    # A leaf has no threshold.
+    return rounded(nodes.withColumn("threshold", F.when(F.col("low") != F.col("node"), F.col("threshold"))), path=9)
 
 
 @query
 def anomaly_scores(spark, folder):
-    return anomaly.anomalies(_scored(spark, folder))
+    return rounded(anomaly.anomalies(_scored(spark, folder)), isolation_forest_score=9)
 
 
 @query
 def anomaly_rate(spark, folder):
-    return anomaly.anomaly_rate(_scored(spark, folder))
+    return rounded(anomaly.anomaly_rate(_scored(spark, folder)), anomaly_rate=12)
 
 
 @query
@@ -718,7 +728,7 @@ def streamed_review(spark, folder):
     stream = spark.readStream.schema(known.schema).parquet(arriving)
     queue = screening.review_queue(stream, anomaly.load_forest(spark, forest), medians)
     screening.start_review(queue, sink, state).awaitTermination()
-    return spark.read.schema(queue.schema).parquet(sink)
+    return rounded(spark.read.schema(queue.schema).parquet(sink), isolation_forest_score=9)
 
 
 # A forest written down, so that SQL can walk it: tree, node, feature, threshold, low, high, path, sample.

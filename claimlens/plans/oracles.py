@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from base64 import a85encode
 
-from claimlens.plans.catalog import CLAIM_ORDER, COHORTS, FILE_OF_MANAGER, LINE_ORDER, PROFILED
+from claimlens.plans.catalog import CLAIM_ORDER, COHORTS, FILE_OF_MANAGER, FOREST_KEY, LINE_ORDER, PROFILED
 from claimlens.sources.tables import CONTRACTORS, COUNTRIES, CURRENCIES, PROPERTY_TYPES
 
 
@@ -783,3 +783,78 @@ ORACLES["insight_figures"] = f"""SELECT
     (SELECT round(CAST(count(*) AS DOUBLE), 4) FROM ({ORACLES["monthly_gratuity"]})) AS monthly_rows,
     (SELECT round(CAST(count(*) AS DOUBLE), 4) FROM ({ORACLES["daily_spike"]})) AS daily_rows,
     (SELECT round(CAST(count AS DOUBLE), 4) FROM ({ORACLES["payout_statistics"]})) AS payouts"""
+
+
+# The grown forest as SQL: the same draws by md5, level by level, and every claim walked down every tree.
+FEATURES = ["PAYOUT_AUTHORIZED", "PREMIUM_SPIKE_USD", "ADJUSTER_GRATUITY", "TOTAL_FINANCIAL_DAMAGE_USD", "PAYOUT_TO_VALUE_RATIO", "VALUATION_USD"]
+TREES, SAMPLE = 150, 256
+
+
+def _key_text(key: list[str]) -> str:
+    return " || '|' || ".join("strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S')" if c == "INCIDENT_DATE" else f"CAST({c} AS VARCHAR)" for c in key)
+
+
+def _grown_tables(source: str, key: list[str]) -> dict[str, str]:
+    every = range(1, len(FEATURES) + 1)
+    tables = {
+        "keyed": f"""SELECT *, row_number() OVER () AS rid, md5('42:' || {_key_text(key)}) AS h,
+    [{", ".join(f"CAST({c} AS DOUBLE)" for c in FEATURES)}] AS f FROM {source}""",
+        "pool": f"SELECT h, f FROM keyed ORDER BY h LIMIT {TREES * SAMPLE}",
+        "size": f"SELECT least({SAMPLE}, count(*)) AS points, ceil(log2(greatest(least({SAMPLE}, count(*)), 2))) AS depth FROM keyed",
+        "s0": f"""SELECT tree, f, 0 AS node FROM (SELECT tree, f, row_number() OVER (PARTITION BY tree
+    ORDER BY md5(CAST(tree AS VARCHAR) || ':' || h), h) AS place FROM pool, range({TREES}) AS t(tree)) WHERE place <= {SAMPLE}""",
+    }
+    for level in range(9):
+        tables[f"b{level}"] = f"""SELECT *, list_filter(range(0, {len(FEATURES)}), lambda i: high[i + 1] > low[i + 1]) AS varied,
+    md5('42:' || CAST(tree AS VARCHAR) || ':' || CAST(node AS VARCHAR)) AS draw FROM (
+    SELECT tree, node, count(*) AS points, [{", ".join(f"min(f[{i}])" for i in every)}] AS low, [{", ".join(f"max(f[{i}])" for i in every)}] AS high
+    FROM s{level} GROUP BY tree, node)"""
+        tables[f"d{level}"] = f"""SELECT tree, node, points, leaf, feature, CASE WHEN leaf THEN NULL WHEN cut >= hi THEN lo ELSE cut END AS threshold
+    FROM (SELECT *, lo + CAST(CAST('0x' || substr(draw, 9, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 * (hi - lo) AS cut FROM (
+    SELECT *, low[feature + 1] AS lo, high[feature + 1] AS hi FROM (
+    SELECT *, CASE WHEN leaf THEN 0 ELSE varied[CAST('0x' || substr(draw, 1, 8) AS BIGINT) % len(varied) + 1] END AS feature FROM (
+    SELECT *, points <= 1 OR len(varied) = 0 OR {level} >= (SELECT depth FROM size) AS leaf FROM b{level}))))"""
+        tables[f"s{level + 1}"] = f"""SELECT s.tree, s.f, 2 * s.node + CASE WHEN s.f[d.feature + 1] <= d.threshold THEN 1 ELSE 2 END AS node
+    FROM s{level} AS s JOIN d{level} AS d ON s.tree = d.tree AND s.node = d.node WHERE NOT d.leaf"""
+    levels = " UNION ALL ".join(f"SELECT * FROM d{level}" for level in range(9))
+    tables["forest"] = f"""SELECT *, CASE WHEN leaf THEN floor(log2(node + 1.5)) + CASE WHEN points <= 1 THEN 0.0 WHEN points = 2 THEN 1.0
+    ELSE 2 * (ln(points - 1.0) + 0.5772156649015329) - 2 * (points - 1.0) / points END ELSE 0.0 END AS path FROM ({levels})"""
+    return tables
+
+
+def _grown(source: str, key: list[str], body: str) -> str:
+    """SQL over ``scored``: the source's claims with ``s``, the decision value."""
+    tables = _grown_tables(source, key)
+    walked = f"SELECT rid, f, tree, CAST(0 AS BIGINT) AS node FROM keyed, range({TREES}) AS t(tree)"
+    for _ in range(8):
+        walked = f"""SELECT w.rid, w.f, w.tree, CASE WHEN d.leaf THEN w.node WHEN w.f[d.feature + 1] <= d.threshold THEN 2 * w.node + 1
+    ELSE 2 * w.node + 2 END AS node FROM ({walked}) AS w JOIN forest AS d ON w.tree = d.tree AND w.node = d.node"""
+    tables["paths"] = f"SELECT w.rid, sum(d.path) AS total FROM ({walked}) AS w JOIN forest AS d ON w.tree = d.tree AND w.node = d.node GROUP BY w.rid"
+    tables["scored"] = f"""SELECT keyed.*, 0.5 - pow(2, -total / {TREES} / (SELECT CASE WHEN points = 2 THEN 1.0
+    ELSE 2 * (ln(points - 1.0) + 0.5772156649015329) - 2 * (points - 1.0) / points END FROM size)) AS s FROM keyed JOIN paths ON keyed.rid = paths.rid"""
+    return _with([source], body, **tables)
+
+
+ANOMALY_SPEC = """PROPERTY_ID @INCIDENT_DATE MANAGER_ID ADJUSTER_ID COUNTRY_CODE PROPERTY_TYPE DECODED_CONTRACTOR $PAYOUT_AUTHORIZED
+$PREMIUM_SPIKE_USD $ADJUSTER_GRATUITY $TOTAL_FINANCIAL_DAMAGE_USD $PAYOUT_TO_VALUE_RATIO $VALUATION_USD"""
+ANOMALIES = f"SELECT {_columns(ANOMALY_SPEC)}, round(s, 9) AS isolation_forest_score FROM scored WHERE s < 0"
+ORACLES |= {
+    "forest_nodes": _with(
+        ["claims"],
+        """SELECT tree, node, feature, threshold, CASE WHEN leaf THEN node ELSE 2 * node + 1 END AS low,
+    CASE WHEN leaf THEN node ELSE 2 * node + 2 END AS high, round(path, 9) AS path, (SELECT points FROM size) AS sample FROM forest""",
+        **_grown_tables("claims", FOREST_KEY),
+    ),
+    "anomaly_scores": _grown("claims", FOREST_KEY, ANOMALIES),
+    "anomaly_rate": _grown(
+        "claims", FOREST_KEY, "SELECT count(*) FILTER (WHERE s < 0) AS anomaly_count, round(count(*) FILTER (WHERE s < 0) / count(*), 12) AS anomaly_rate FROM scored"
+    ),
+    "anomalies_by_country": _grown("claims", FOREST_KEY, "SELECT COUNTRY_CODE, count(*) AS anomalies FROM scored WHERE s < 0 GROUP BY COUNTRY_CODE"),
+    "streamed_review": _grown("portfolio", ["PROPERTY_ID", "INCIDENT_DATE"], ANOMALIES),
+    "fixed_sample": _with(
+        ["claims"],
+        f"""SELECT PROPERTY_ID, strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE, MANAGER_ID, ADJUSTER_ID,
+    {_columns("$PAYOUT_AUTHORIZED $ADJUSTER_GRATUITY $PREMIUM_SPIKE_USD $VALUATION_USD")}
+    FROM claims ORDER BY md5('42:' || {_key_text(FOREST_KEY)}) LIMIT 50000""",
+    ),
+}
