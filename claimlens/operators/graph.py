@@ -130,3 +130,34 @@ def relationship_concentration(df: DataFrame, above: int = 1) -> DataFrame:
         .filter(F.col("claims") > above)
         .orderBy(F.col("claims").desc(), F.col("total_payout").desc(), *triple)
     )
+
+
+def network_edges(df: DataFrame) -> DataFrame:
+    """Distinct edges between people and properties of suspect claims, whatever the incident: manager -> adjuster ->
+    property -> manager. The network has cycles."""
+    hops = [("MANAGER_ID", "ADJUSTER_ID"), ("ADJUSTER_ID", "PROPERTY_ID"), ("PROPERTY_ID", "MANAGER_ID")]
+    pairs = F.array(*[F.struct(F.col(a).alias("from_node"), F.col(b).alias("to_node")) for a, b in hops])
+    rows = suspects(df).select(F.inline(pairs))
+    return rows.filter(F.col("from_node").isNotNull() & F.col("to_node").isNotNull()).distinct()
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Every ``node`` that each ``root`` reaches along the edges, itself included, with the fewest steps (``depth``).
+
+    A semi-naive walk to the fixed point: each round joins only the nodes found in the last one with the edges, and keeps
+    those not known yet, so cycles end it and there is no limit of depth. A pair of root and node is found once, however
+    many paths lead to it; duplicates are dropped before the shuffle, and a hub's edges can be split by adaptive
+    execution. Every round is stored, so the plan does not grow with the depth. Repeated edges and loops are harmless,
+    missing nodes reach nothing.
+    """
+    steps = stored(edges.select(F.col("from_node").alias("_from"), F.col("to_node").alias("_to")).where("_from IS NOT NULL AND _to IS NOT NULL").distinct())
+    start = roots.toDF("root").where("root IS NOT NULL").distinct()
+    rounds = [stored(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")))]
+    known = rounds[0]
+    while True:
+        met = rounds[-1].join(steps, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node")).distinct()
+        fresh = stored(met.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(len(rounds))))
+        if fresh.isEmpty():
+            return known
+        rounds.append(fresh)
+        known = known.unionByName(fresh)

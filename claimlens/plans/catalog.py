@@ -22,13 +22,14 @@ from claimlens.operators import (
     quality,
     stats,
     summary,
+    trackers,
     windows,
 )
 from claimlens.plans import pipeline
 from claimlens.session import scratch_path
 from claimlens.sources import files
 from claimlens.sources.tables import ROW_POS, claims, damaged_claims, typed_claims
-from claimlens.streaming import screening
+from claimlens.streaming import arrivals, screening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -466,6 +467,30 @@ def refreshed_trackers(spark, folder):
     )
 
 
+@query
+def incremental_trackers(spark, folder):
+    """Both trackers after a base load and two refreshes, each from its own new claims alone."""
+    path, rows = scratch_path(spark, "tracker_state"), claims(spark, folder)
+    parts = [F.col("YEAR") < 1995, F.col("YEAR").between(1995, 1996), (F.col("YEAR") > 1996) | F.col("YEAR").isNull()]
+    for version, part in enumerate(parts):
+        state = trackers.refresh_state(rows.filter(part), path, version)
+    adjusters = trackers.adjusters_of(state).select(
+        F.lit("adjuster").alias("kind"),
+        F.col("adjuster_id").alias("tracked"),
+        F.col("total_authorized_payouts").cast("double").alias("payout"),
+        F.col("total_bribes").cast("double").alias("measure"),
+        F.col("unique_shell_companies").alias("number"),
+    )
+    contractors = trackers.contractors_of(state).select(
+        F.lit("contractor").alias("kind"),
+        F.col("contractor").alias("tracked"),
+        F.col("total_payout_stolen").cast("double").alias("payout"),
+        F.col("avg_premium_spike").alias("measure"),
+        F.col("total_incidents").alias("number"),
+    )
+    return adjusters.unionByName(contractors)
+
+
 @query
 def pareto_managers(spark, folder):
     return rounded(windows.pareto_managers(claims(spark, folder)), cumulative_share=10)
@@ -493,9 +518,7 @@ def daily_spike(spark, folder):
 
 @query
 def spike_trend(spark, folder):
-    # Exact halves of the last digit occur and would round by the last bit of a sum: both sides move them up.
-    trend = windows.spike_trend(claims(spark, folder))
-    return rounded(trend.withColumn("rolling_mean_spike", F.col("rolling_mean_spike") + 2.5e-8), rolling_mean_spike=6)
+    return rounded(windows.spike_trend(claims(spark, folder)), rolling_mean_spike=9)
 
 
 @query
@@ -570,6 +593,13 @@ def walked_paths(spark, folder):
     return graph.walk(graph.relationship_edges(ordered.stored(summary.suspects(portfolio(spark, folder)))))
 
 
+@query
+def suspect_network(spark, folder):
+    """All that the managers of the highest suspect damage are connected with, and in how many steps."""
+    rows = ordered.stored(summary.suspects(claims(spark, folder)))
+    return graph.reachable(graph.network_edges(rows), summary.top_suspect_managers(rows).select("MANAGER_ID"))
+
+
 @query
 def relationship_concentration(spark, folder):
     return graph.relationship_concentration(claims(spark, folder))
@@ -804,3 +834,23 @@ def insight_figures(spark, folder):
         "payouts": "claim_payout_descriptive_statistics.count",
     }
     return document.select(*[F.round(F.get_json_object("insights", f"$.{p}").cast("double"), 4).alias(n) for n, p in places.items()])
+
+
+# Which of three batches brings a claim: older ones first, and those of some managers one batch later.
+ARRIVAL = "least(2, CASE WHEN YEAR < 1995 THEN 0 WHEN YEAR < 1997 THEN 1 ELSE 2 END + CASE WHEN MANAGER_ID LIKE '%7' THEN 1 ELSE 0 END)"
+
+
+@query
+def event_time_totals(spark, folder):
+    """Claims arriving in three batches: totals per adjuster by incident date, and how many claims came too late."""
+    arriving, tables, state = (scratch_path(spark, n) for n in ("arriving", "arrivals", "arrivals_state"))
+    columns = ["ADJUSTER_ID", "INCIDENT_DATE", "PHANTOM_CLAIM_SUSPECT", "PAYOUT_AUTHORIZED"]
+    rows = ordered.stored(claims(spark, folder).select(*columns, F.expr(ARRIVAL).alias("_batch")))
+    schema = rows.select(*columns).schema
+    for number in range(3):
+        rows.filter(F.col("_batch") == number).select(*columns).write.mode("append").parquet(arriving)
+        arrivals.start_arrivals(spark.readStream.schema(schema).parquet(arriving), tables, state).awaitTermination()
+    late = arrivals.load_late(spark, tables, range(3), schema).groupBy("ADJUSTER_ID")
+    late = late.agg(F.count("*").alias("late_claims"), F.sum("PAYOUT_AUTHORIZED").alias("late_payout"))
+    joined = arrivals.load_totals(spark, tables, 2).join(late, "ADJUSTER_ID", "full")
+    return joined.fillna(0, subset=["claims", "suspects", "late_claims"])

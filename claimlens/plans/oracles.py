@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from base64 import a85encode
 
-from claimlens.plans.catalog import CLAIM_ORDER, COHORTS, FILE_OF_MANAGER, FOREST_KEY, LINE_ORDER, PROFILED
+from claimlens.plans.catalog import ARRIVAL, CLAIM_ORDER, COHORTS, FILE_OF_MANAGER, FOREST_KEY, LINE_ORDER, PROFILED
 from claimlens.sources.tables import CONTRACTORS, COUNTRIES, CURRENCIES, PROPERTY_TYPES
 
 
@@ -556,9 +556,13 @@ ORACLES: dict[str, str] = {
     ),
     "spike_trend": _with(
         ["claims"],
+        # A double as two exact decimals, whose sums no order of addition changes; rounded as it is written, half up.
         """SELECT strftime(INCIDENT_DATE, '%Y-%m-%d %H:%M:%S') AS INCIDENT_DATE, mean_spike,
-    round(avg(mean_spike) OVER (ORDER BY INCIDENT_DATE RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW) + 2.5e-8, 6)
-    AS rolling_mean_spike FROM daily""",
+    CAST(CAST(CAST((CAST(sum(a) OVER recent AS DOUBLE) + CAST(sum(b) OVER recent AS DOUBLE) / 1e24) / count(mean_spike) OVER recent
+        AS VARCHAR) AS DECIMAL(38,9)) AS DOUBLE) AS rolling_mean_spike
+    FROM (SELECT *, CAST(CAST((mean_spike - CAST(a AS DOUBLE)) * 1e24 AS VARCHAR) AS DECIMAL(38,0)) AS b
+        FROM (SELECT *, CAST(CAST(mean_spike AS VARCHAR) AS DECIMAL(38,12)) AS a FROM daily))
+    WINDOW recent AS (ORDER BY INCIDENT_DATE RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)""",
         daily=DAILY,
     ),
     "payout_by_property_type": _with(
@@ -858,3 +862,34 @@ ORACLES |= {
     FROM claims ORDER BY md5('42:' || {_key_text(FOREST_KEY)}) LIMIT 50000""",
     ),
 }
+ORACLES |= {
+    "incremental_trackers": _with(
+        ["claims"],
+        """SELECT 'adjuster' AS kind, adjuster_id AS tracked, CAST(total_authorized_payouts AS DOUBLE) AS payout,
+    CAST(total_bribes AS DOUBLE) AS measure, CAST(unique_shell_companies AS BIGINT) AS number FROM adjusters
+    UNION ALL SELECT 'contractor', contractor, CAST(total_payout_stolen AS DOUBLE), avg_premium_spike, CAST(total_incidents AS BIGINT) FROM contractors""",
+        **_trackers("claims"),
+    ),
+    "suspect_network": _with(
+        ["suspects"],
+        """SELECT root, node, CAST(min(depth) AS BIGINT) AS depth FROM (WITH RECURSIVE walk(root, node, depth) USING KEY (root, node) AS (
+    SELECT MANAGER_ID, MANAGER_ID, 0 FROM roots UNION
+    SELECT walk.root, b, min(walk.depth) + 1 FROM walk JOIN edges ON walk.node = a
+    LEFT JOIN recurring.walk AS known ON known.root = walk.root AND known.node = b WHERE known.node IS NULL GROUP BY walk.root, b)
+    SELECT * FROM walk) GROUP BY root, node""",
+        edges="""SELECT DISTINCT a, b FROM (SELECT MANAGER_ID AS a, ADJUSTER_ID AS b FROM suspects UNION ALL
+    SELECT ADJUSTER_ID, PROPERTY_ID FROM suspects UNION ALL SELECT PROPERTY_ID, MANAGER_ID FROM suspects)""",
+        roots="SELECT MANAGER_ID FROM suspects GROUP BY MANAGER_ID ORDER BY sum(TOTAL_FINANCIAL_DAMAGE_USD) DESC, MANAGER_ID LIMIT 5",
+    ),
+    "event_time_totals": _with(
+        ["claims"],
+        """SELECT ADJUSTER_ID, count(*) FILTER (WHERE NOT late) AS claims, CAST(coalesce(sum(PHANTOM_CLAIM_SUSPECT) FILTER (WHERE NOT late), 0) AS BIGINT) AS suspects,
+    CAST(sum(PAYOUT_AUTHORIZED) FILTER (WHERE NOT late) AS DOUBLE) AS payout,
+    strftime(max(INCIDENT_DATE) FILTER (WHERE NOT late), '%Y-%m-%d %H:%M:%S') AS last_incident,
+    count(*) FILTER (WHERE late) AS late_claims, CAST(sum(PAYOUT_AUTHORIZED) FILTER (WHERE late) AS DOUBLE) AS late_payout
+    FROM judged GROUP BY ADJUSTER_ID""",
+        arrived=f"SELECT *, {ARRIVAL} AS batch FROM claims",
+        judged="""SELECT *, coalesce(INCIDENT_DATE < (SELECT max(b.INCIDENT_DATE) FROM arrived AS b WHERE b.batch < arrived.batch) - INTERVAL 30 DAYS, false)
+    AS late FROM arrived""",
+    ),
+}
