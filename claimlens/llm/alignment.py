@@ -3,7 +3,7 @@
 Texts are shuffled whole and counted, so that each distinct one is tokenized and aligned once; its copies only weigh its
 pairs. Both tokenizers cut a text where white space follows something else, and neither joins what lies on the two
 sides. The stretches between, white space and the word behind it, are aligned by themselves and kept; a text is a
-sequence of such stretches. Texts with unusual white space or control characters are aligned as one stretch.
+sequence of such stretches. Texts with carriage returns, unusual white space or control characters are aligned whole.
 
 A pair's count is the number of documents that hold it linked. The most frequent pairs, at most MOST_PAIRS, go to all
 tasks as a sorted table; the links that it does not hold are joined with the other pairs by a shuffle, in which no pair
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,12 +27,19 @@ from claimlens.llm.tables import kept, pieces, stored
 
 MOST_PAIRS = 2**19
 # Aligned stretches kept between texts, in two generations: a full younger one becomes the older.
-MOST_STRETCHES = 200_000
+MOST_STRETCHES = 60_000
 LONGEST = 48
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
+# Stretches that A encodes in one call, and the longest of them.
+JOINED = 500
+LONG = 200
 # A pair's two ids in one number, and the number of its text above it.
 PAIR_BITS = 40
-_UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+_UNUSUAL = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+# What is beyond Latin Extended-B is left to the tokenizer's own tables of letters.
+_FOREIGN = re.compile("[\u0250-\U0010ffff]")
+# Fixed value: how byte-level tokenizers cut a text into words.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _STRETCH = re.compile(r"\s*\S+|\s+")
 _SPACE = "\u2581"
 
@@ -72,19 +80,23 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of its own would only compete with other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
-            entries = json.load(file)["model"]["vocab"]
+            setup = json.load(file)
+        entries = setup["model"]["vocab"]
         byte = byte_level_table()
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, k in entries.items():
             self.bytes_a[k] = bytes(byte[c] for c in entry)
+        self.ranked = self._ranked(setup)
         pieces_b = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_SPACE, " ").encode() for k, p in enumerate(pieces_b)]
         # Where white space begins, no piece may go on, or stretches could not be encoded apart.
-        self.apart = not any(re.search(f"[^{_SPACE}]{_SPACE}|[\t\n\r]", p) for p in pieces_b)
+        self.apart = not any(re.search(f"[^{_SPACE}]{_SPACE}|[\t\n]", p) for p in pieces_b)
         self.space_b = self.b.piece_to_id(_SPACE)
         # The text of an id with each sign that may follow it among groups.
         self.text_a = [f"{k}{sign}".encode() for k in range(len(self.bytes_a)) for sign in ",|"]
@@ -94,6 +106,40 @@ class Aligner:
         self.known: dict[str, Aligned | None] = {}
         self.older: dict[str, Aligned | None] = {}
 
+    def _ranked(self, setup: dict):
+        """An encoder that merges by ids, if the file's merges are in the order of the ids they make; None otherwise."""
+        import tiktoken
+
+        model, cut = setup["model"], setup["pre_tokenizer"] or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in merges]
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not setup["normalizer"]
+        if not plain or made != list(range(256, 256 + len(made))):
+            return None
+        special = {t["id"] for t in setup["added_tokens"]}
+        ranks = {b: k for k, b in enumerate(self.bytes_a) if k not in special}
+        return tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _entries(self, stretches: list[str]) -> list[list[int]]:
+        """A's ids of every stretch. Ordinary ones go in rows, as in a text, to a faster encoder of the same entries."""
+        made: list[list[int]] = [[]] * len(stretches)
+        joined = []
+        if self.ranked:
+            joined = [k for k, s in enumerate(stretches) if len(s) <= LONG and not s[-1].isspace() and not _UNUSUAL.search(s) and not _FOREIGN.search(s)]
+        for at in range(0, len(joined), JOINED):
+            row = joined[at : at + JOINED]
+            ids = self.ranked.encode_ordinary("".join([stretches[k] for k in row]))
+            # No word goes across white space, so every stretch ends with a token.
+            ends = np.cumsum(self.size_a[ids])
+            cuts = np.searchsorted(ends, np.cumsum([len(stretches[k].encode()) for k in row])) + 1
+            low = 0
+            for k, high in zip(row, cuts.tolist()):
+                made[k], low = ids[low:high], high
+        alone = sorted(set(range(len(stretches))) - set(joined))
+        for k, e in zip(alone, self.a.encode_batch_fast([stretches[k] for k in alone], add_special_tokens=False)):
+            made[k] = e.ids
+        return made
+
     def _pieces(self, stretches: list[str]) -> list[list[int]]:
         """B's ids of stretches of a text to which its space has been added."""
         asked = [s[1:] if s[0] == " " else s for s in stretches]
@@ -105,7 +151,7 @@ class Aligner:
         """Each stretch by itself; None where the joined bytes of A or B are not its own."""
         if not stretches:
             return []
-        ids_a = [e.ids for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
+        ids_a = self._entries(stretches)
         ids_b = self._pieces(stretches)
         text = [s.encode() for s in stretches]
         good = [
