@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from claimlens.llm.tables import stored, table
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_operators import brute_components, brute_hits, brute_lines, check_pieces  # noqa: E402
+from test_text_operators import brute_components, brute_hits, brute_lines, check_pieces  # noqa: E402
 
 
 @pytest.fixture(scope="module")
