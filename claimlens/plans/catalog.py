@@ -5,6 +5,7 @@ Results are turned into plain types at the end: amounts as double, counts as big
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,6 +182,25 @@ def country_backfill(spark, folder):
     return cleaning.backfill(lost, known.filter(F.col("MANAGER_ID") < "MGR-200").select("PROPERTY_ID", "COUNTRY_CODE"))
 
 
+@query
+def backfill_in_place(spark, folder):
+    """The same, on a stored table by country, of which only the partitions that change are rewritten."""
+    path = scratch_path(spark, "backfilled")
+    known = claims(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "COUNTRY_CODE")
+    lost = F.when(F.col("MANAGER_ID") >= "MGR-200", F.col("COUNTRY_CODE"))
+    files.write_partitioned(known.withColumn("COUNTRY_CODE", lost), path)
+    files.backfill_partitions(spark, path, known.filter(F.col("MANAGER_ID") < "MGR-200").select("PROPERTY_ID", "COUNTRY_CODE"))
+    return files.read_partitioned(spark, path)
+
+
+@query
+def loaded_table(spark, folder):
+    """Ratios stored as a table of the catalog, undefined ones as null."""
+    zero = F.col("PAYOUT_AUTHORIZED") == 0
+    ratio = F.when(zero, float("nan")).otherwise(F.col("ADJUSTER_KICKBACK_RATIO")).alias("ADJUSTER_KICKBACK_RATIO")
+    return files.load_table(claims(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", ratio), f"ratios_{uuid.uuid4().hex}")
+
+
 @query
 def nan_to_null(spark, folder):
     """A stored table in which undefined ratios arrive as null."""
@@ -372,6 +392,15 @@ def row_count(spark, folder):
     return quality.row_count(claims(spark, folder))
 
 
+@query
+def column_types(spark, folder):
+    """Position, name and type of each column of the claims, with the number of rows that hold a value."""
+    rows = claims(spark, folder).select("PROPERTY_ID", "INCIDENT_DATE", "VALUATION_LOCAL", "YEAR", "DECODED_CONTRACTOR", "PAYOUT_TO_VALUE_RATIO")
+    counted = rows.agg(*[F.count(c).alias(c) for c in rows.columns])
+    filled = counted.unpivot([], rows.columns, "column_name", "filled")
+    return quality.column_types(rows).drop("nullable").join(filled, "column_name")
+
+
 @query
 def country_completeness(spark, folder):
     return quality.completeness(claims(spark, folder))

@@ -893,3 +893,23 @@ ORACLES |= {
     AS late FROM arrived""",
     ),
 }
+ORACLES |= {
+    "backfill_in_place": ORACLES["country_backfill"],
+    "loaded_table": ORACLES["nan_to_null"],
+    "column_types": _with(
+        ["claims"],
+        "\nUNION ALL\n".join(
+            f"SELECT '{c}' AS column_name, CAST({k} AS BIGINT) AS position, '{t}' AS data_type, count({c}) AS filled FROM claims"
+            for k, (c, t) in enumerate(
+                [
+                    ("PROPERTY_ID", "string"),
+                    ("INCIDENT_DATE", "timestamp_ntz"),
+                    ("VALUATION_LOCAL", "decimal(18,2)"),
+                    ("YEAR", "int"),
+                    ("DECODED_CONTRACTOR", "string"),
+                    ("PAYOUT_TO_VALUE_RATIO", "double"),
+                ]
+            )
+        ),
+    ),
+}

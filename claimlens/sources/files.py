@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.parsing import standard_name, strip_all
+from claimlens.operators.cleaning import backfill
+from claimlens.operators.ordered import stored_by_column
 from claimlens.sources.tables import ROW_POS
 
 # The raw file's columns, by standard name. Text stays text until the cleaning operators parse it.
@@ -113,6 +115,39 @@ def read_partitioned(spark: SparkSession, path: str, columns: Sequence[str] | No
     return df.select(*columns) if columns else df
 
 
+def backfill_partitions(spark: SparkSession, path: str, lookup: DataFrame, key: str = "PROPERTY_ID", column: str = "COUNTRY_CODE") -> list[str | None]:
+    """Set the partition column of a partitioned table from a keyed lookup, in place, and return the partitions rewritten.
+
+    The rows are those of :func:`backfill` over the whole table: a listed key takes the greatest value listed for it, any
+    other row keeps its own. A first pass over the key and the folder names alone finds the partitions that rows leave or
+    enter; only these are read whole and overwritten, and one that is left empty is removed. All others keep their files.
+    The rows to write are stored before, so a run that fails while it writes loses none of them and can be repeated.
+    """
+    rows = read_partitioned(spark, path)
+    moved = backfill(rows.select(key, F.col(column).alias("_old"), column), lookup, key, column).filter(~F.col("_old").eqNullSafe(F.col(column)))
+    # At most one row per partition.
+    values = F.array(F.struct(F.col("_old").alias("value")), F.struct(F.col(column).alias("value")))
+    touched = [r.value for r in moved.select(F.inline(values)).distinct().collect()]
+    if not touched:
+        return []
+
+    def among(name: str) -> Column:
+        listed = F.col(name).isin([v for v in touched if v is not None])
+        return F.coalesce(listed, F.lit(None in touched))
+
+    # A row that ends in one of these partitions began in one of them.
+    filled = backfill(rows.filter(among(column)), lookup, key, column)
+    ready = stored_by_column(filled)
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    left = {r[0] for r in ready.select(column).distinct().collect()}
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for value in touched:
+        if value not in left:
+            folder = paths(f"{path}/{column}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(touched, key=lambda v: (v is None, v))
+
+
 def write_clustered(
     df: DataFrame,
     path: str,

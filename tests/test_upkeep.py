@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.operators import graph, summary, trackers
 from claimlens.operators.ordered import stored
 from claimlens.session import scratch_path
+from claimlens.sources import files
 from claimlens.streaming import arrivals
 
 
@@ -69,6 +70,25 @@ def test_paths_without_end_are_walked_to_the_end(spark):
     assert found.agg(F.max("depth")).first()[0] == 25
 
 
+def test_backfill_rewrites_changed_partitions_only(spark):
+    path = scratch_path(spark, "partitions")
+    held = [("p1", 1, "US"), ("p2", 2, "US"), ("p3", 3, "CA"), ("p4", 4, "DE"), ("p5", 5, None), ("p6", 6, "FR"), (None, 7, "CA")]
+    files.write_partitioned(spark.createDataFrame(held, "PROPERTY_ID string, n int, COUNTRY_CODE string").coalesce(1), path)
+    parts = lambda: {f.rsplit("/", 2)[-2].split("=")[1]: f for f in spark.read.parquet(path).inputFiles()}
+    before = parts()
+    listed = [("p1", "US"), ("p5", "CA"), ("p6", "CA"), ("p6", "BE"), ("p9", "XX"), (None, "DE"), ("p4", None)]
+    lookup = spark.createDataFrame(listed, "PROPERTY_ID string, COUNTRY_CODE string")
+    assert files.backfill_partitions(spark, path, lookup) == ["CA", "FR", None]
+    after = parts()
+    assert rows(files.read_partitioned(spark, path, ["PROPERTY_ID", "n", "COUNTRY_CODE"])) == sorted(
+        [("p1", 1, "US"), ("p2", 2, "US"), ("p3", 3, "CA"), ("p4", 4, "DE"), ("p5", 5, "CA"), ("p6", 6, "CA"), (None, 7, "CA")], key=str
+    )
+    assert after.keys() == {"US", "CA", "DE"}
+    assert (after["US"], after["DE"]) == (before["US"], before["DE"])
+    assert files.backfill_partitions(spark, path, lookup) == []
+    assert parts() == after
+
+
 SCHEMA = "ADJUSTER_ID string, INCIDENT_DATE timestamp_ntz, PHANTOM_CLAIM_SUSPECT int, PAYOUT_AUTHORIZED decimal(18,2)"
 
 
