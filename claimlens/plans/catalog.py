@@ -20,6 +20,7 @@ from claimlens.operators import (
     insights,
     marts,
     ordered,
+    profiles,
     quality,
     stats,
     summary,
@@ -425,6 +426,20 @@ def column_profile(spark, folder):
     return rounded(quality.profile(profiled), mean=4, stddev=4)
 
 
+@query
+def merged_profile(spark, folder):
+    """The profile of all claims from states stored year by year; distinct values within four standard errors."""
+    path = scratch_path(spark, "profiles")
+    rows = ordered.stored(claims(spark, folder).select(*PROFILED, "YEAR"))
+    profiles.profile_states(rows, PROFILED, F.col("YEAR")).write.partitionBy("part").parquet(path)
+    found = profiles.merged_profile(spark.read.parquet(path))
+    exact = rows.agg(*[F.countDistinct(c).alias(c) for c in PROFILED]).unpivot([], PROFILED, "column_name", "distinct_count")
+    error = F.abs(F.col("distinct_estimate") - F.col("distinct_count"))
+    close = error <= 4 * 0.0163 * F.col("distinct_count")
+    kept = ["column_name", "row_count", "null_count", "min_text", "max_text", "min_number", "max_number", "mean"]
+    return rounded(found.join(exact, "column_name").select(*kept, "distinct_count", close.alias("distinct_close")), mean=4)
+
+
 # Aggregates
 
 

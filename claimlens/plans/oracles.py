@@ -913,3 +913,13 @@ ORACLES |= {
         ),
     ),
 }
+ORACLES["merged_profile"] = _with(
+    ["claims"],
+    "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count, min(CAST({c} AS VARCHAR)) AS min_text,
+    max(CAST({c} AS VARCHAR)) AS max_text, {f"min(CAST({c} AS DOUBLE))" if n else "CAST(NULL AS DOUBLE)"} AS min_number,
+    {f"max(CAST({c} AS DOUBLE))" if n else "CAST(NULL AS DOUBLE)"} AS max_number, {f"round({_mean(c)}, 4)" if n else "CAST(NULL AS DOUBLE)"} AS mean,
+    count(DISTINCT {c}) AS distinct_count, true AS distinct_close FROM claims"""
+        for c, n in ((c, c in ("SQUARE_FOOTAGE", "VALUATION_LOCAL", "PAYOUT_AUTHORIZED")) for c in PROFILED)
+    ),
+)

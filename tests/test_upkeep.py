@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.operators import graph, summary, trackers
+from claimlens.operators import graph, profiles, summary, trackers
 from claimlens.operators.ordered import stored
 from claimlens.session import scratch_path
 from claimlens.sources import files
@@ -89,6 +89,21 @@ def test_backfill_rewrites_changed_partitions_only(spark):
     assert parts() == after
 
 
+def test_merged_profiles_are_close_to_the_exact_ones(spark):
+    df = spark.range(40_000).select(
+        (F.col("id") * 7919 % 40_000).alias("n"), F.concat(F.lit("v"), F.col("id") % 900).alias("t"), F.lit(None).cast("double").alias("none"), (F.col("id") % 9).alias("p")
+    )
+    path = scratch_path(spark, "profiles")
+    profiles.profile_states(df, ["n", "t", "none"], F.col("p")).write.parquet(path)
+    found = {r.column_name: r for r in profiles.merged_profile(spark.read.parquet(path)).collect()}
+    assert (found["n"].row_count, found["n"].null_count, found["n"].min_number, found["n"].max_number, found["n"].mean) == (40_000, 0, 0, 39_999, 19_999.5)
+    assert abs(found["n"].distinct_estimate - 40_000) < 4 * 0.0163 * 40_000 and abs(found["t"].distinct_estimate - 900) < 4 * 0.0163 * 900
+    for name, share in profiles.QUARTILES.items():
+        assert abs(found["n"][name] / 40_000 - share) < 0.03
+    assert (found["t"].median, found["t"].mean, found["t"].max_text) == (None, None, "v99")
+    assert (found["none"].null_count, found["none"].mean, found["none"].distinct_estimate, found["none"].q1) == (40_000, None, 0, None)
+
+
 SCHEMA = "ADJUSTER_ID string, INCIDENT_DATE timestamp_ntz, PHANTOM_CLAIM_SUSPECT int, PAYOUT_AUTHORIZED decimal(18,2)"
 
 
