@@ -61,13 +61,19 @@ def feature_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFra
 
 def tree_samples(
     matrix: DataFrame, key: Sequence[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED
-) -> tuple[DataFrame, int]:
-    """``min(sample, rows)`` rows for each tree (``tree``, ``f``), and that number.
+) -> DataFrame:
+    """``min(sample, rows)`` rows for each tree: ``tree`` and the features.
 
     The ``trees * sample`` rows with the least md5 of seed and key are the pool, and of these each tree takes the rows
     with the least md5 of tree and that digest: the same rows for any partitioning, and ones that SQL can name. Rows of
     one key are told apart by nothing, so a key should be unique.
     """
+    features = [c for c in matrix.columns if c.startswith("_f")]
+    return _drawn(matrix, key, trees, sample, seed)[0].select("tree", *[F.col("f")[i].alias(c) for i, c in enumerate(features)])
+
+
+def _drawn(matrix: DataFrame, key: Sequence[str], trees: int, sample: int, seed: int) -> tuple[DataFrame, int]:
+    """The rows of :func:`tree_samples` with the features as an array ``f``, and how many a tree has."""
     total = matrix.count()
     features = [c for c in matrix.columns if c.startswith("_f")]
     hashed = matrix.select(seeded_digest(key, seed).alias("h"), F.array(*features).alias("f"))
@@ -104,7 +110,7 @@ def fit_forest(
     it and the share of its span at which it is cut. A node is a leaf at the depth limit, or if it holds one row or
     equal ones. All levels share the one shuffle that brought the rows of a tree together.
     """
-    rows, size = tree_samples(matrix, key, trees, sample, seed)
+    rows, size = _drawn(matrix, key, trees, sample, seed)
     width = sum(c.startswith("_f") for c in matrix.columns)
     limit = math.ceil(math.log2(max(size, 2)))
     # The rows of a tree stay together through all levels; the tasks share out the trees.
