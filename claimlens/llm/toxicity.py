@@ -4,6 +4,10 @@ A token that may be disguised (signs among letters, letters drawn out, single le
 character can stand for itself, for the letters it imitates, or for nothing, and a run of one letter for one or two.
 Viterbi decoding under a character trigram model of the whole corpus picks the likeliest spelling. The restored text
 is scored by words and word beginnings that labelled toxic texts hold far more often than chance allows.
+
+Tokens and rows of single characters of any length are decoded, in work linear in their length. A token longer than
+LONGEST is read by the parts between its signs; parts that are themselves longer, and single characters set apart by
+signs or spaces, are restored as one stretch of letters in which lexicon words are searched for.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ MODULUS, HELD = 5, 0
 # Evidence an entry needs, as log likelihood ratio against the share of toxic documents, and the least ratio of rates.
 EVIDENCE, RATIO = 14.0, 20.0
 PREFIXES = (4, 5, 6, 7, 8)
+# The longest word of the lexicon, and the longest token that is read as one word.
 LONGEST = 32
 # Tokens kept between texts, and the text whose trigrams are counted at once.
 CACHE = 400_000
@@ -48,8 +53,10 @@ SYMBOLS = len(LETTERS) + 2
 _NUMBER = {c: k + 1 for k, c in enumerate(LETTERS)}
 
 _TOKEN = re.compile(r"\S+")
-_EDGES = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@+€£]+$")
-_OUTER = re.compile(r"^[^\w@$!|+(<€£¡]+|[^\w@$!|+€£]+$")
+# Signs that may be letters at the front of a token, at its end when it is trimmed closely, and at its end otherwise.
+_FRONT, _CLOSE, _END = "@$!|+(<€£¡", "@+€£", "@$!|+€£"
+_GLUE = re.compile(r"(?:[^\w@$!|+(<€£¡]|_)+")
+_MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
 _PLAIN = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"(?<!\S)(?:[^\W_]|[@$!])(?:[ .\-_*]{1,3}(?:[^\W_]|[@$!])){3,}(?!\S)")
@@ -116,9 +123,10 @@ def decode(token: str, trigrams: np.ndarray) -> str:
             readings = [(x * k, SUBSTITUTE * k) for x in IMITATES.get(c, "") for k in range(1, min(n, 2) + 1)] + [("", DELETE)]
         steps.append(readings)
     last = SYMBOLS - 1
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    # A path is its cost and its letters, linked backwards, so that the work is linear in the token's length.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in steps:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, made) in paths.items():
             for letters, channel in readings:
                 x, y, total = a, b, cost + channel
@@ -127,35 +135,100 @@ def decode(token: str, trigrams: np.ndarray) -> str:
                     total += trigrams[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or total > after[x, y][0]:
-                    after[x, y] = (total, made + letters)
+                    after[x, y] = (total, (made, letters) if letters else made)
         paths = after
-    return max((cost + trigrams[a, b, 0], made) for (a, b), (cost, made) in paths.items())[1]
+    ends = [(cost + trigrams[a, b, 0], made) for (a, b), (cost, made) in paths.items()]
+    best = max(cost for cost, _ in ends)
+    return max(_spelled(made) for cost, made in ends if cost == best)
 
 
-def readings(token: str, trigrams: np.ndarray) -> tuple[str, ...]:
-    """The words a lower-case token stands for: its own letters, and its restored spelling if it may be disguised."""
-    bare = _EDGES.sub("", token)
-    if not bare or len(bare) > LONGEST:
-        return ()
+def _spelled(path: tuple | None) -> str:
+    made = []
+    while path is not None:
+        path, letters = path
+        made.append(letters)
+    return "".join(reversed(made))
+
+
+def _trimmed(token: str, front: str, end: str) -> str:
+    """``token`` without the signs around it that are not named."""
+    a, b = 0, len(token)
+    while a < b and not (token[a].isalnum() or token[a] == "_" or token[a] in front):
+        a += 1
+    while a < b and not (token[b - 1].isalnum() or token[b - 1] == "_" or token[b - 1] in end):
+        b -= 1
+    return token[a:b]
+
+
+def _word_readings(bare: str, token: str, trigrams: np.ndarray) -> tuple[str, ...]:
     if _PLAIN.fullmatch(bare):
         return (bare, decode(bare, trigrams)) if _DRAWN.search(bare) else (bare,)
     parts = _PLAIN.findall(bare)
     # Most of a disguised word is letters or their imitations, and some of it letters.
-    letters = sum(map(len, parts))
-    if not letters or 2 * sum(c.isalpha() or c in IMITATES for c in bare) < len(bare):
+    if not parts or 2 * sum(c.isalpha() or c in IMITATES for c in bare) < len(bare):
         return tuple(parts)
     # Where signs stand among the letters, those at the end may be letters as well.
-    light = _OUTER.sub("", token)[: 2 * LONGEST]
+    light = _trimmed(token, _FRONT, _END)
     return (*parts, *{decode(bare, trigrams), decode(light, trigrams)})
 
 
+def _shortened(token: str) -> tuple[str, str]:
+    """A token with runs of a character cut to three, which read alike however long, and what is left without its edges."""
+    token = _MANY.sub(r"\1\1\1", token)
+    return token, _trimmed(token, _FRONT, _CLOSE)
+
+
+def read_words(token: str, trigrams: np.ndarray) -> list[tuple[str, ...]]:
+    """The readings of each word of a lower-case token: one word, or those between the signs of a long token.
+
+    A word's readings are its own letters, and its restored spelling if it may be disguised.
+    """
+    token, bare = _shortened(token)
+    if len(bare) <= LONGEST:
+        return [_word_readings(bare, token, trigrams)] if bare else []
+    return [_word_readings(part, part, trigrams) for part in _GLUE.split(bare) if 1 < len(part) <= LONGEST]
+
+
+def readings(token: str, trigrams: np.ndarray) -> tuple[str, ...]:
+    """All words a lower-case token may stand for."""
+    return tuple(w for ways in read_words(token, trigrams) for w in ways)
+
+
+def stretches(token: str, trigrams: np.ndarray) -> list[tuple[str, ...]]:
+    """Readings of the stretches of a long token that are not words by themselves: long parts, and characters set apart."""
+    bare = _shortened(token)[1]
+    if len(bare) <= LONGEST:
+        return []
+    made, single = [], []
+    for part in [*_GLUE.split(bare), ""]:
+        if len(part) == 1:
+            single.append(part)
+            continue
+        if len(single) > 3:
+            made.append((decode("".join(single), trigrams),))
+        single = []
+        if len(part) > LONGEST:
+            made.append(_word_readings(part, part, trigrams))
+    return made
+
+
 def spaced(text: str, trigrams: np.ndarray) -> list[str]:
-    """Restored words written as single characters in a row."""
-    return [decode(re.sub(r"[ .\-_*]", "", found[0]), trigrams) for found in _RUN.finditer(text) if len(found[0]) <= 8 * LONGEST]
+    """Restored letters of every row of single characters, however long."""
+    return [decode(re.sub(r"[ .\-_*]", "", found[0]), trigrams) for found in _RUN.finditer(text)]
+
+
+def words_within(letters: str, words: frozenset[str], sizes: list[int]) -> int:
+    """How many words of the lexicon stand in a row of letters, from the left, longest first, none over another."""
+    n = at = 0
+    while at < len(letters):
+        size = next((k for k in sizes if at + k <= len(letters) and letters[at : at + k] in words), 0)
+        n += size > 0
+        at += size or 1
+    return n
 
 
 def _entries(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
+    return [*([word] if len(word) <= LONGEST else []), *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
 def _count_entries(sample: DataFrame, trigrams) -> DataFrame:
@@ -179,6 +252,8 @@ def _count_entries(sample: DataFrame, trigrams) -> DataFrame:
 def hits(texts: list[str | None], model: Model, known: dict[str, int]) -> np.ndarray:
     """Tokens of each whole text that read as lexicon entries. ``known`` keeps tokens' counts between calls."""
     made = np.zeros(len(texts))
+    # Words of fewer than four letters are too common inside others.
+    sizes = sorted({len(w) for w in model.words if len(w) >= 4}, reverse=True)
     for k, text in enumerate(texts):
         if not text:
             continue
@@ -186,20 +261,29 @@ def hits(texts: list[str | None], model: Model, known: dict[str, int]) -> np.nda
         for token in low.split():
             n = known.get(token)
             if n is None:
-                words = readings(token, model.trigrams)
-                n = int(any(w in model.words or not model.starts.isdisjoint(w[:p] for p in PREFIXES if len(w) >= p) for w in words))
-                if len(known) >= CACHE:
-                    known.clear()
-                known[token] = n
+                n = token_hits(token, model, sizes)
+                if len(token) <= 2 * LONGEST:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[token] = n
             total += n
-        for word in spaced(low, model.trigrams):
-            # A row of single characters may hold several words.
-            inner = {word[a:b] for a in range(len(word)) for b in range(a + 4, min(len(word), a + LONGEST) + 1)}
-            total += int(not model.words.isdisjoint(inner))
-        made[k] = total
+        # A row of single characters may hold several words.
+        made[k] = total + sum(words_within(word, model.words, sizes) for word in spaced(low, model.trigrams))
     return made
 
 
+def token_hits(token: str, model: Model, sizes: list[int]) -> int:
+    """How many words of a token read as lexicon entries, those in its long stretches included."""
+
+    def listed(w: str) -> bool:
+        return w in model.words or not model.starts.isdisjoint(w[:p] for p in PREFIXES if len(w) >= p)
+
+    total = sum(any(map(listed, ways)) for ways in read_words(token, model.trigrams))
+    if len(token) > LONGEST:
+        total += sum(max((words_within(w, model.words, sizes) for w in ways), default=0) for ways in stretches(token, model.trigrams))
+    return total
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
     """The corpus model, the lexicon and the curve. Without labels of both classes every score is the learning share."""
     trigrams = language_model(docs, text)
@@ -257,6 +341,7 @@ def scored(docs: DataFrame, model: Model, key: str, text: str, more: str = "", c
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``key``, ``held_out``, ``score`` (0 to 1), ``predicted`` and ``n_hits``.
 
-    Whole texts are restored and scored; null and empty texts have no hits. Every input row gives one row.
+    Whole texts are restored and scored, tokens and lines of any length too; null and empty texts have no hits. Every
+    input row gives one row, and rows that share a key are scored one by one.
     """
     return scored(docs.withColumn("_held", held_out(F.col(key), MODULUS, HELD)), model, key, text)

@@ -490,6 +490,29 @@ def test_disguised_words_are_restored():
     assert toxicity.readings("street,", model) == ("street",)
 
 
+def test_disguises_of_any_length_are_restored():
+    counts = toxicity.trigram_counts(["you are stupid and an idiot", "good apple tree street hello more words"] * 50)
+    trigrams = toxicity.log_trigrams(counts)
+    model = toxicity.Model(trigrams, frozenset({"stupid", "idiot", "moron"}), frozenset(), np.array([1.0, 0.0]))
+    assert "stupid" in toxicity.readings("st" + 38 * "u" + "pid", trigrams)
+    line = " ".join("good apple tree stupid street more words".replace(" ", "") * 5)
+    assert len(line) > 300 and toxicity.spaced(line, trigrams)[0].count("stupid") == 5
+    filler = "-".join("apple" for _ in range(20))
+    texts = {
+        "st" + 38 * "u" + "pid": 1,
+        "hello,this,is,stupid,and,more,words": 1,
+        line: 5,
+        "  ".join("you stupid and idiot good apple tree".replace(" ", "") * 9): 18,
+        filler + "-s-t-u-p-i-d-" + filler: 1,
+        "https://apple.tree/street/street/street/1d10t/more?words=stupid": 2,
+        "appletreestreethellomorewords" * 3 + "stupid" + "appletreestreet": 1,
+        "a!?" * 50_000 + "b": 0,
+        "goodapple" * 20_000: 0,
+        "!?" * 50_000: 0,
+    }
+    assert toxicity.hits(list(texts), model, {}).tolist() == list(texts.values())
+
+
 def test_language_on_held_out_documents(spark, small):
     rows = QUERIES["op6_language_id"](spark, small).collect()
     known = {r.doc_id: r.lang for r in table(spark, small, "documents", "doc_id", "lang").collect()}
