@@ -3,8 +3,10 @@
 A text is a weighted set: its words with their counts. For each of SAMPLES draws, every term k has fixed gamma
 variates r and c and a uniform b; with t = floor(ln w / r + b) and y = exp(r (t - b)), the draw picks the term of least
 a = c / (y exp(r)) together with its t. Two texts draw the same pair with a chance equal to their generalised Jaccard
-similarity, sum of minima over sum of maxima of the weights. A fingerprint keeps 16 bits of each pair. Variates are
-held for TERMS classes of words by hash, so that words of one class count as one term.
+similarity, sum of minima over sum of maxima of the weights. A fingerprint keeps 16 bits of each pair.
+
+The variates of a word and a draw come from a hash of both, so every word has its own and every task the same. They
+are made for BLOCK words at a time, however many a text holds; a task keeps those of CACHED words that several texts share.
 """
 
 from __future__ import annotations
@@ -22,61 +24,146 @@ from claimlens.llm import words as W
 from claimlens.llm.tables import kept
 
 SAMPLES = 128
-TERMS = 2**15
+# Words whose variates are made at once, and those whose variates a Python process keeps.
+BLOCK, CACHED = 32_768, 24_576
+# Words hashed together, few enough for a processor's cache.
+HASHED = 256
 PIECE_BYTES = 1_000_000
 
 
-def variates() -> tuple[np.ndarray, ...]:
-    """ln c - r, r and b of every term class and draw, and ln a for a weight of 1; the same in every task."""
+_DRAWS = W.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(W.BASE))
+_TINY = np.float32(2**-24)
+
 
-    def make() -> tuple[np.ndarray, ...]:
-        rng = np.random.Generator(np.random.PCG64(41))
-        shape = (TERMS, SAMPLES)
-        r = rng.standard_gamma(2.0, shape, dtype=np.float32)
-        c = np.log(rng.standard_gamma(2.0, shape, dtype=np.float32))
-        b = rng.random(shape, dtype=np.float32)
+def variates(terms: np.ndarray) -> np.ndarray:
+    """Four arrays (terms, SAMPLES) for word hashes: ln c - r, r, b, and ln a for a weight of 1.
+
+    r and c are gamma variates of shape 2, each the sum of two exponential ones, from four uniform numbers of 24 bits.
+    """
+    made = np.empty((4, len(terms), SAMPLES), dtype=np.float32)
+
+    def uniform(bits: np.ndarray, size: int) -> np.ndarray:
+        found = bits.astype(np.int32).astype(np.float32)
+        found += np.float32(0.5)
+        found *= np.float32(2.0**-size)
+        return found
+
+    def gamma(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        found = uniform(low >> np.uint32(8), 24)
+        found *= uniform(high >> np.uint32(8), 24)
+        np.log(found, out=found)
+        np.negative(found, out=found)
+        return np.maximum(found, _TINY, out=found)
+
+    for at in range(0, len(terms), HASHED):
+        base, r, b, ones = made[:, at : at + HASHED]
+        one = W.mix(terms[at : at + HASHED, None] + _DRAWS)
+        two = W.mix(one ^ np.uint64(W.BASE))
+        (low, high), (more, most) = ((x.view(np.uint32)[:, ::2], x.view(np.uint32)[:, 1::2]) for x in (one, two))
+        r[:] = gamma(low, high)
+        np.log(gamma(more, most), out=base)
+        base -= r
+        b[:] = uniform(((low & np.uint32(0xFF)) << np.uint32(8)) | (more & np.uint32(0xFF)), 16)
         # ln a = ln c - r (t - b) - r, and for a weight of 1 t = floor(b) = 0.
-        return c - r, r, b, c - r + r * b
+        np.multiply(r, b, out=ones)
+        ones += base
+    return made
+
+
+class Cache:
+    """Variates of words that came first in several texts of one piece; what it holds does not change any result."""
+
+    def __init__(self) -> None:
+        self.terms = np.zeros(0, dtype=np.uint64)  # sorted
+        self.rows = np.zeros(0, dtype=np.int64)
+        self.made = np.empty((4, CACHED, SAMPLES), dtype=np.float32)
 
-    return kept(f"variates {TERMS} {SAMPLES}", make)
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Rows of the words, -1 for those not held."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, self.rows[at], -1)
 
+    def add(self, terms: np.ndarray) -> None:
+        n = len(self.terms)
+        for at in range(0, min(len(terms), CACHED - n), BLOCK):
+            part = terms[at : min(at + BLOCK, CACHED - n)]
+            self.made[:, n + at : n + at + len(part)] = variates(part)
+        terms = terms[: CACHED - n]
+        both = np.concatenate((self.terms, terms))
+        order = np.argsort(both)
+        self.terms, self.rows = both[order], np.concatenate((self.rows, np.arange(n, n + len(terms))))[order]
 
-def weighted_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, term class and count of every distinct term of every text."""
+
+def weighted_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All distinct words by hash, and text number, word number and count of every word of every text."""
     starts, ends, owner = W.split_words(raw, offsets, W.NOT_SPACE)
-    term = (W.hash_words(raw, starts, ends) % np.uint64(TERMS)).astype(np.int64)
-    pairs, count = np.unique(owner * TERMS + term, return_counts=True)
-    return pairs // TERMS, pairs % TERMS, count
+    terms, number = np.unique(W.hash_words(raw, starts, ends), return_inverse=True)
+    size = max(len(terms), 1)
+    pairs, count = np.unique(owner * size + number, return_counts=True)
+    return terms, pairs // size, pairs % size, count
 
 
 def sample(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """16-bit samples (texts, SAMPLES); a text without words draws 0 everywhere."""
-    base, r, b, ones = variates()
-    text, term, count = weighted_terms(raw, offsets)
-    made = np.zeros((len(offsets) - 1, SAMPLES), dtype=np.uint16)
-    cuts = np.searchsorted(text, np.arange(len(offsets)))
-    columns = np.arange(SAMPLES)
-    for k in range(len(offsets) - 1):
-        lo, hi = cuts[k], cuts[k + 1]
-        if lo == hi:
+    """16-bit samples (texts, SAMPLES); a text without words draws 0 everywhere.
+
+    Words meet in blocks: those of the cache, then BLOCK others at a time. Each text keeps the least a of every draw with
+    its word and t; of equal ones the word of lower hash, so that blocks do not matter.
+    """
+    texts = len(offsets) - 1
+    terms, text, term, count = weighted_terms(raw, offsets)
+    cache = kept(f"variates {CACHED} {SAMPLES}", Cache)
+    row = cache.find(terms)
+    if len(cache.terms) < CACHED:
+        held_by = np.bincount(term, minlength=len(terms))
+        new = np.flatnonzero((row < 0) & (held_by > 1))
+        cache.add(terms[new[np.argsort(-held_by[new], kind="stable")]])
+        row = cache.find(terms)
+    others = np.flatnonzero(row < 0)
+    block = np.zeros(len(terms), dtype=np.int64)
+    block[others] = 1 + np.arange(len(others)) // BLOCK
+    row[others] = np.arange(len(others)) % BLOCK
+    least = np.full((texts, SAMPLES), np.inf, dtype=np.float32)
+    chosen = np.zeros((texts, SAMPLES), dtype=np.uint64)
+    steps = np.zeros((texts, SAMPLES), dtype=np.int64)
+    order = np.argsort(block[term], kind="stable")
+    limits = np.searchsorted(block[term[order]], np.arange(block.max(initial=0) + 2))
+    for k in range(len(limits) - 1):
+        own = order[limits[k] : limits[k + 1]]
+        if not len(own):
             continue
-        own, n = term[lo:hi], count[lo:hi]
+        made = cache.made if k == 0 else variates(terms[others[(k - 1) * BLOCK : k * BLOCK]])
+        edges = np.append(np.flatnonzero(np.diff(text[own], prepend=-1)), len(own))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            part = own[lo:hi]
+            _draw(made, row[term[part]], terms[term[part]], count[part], int(text[part[0]]), least, chosen, steps)
+    mixed = W.mix(chosen * np.uint64(W.BASE) + steps.view(np.uint64))
+    return np.where(np.isinf(least), 0, np.maximum(mixed >> np.uint64(48), np.uint64(1))).astype(np.uint16)
+
+
+_COLUMNS = np.arange(SAMPLES)
+
+
+def _draw(made: np.ndarray, rows: np.ndarray, terms: np.ndarray, n: np.ndarray, text: int, least: np.ndarray, chosen: np.ndarray, steps: np.ndarray) -> None:
+    """Draw from some words of one text, in order of their hashes, and keep what beats the text's earlier draws."""
+    for at in range(0, len(rows), BLOCK):
+        own, hashes, counts = rows[at : at + BLOCK], terms[at : at + BLOCK], n[at : at + BLOCK]
+        base, r, b, ones = made
         a = ones[own]
-        many = np.flatnonzero(n > 1)
-        t = np.zeros((len(many), SAMPLES), dtype=np.float32)
+        many = np.flatnonzero(counts > 1)
         if len(many):
-            rows = own[many]
-            t = np.floor(np.log(n[many], dtype=np.float32)[:, None] / r[rows] + b[rows])
-            a[many] = base[rows] - r[rows] * (t - b[rows])
+            here = own[many]
+            t = np.floor(np.log(counts[many], dtype=np.float32)[:, None] / r[here] + b[here])
+            a[many] = base[here] - r[here] * (t - b[here])
         best = a.argmin(axis=0)
-        steps = np.zeros(SAMPLES, dtype=np.float32)
+        value, word = a[best, _COLUMNS], hashes[best]
+        step = np.zeros(SAMPLES, dtype=np.int64)
         if len(many):
-            at = np.searchsorted(many, best)
-            hit = (at < len(many)) & (many[np.minimum(at, len(many) - 1)] == best)
-            steps[hit] = t[at[hit], columns[hit]]
-        mixed = W.mix(own[best].astype(np.uint64) * np.uint64(W.BASE) + steps.astype(np.int64).view(np.uint64))
-        made[k] = np.maximum(mixed >> np.uint64(48), np.uint64(1)).astype(np.uint16)
-    return made
+            place = np.minimum(np.searchsorted(many, best), len(many) - 1)
+            step = np.where(many[place] == best, t[place, _COLUMNS].astype(np.int64), 0)
+        won = (value < least[text]) | ((value == least[text]) & (word < chosen[text]))
+        least[text][won], chosen[text][won], steps[text][won] = value[won], word[won], step[won]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,8 +250,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     order of a hash of their texts.
     """
 
-    def rows(held: list[tuple], made: list[np.ndarray], edits: list[str]) -> pa.RecordBatch:
-        changed = samples_of(edits)
+    def rows(held: list[tuple], made: list[np.ndarray], edits: list[str], changed: np.ndarray) -> pa.RecordBatch:
         own, after = np.array(made[:-1]), np.array(made[1:])
         return pa.RecordBatch.from_arrays(
             [
@@ -185,8 +271,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
         def flush() -> pa.RecordBatch | None:
             nonlocal held, made, size
-            made += list(samples_of([h[2] for h in held[len(made) :]]))
-            done = rows(held, made, [edited(a[2], b[2]) for a, b in zip(held, held[1:])]) if len(held) > 1 else None
+            edits = [edited(a[2], b[2]) for a, b in zip(held, held[1:])]
+            new = [h[2] for h in held[len(made) :]]
+            both = samples_of(new + edits)  # together, as they share most of their words
+            made += list(both[: len(new)])
+            done = rows(held, made, edits, both[len(new) :]) if edits else None
             held, made, size = held[-1:], made[-1:], 0
             return done
 

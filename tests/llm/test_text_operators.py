@@ -357,6 +357,19 @@ def test_fingerprints_estimate_weighted_jaccard():
     assert np.abs(got - want).max() < 0.17 and np.corrcoef(got, want)[0, 1] > 0.9
 
 
+def test_fingerprints_of_long_vocabularies(monkeypatch):
+    one, two, shared = (" ".join(f"{c}{k}" for k in range(100_000)) for c in "abc")
+    prints = fingerprints.samples_of([one, two, one + " " + shared, two + " " + shared, one])
+    assert fingerprints.likeness(prints[0], prints[1]) < 0.05
+    assert abs(fingerprints.likeness(prints[2], prints[3]) - 1 / 3) < 0.17 and (prints[0] == prints[4]).all()
+    # Neither the neighbours nor what the cache holds matters.
+    texts = [passage(k, 300) for k in range(6)] + [one[:60_000] + " " + one[:30_000], ""]
+    together = fingerprints.samples_of(texts)
+    monkeypatch.setattr(fingerprints, "BLOCK", 50)
+    monkeypatch.setattr(fingerprints, "kept", lambda name, make: make())
+    assert all((fingerprints.samples_of([t])[0] == together[k]).all() for k, t in enumerate(texts))
+
+
 # Packing
 
 
