@@ -13,25 +13,29 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm import words as W
-from claimlens.llm.labelled import held_out, sample_ids, spread_parts, with_texts
+from claimlens.llm.labelled import held_out, spread_parts, with_texts
 from claimlens.llm.tables import pieces, stored, without_keys
 
 UNKNOWN = "und"
 HIDDEN = 8
 WINDOW = 96
 # The network learns from at most so many documents of each language, and of each from at most PARTS stretches of
-# WINDOW characters, spaced over the whole text.
-PER_LANGUAGE = 600
+# WINDOW characters, spaced over the whole text. Where there are many languages, each has an even share of SAMPLE, though
+# at least LEAST_EACH documents.
+PER_LANGUAGE, SAMPLE, LEAST_EACH = 600, 60_000, 20
 PARTS = 6
 STEPS, LANES, RATE = 260, 192, 0.02
+# Windows that every language is trained with at least; many languages take more steps.
+LEAST_WINDOWS = 1_000
 MODULUS, HELD = 4, 2
 PIECE_BYTES = 1_000_000
-# The most languages one sample holds; each is a row of a small aggregate.
-LANGUAGES = 500
+# The most languages a network learns, the most frequent ones; there are fewer codes of languages than that.
+LANGUAGES = 8_000
+SALTS = 256
 
 
 class Net(NamedTuple):
@@ -147,13 +151,18 @@ def gradients(net: Net, x: np.ndarray, live: np.ndarray, label: np.ndarray) -> t
 
 
 def train(windows: np.ndarray, live: np.ndarray, label: np.ndarray, names: list[str], steps: int = STEPS, seed: int = 7) -> Net:
-    """A network fitted by Adam on random windows (bytes, rows by window), as many of each language."""
+    """A network fitted by Adam on random windows (bytes, rows by window), as many of each language.
+
+    Languages take their turns over the lanes of all steps. There are ``steps`` of these, or more until every language
+    has had LEAST_WINDOWS.
+    """
+    steps = max(steps, -(-len(names) * LEAST_WINDOWS // LANES))
     net, rng = new_net(names, seed), np.random.default_rng(seed)
     by = [np.flatnonzero(label == k) for k in range(len(names))]
     first = [np.zeros_like(a) for a in net[:5]]
     second = [np.zeros_like(a) for a in net[:5]]
     for step in range(1, steps + 1):
-        pick = np.array([rng.choice(by[k % len(names)]) for k in range(LANES)])
+        pick = np.array([rng.choice(by[k % len(names)]) for k in range((step - 1) * LANES, step * LANES)])
         _, grads = gradients(net, windows[pick].T.copy(), live[pick].T.copy(), label[pick])
         size = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -191,19 +200,34 @@ def document_probabilities(column: pa.Array, net: Net) -> np.ndarray:
     return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
 
+def sample_languages(usable: DataFrame, names: list[str]) -> DataFrame:
+    """``_doc`` and ``label`` of as many documents of each language, those of least hash, each document once.
+
+    The least ones of each salt are found first, so a frequent language does not gather in one task.
+    """
+    each = min(PER_LANGUAGE, max(LEAST_EACH, SAMPLE // len(names)))
+    chance = F.xxhash64("_doc")
+    known = usable.where(F.col("label").isin(names)) if len(names) >= LANGUAGES else usable
+    near = known.withColumn("_salt", F.pmod(F.hash("_doc"), F.lit(SALTS)))
+    for by in (Window.partitionBy("_salt", "label"), Window.partitionBy("label")):
+        near = near.withColumn("_rank", F.row_number().over(by.orderBy(chance, "_doc"))).where(F.col("_rank") <= each)
+    return near.select("_doc", "label").dropDuplicates(["_doc"])
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Net:
     """A network trained on documents of known language outside the held-out part; of no language where none is known."""
     named = docs.select(F.col(key).alias("_doc"), F.col(lang).alias("label")).where("_doc is not null and label is not null")
     usable = stored(named.where(~held_out(F.col("_doc"), MODULUS, HELD)), "languages")
-    names = sorted(r.label for r in usable.select("label").distinct().limit(LANGUAGES).collect())
+    names = sorted(r.label for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect())
     if not names:
         return new_net([])
-    ids = sample_ids(usable, {name: PER_LANGUAGE for name in names}).dropDuplicates(["_doc"])
+    ids = sample_languages(usable, names)
     rows = with_texts(ids, docs, key, text).select("_doc", "label", spread_parts(F.col("_text"), PARTS, WINDOW).alias("parts")).collect()
     pairs = sorted((r._doc, part, r.label) for r in rows for part in r.parts if part)
     raw, offsets = W.text_bytes(pa.array([part for _, part, _ in pairs], pa.string()))
     windows, live, owner = cut_windows(raw, offsets)
-    label = np.array([names.index(pairs[k][2]) for k in owner], dtype=np.int64)
+    number = {name: k for k, name in enumerate(names)}
+    label = np.array([number[pairs[k][2]] for k in owner], dtype=np.int64)
     known = np.unique(label)
     if len(known) < len(names):  # a language whose texts are all empty teaches nothing
         names, label = [names[k] for k in known], np.searchsorted(known, label)
@@ -243,8 +267,10 @@ def predict(docs: DataFrame, net: Net, key: str = "doc_id", text: str = "text")
 def keep_identified(docs: DataFrame, net: Net, key: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
     """The documents with a recognised language: not ``und``, and of a mean probability of at least ``least``.
 
+    Where the network knows so many languages that 1.2 times an even chance is less than ``least``, that suffices.
     Rejection is by key, so rows that share a key go only if all of them are rejected.
     """
+    least = min(least, 1.2 / max(len(net.names), 1))
     judged = predict(docs, net, key, text)
     kept = ((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).cast("int")
     gone = judged.groupBy(key).agg(F.max(kept).alias("_kept")).where("_kept = 0").select(key)

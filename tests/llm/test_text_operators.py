@@ -534,6 +534,34 @@ def test_language_on_held_out_documents(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANES", 8)
+    monkeypatch.setattr(language, "LEAST_WINDOWS", 400)
+    names = [f"l{k:02d}" for k in range(12)]
+    rng = np.random.default_rng(4)
+    label = np.repeat(np.arange(12), 20)
+    windows = (65 + 5 * label[:, None] + rng.integers(0, 5, (240, 16))).astype(np.uint8)
+    net = language.train(windows, np.ones(windows.shape, bool), label, names)
+    found = language.document_probabilities(pa.array([bytes(w).decode() for w in windows]), net).argmax(axis=1)
+    assert np.mean(found == label) > 0.95
+    monkeypatch.setattr(language, "SAMPLE", 100)
+    usable = spark.range(30_000).selectExpr("id as _doc", "concat('x', case when id % 3 = 0 then 0 else id % 700 end) as label")
+    size = {r.label: r["count"] for r in language.sample_languages(usable, [f"x{k}" for k in range(700)]).groupBy("label").count().collect()}
+    assert len(size) == 700 and set(size.values()) == {language.LEAST_EACH}
+    even = language.Net(*[x * 0 for x in net[:5]], names)
+    docs = spark.createDataFrame([(1, "abc"), (2, "12"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in language.keep_identified(docs, even, least=0.05).collect()] == [1]
+    assert [r.doc_id for r in language.keep_identified(docs, even).collect()] == []
+    assert [r.doc_id for r in language.keep_identified(docs, new_peak(even)).collect()] == [1]
+
+
+def new_peak(net):
+    """The network, sure of its third language by 0.15."""
+    bias = net.out_bias.copy()
+    bias[2] = np.log(0.15 * 11 / 0.85)
+    return net._replace(out_bias=bias)
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
     net = language.new_net(["a", "b", "c"])
