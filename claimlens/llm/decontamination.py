@@ -189,8 +189,8 @@ def occurrences(
     """Per document: ``key``, ``n_words``, ``n_hit``, ``longest`` (longest run of hit words), ``hits`` (word places)
     and ``items`` (ids of the test items with occurring windows, as sorted strings).
 
-    A null or empty text has no words. Repeated rows are judged row by row while one block suffices; over several
-    blocks rows that share key and text are judged as one. An empty test set, or items without words, hit nothing.
+    A null or empty text has no words. Every input row gives one row, repeated ones too, however many blocks there are.
+    An empty test set, or items without words, hit nothing.
     """
     made = []
     context = docs.sparkSession.sparkContext
@@ -222,6 +222,10 @@ def occurrences(
             found = found.unionByName(part)
         merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")]
         found = found.groupBy("_doc", "_sig").agg(F.max("n_words").alias("n_words"), *merged)
+        # Rows that share key and text have the same matches; each gets its own again.
+        rows = docs.select(F.col(key).alias("_row"), F.xxhash64(text).alias("_row_sig"))
+        same = F.col("_row").eqNullSafe(F.col("_doc")) & (F.col("_row_sig") == F.col("_sig"))
+        found = rows.join(found, same).drop("_row", "_row_sig")
     else:
         found = found.withColumn("items", F.array_sort("items"))
     run = F.aggregate(

@@ -298,6 +298,9 @@ TESTS = [(1, passage(13, 25)), (2, "Quiet lamp7"), (3, None), (4, ""), (10, pass
 def test_decontamination_equals_brute_force(spark, odd, block):
     tests = spark.createDataFrame(TESTS, "item_id int, text string")
     got = decontamination.occurrences(odd, tests, block_bytes=block).collect()
+    assert Counter(r.doc_id for r in got) == Counter(k for k, _ in ODD)
+    twice = decontamination.occurrences(odd.union(odd), tests, block_bytes=block).collect()
+    assert Counter((r.doc_id, r.n_hit) for r in twice) == Counter({k: 2 * n for k, n in Counter((r.doc_id, r.n_hit) for r in got).items()})
     want = brute_hits([(k, t) for k, t in ODD if k is not None], TESTS)
     for r in got:
         if r.doc_id is not None:
