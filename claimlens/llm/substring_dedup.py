@@ -14,14 +14,15 @@ or earlier in the same one. The suffix arrays need only hold places where an ans
 4. Covered stretches are joined with the texts, merged and cut out.
 
 Anchors that very many documents share (found on a sample of documents, and so only a matter of how work is dealt) are
-dealt by context in step 2. Anchors with more than MANY open contexts are cut into single strings and dealt by these in
-step 3, so no shard depends on how often a passage occurs. Texts move compressed.
+dealt by context in step 2. In step 3, contexts of an anchor with more than MANY open ones are cut into parts of windows
+alike at both ends and dealt by these ends as well; parts of which there are still more than MANY are cut into single
+strings. So no shard depends on how often a passage occurs. Texts move compressed.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ RUN = 64
 # Contexts of one suffix array, in bytes; whole anchors only, of at most MANY contexts each.
 SHARD_BYTES = 1_500_000
 MANY = 30_000
+# The ends of a window, and the stretches within an end of which the least-hashing one counts.
+ENDS, GRAM_ENDS = 32, 8
 # One document in SAMPLE looks for anchors in more than HOT_SHARE of the sampled documents.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 0.01, 32
 SALTS = 1_024
@@ -124,12 +127,23 @@ def hot_anchors(keyed: DataFrame) -> list[int]:
 
 
 # Columns of a run: anchor; 57 bits of its context's hash and 7 of its windows' number; place. ``again``: the anchor recurs.
+# With ``repeat``, a covered stretch instead: a hash of its place, its number of windows, its place.
 RUN_SCHEMA = "h long, c long, doc long, at long, again boolean, repeat boolean"
 RUN_NAMES = ["h", "c", "doc", "at", "again", "repeat"]
 
 
+def _joined(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows, those that follow one another in a text as one."""
+    order = np.lexsort((at, doc))
+    doc, at, end = doc[order], at[order], (at + windows)[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > end[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], at[first], (np.maximum.reduceat(end, first) if len(first) else end) - at[first]
+
+
 def _runs_of(keyed: DataFrame) -> DataFrame:
-    """All runs; ``repeat`` marks those whose context came earlier in the same batch."""
+    """All runs whose context did not come earlier in the same batch; consecutive ones of those that did, as one stretch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +158,13 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
                 same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
                 # A row equal to the first in its place as well is a repeated row, not a later place.
                 first = np.maximum.accumulate(np.where(~same, np.arange(len(h)), 0))
+                again = (np.bincount(first, weights=again, minlength=len(h)) > 0)[first]
                 same &= (doc != doc[first]) | (at != at[first])
-                return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, doc, at, again, same)], RUN_NAMES)
+                done, place, windows = _joined(doc[same], at[same], c[same] & 127)
+                spread = W.mix((done ^ place).view(np.uint64)).view(np.int64)
+                columns = zip((h, c, doc, at, again), (spread, windows, done, place, np.zeros(len(done), dtype=bool)))
+                settled = np.repeat([False, True], [int((~same).sum()), len(done)])
+                return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate((x[~same], y))) for x, y in columns), pa.array(settled)], RUN_NAMES)
 
             for doc, sig, text in zip(batch.column("doc").to_pylist(), batch.column("sig").to_pylist(), batch.column("_text")):
                 raw = np.frombuffer(text.as_py().encode(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
@@ -164,6 +183,9 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(work, RUN_SCHEMA)
 
 
+MET_NAMES = ["h", "windows", "doc", "at", "covered", "open"]
+
+
 def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
     """``covered`` runs, and the first runs of contexts whose strings must still be compared (``open``)."""
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
@@ -186,19 +208,25 @@ def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
 
     def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, c, doc, at, again, repeat, own_hot = (np.asarray(rows.column(n).combine_chunks().to_numpy(zero_copy_only=False)) for n in names)
+        if repeat.any():
+            rows_done = [h, c, doc, at, repeat, ~repeat]
+            yield pa.RecordBatch.from_arrays([pa.array(x[repeat]) for x in rows_done], MET_NAMES)
+            h, c, doc, at, again, own_hot = (x[~repeat] for x in (h, c, doc, at, again, own_hot))
         n = len(h)
+        if not n:
+            return
         new_h, new_c = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
         new_h[1:] = h[1:] != h[:-1]
         new_c[1:] = new_h[1:] | (c[1:] != c[:-1])
         first = np.maximum.accumulate(np.where(new_c, np.arange(n), 0))
-        covered = repeat | (~new_c & ((doc != doc[first]) | (at != at[first])))
+        covered = ~new_c & ((doc != doc[first]) | (at != at[first]))
         group = np.cumsum(new_h) - 1
         contexts = np.bincount(group, weights=new_c)[group]
         recurs = np.bincount(group, weights=again)[group] > 0
         open_ = new_c & ((contexts > 1) | recurs | own_hot)
         keep = np.flatnonzero(covered | open_)
         made = [h[keep], c[keep] & 127, doc[keep], at[keep], covered[keep], open_[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["h", "windows", "doc", "at", "covered", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], MET_NAMES)
 
     schema = "h long, windows long, doc long, at long, covered boolean, open boolean"
     return ordered.select(*names).mapInArrow(work, schema)
@@ -222,11 +250,7 @@ def _sig(at: str = "at"):
 
 
 def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Open runs with their bytes, as (shard, doc, at, windows, context); without a shard and bytes, covered stretches.
-
-    Runs of an anchor with many contexts are cut into single strings, of which each batch sends the earliest and covers
-    the others.
-    """
+    """Open runs with their bytes (CONTEXT); those of an anchor with many contexts in parts that agree at their ends."""
     many = stored(open_runs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > MANY), "many")
     marked = open_runs.join(many, "h", "left").withColumn("hot", F.col("n").isNotNull())
     wanted = marked.groupBy("doc", _sig().alias("sig")).agg(F.collect_list(F.struct("h", "at", "windows", "hot")).alias("runs"))
@@ -235,39 +259,93 @@ def _contexts(open_runs: DataFrame, keyed: DataFrame) -> DataFrame:
         loose = zstd.ZstdDecompressor()
         for batch in batches:
             out: list[tuple] = []
-            single: dict[tuple[int, bytes], tuple[int, int]] = {}
-            later: list[tuple[int, int]] = []
-            for doc, sig, asked, packed in zip(*(batch.column(n).to_pylist() for n in ("doc", "sig", "runs", "packed"))):
+            crowded: list[tuple[int, int, int, bytes]] = []
+            for doc, asked, packed in zip(*(batch.column(n).to_pylist() for n in ("doc", "runs", "packed"))):
                 text = loose.decompress(packed)
                 for run in asked:
                     start = run["at"] & _STARTS
-                    if not run["hot"]:
-                        out.append((run["h"], doc, run["at"], run["windows"], text[start : start + run["windows"] + LENGTH - 1]))
-                        continue
-                    for s in range(start, start + run["windows"]):
-                        piece, place = (run["h"], text[s : s + LENGTH]), (doc, (sig << START_BITS) + s)
-                        known = single.get(piece)
-                        if known is None or place < known:
-                            single[piece] = place
-                            known, place = place, known
-                        if place and place != known:
-                            later.append(place)
-            if later:
-                # Consecutive starts are one covered stretch.
-                doc, at = np.array(sorted(set(later)), dtype=np.int64).T
-                first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1))))
-                count = np.diff(np.append(first, len(doc)))
-                out += [(None, d, a, n, None) for d, a, n in zip(doc[first].tolist(), at[first].tolist(), count.tolist())]
-            out += [(xxhash.xxh3_64_intdigest(text) - 2**63, doc, at, 1, text) for (_, text), (doc, at) in single.items()]
+                    context = text[start : start + run["windows"] + LENGTH - 1]
+                    if run["hot"]:
+                        crowded.append((run["h"], doc, run["at"], context))
+                    else:
+                        out.append((run["h"], doc, run["at"], run["windows"], context, False))
+            out += earliest(parts_of(crowded), True)
+            if out:
+                yield _context_batch(out)
+
+    joined = _packed_texts(keyed).join(wanted, ["doc", "sig"]).select("doc", "runs", "packed")
+    return joined.mapInArrow(cut, CONTEXT_SCHEMA)
+
+
+def _strings(contexts: DataFrame) -> DataFrame:
+    """Contexts cut into single strings, each a context of its own shard."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = (
+                (xxhash.xxh3_64_intdigest(context[k : k + LENGTH]) - 2**63, doc, at + k, context[k : k + LENGTH])
+                for doc, at, windows, context in zip(*(batch.column(n).to_pylist() for n in ("doc", "at", "windows", "context")))
+                for k in range(windows)
+            )
+            out = earliest(pieces, False)
             if out:
-                kinds = [pa.int64()] * 4 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], CONTEXT)
+                yield _context_batch(out)
+
+    return contexts.select("doc", "at", "windows", "context").mapInArrow(cut, CONTEXT_SCHEMA)
 
-    joined = _packed_texts(keyed).join(wanted, ["doc", "sig"]).select("doc", "sig", "runs", "packed")
-    return joined.mapInArrow(cut, "shard long, doc long, at long, windows long, context binary")
 
+def parts_of(contexts: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+    """Contexts (anchor, doc, at, bytes) in parts: consecutive windows with the same least GRAM_ENDS bytes in both their ends.
 
-CONTEXT = ["shard", "doc", "at", "windows", "context"]
+    Equal strings have equal ends, so they meet in one shard of the parts as well.
+    """
+    if not contexts:
+        return
+    size = np.array([len(c[3]) for c in contexts])
+    windows = size - LENGTH + 1
+    starts = np.cumsum(size) - size
+    least = _slide(gram_hashes(np.frombuffer(b"".join(c[3] for c in contexts), np.uint8), GRAM_ENDS), ENDS - GRAM_ENDS + 1)
+    owner = np.repeat(np.arange(len(contexts)), windows)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = starts[owner] + offset
+    anchor = np.array([c[0] for c in contexts], dtype=np.int64).view(np.uint64)[owner]
+    shard = W.mix(least[place] * np.uint64(W.BASE) + W.mix(least[place + LENGTH - ENDS] + anchor)).view(np.int64)
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (shard[1:] != shard[:-1])
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(owner)))
+    for key, own, off, n in zip(shard[first].tolist(), owner[first].tolist(), offset[first].tolist(), count.tolist()):
+        _, doc, at, context = contexts[own]
+        yield key, doc, at + off, context[off : off + n + LENGTH - 1]
+
+
+def earliest(pieces: Iterable[tuple[int, int, int, bytes]], part: bool) -> list[tuple]:
+    """Of equal pieces (shard, doc, at, bytes) the earliest as a row (CONTEXT); the others as covered stretches."""
+    known: dict[tuple[int, bytes], tuple[int, int]] = {}
+    later: list[tuple[int, int, int]] = []
+    for shard, doc, at, context in pieces:
+        place = (doc, at)
+        held = known.setdefault((shard, context), place)
+        if place < held:
+            known[shard, context] = place
+            place, held = held, place
+        if place != held:
+            later.append((*place, len(context) - LENGTH + 1))
+    out: list[tuple] = []
+    if later:
+        covered = _joined(*np.array(later, dtype=np.int64).T)
+        out = [(None, doc, at, n, None, False) for doc, at, n in zip(*(x.tolist() for x in covered))]
+    return out + [(shard, doc, at, len(context) - LENGTH + 1, context, part) for (shard, context), (doc, at) in known.items()]
+
+
+# A context and the shard it goes to; without a shard and bytes, a covered stretch. ``part``: of a context cut by its ends.
+CONTEXT = ["shard", "doc", "at", "windows", "context", "part"]
+CONTEXT_SCHEMA = "shard long, doc long, at long, windows long, context binary, part boolean"
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [*[pa.int64()] * 4, pa.binary(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], CONTEXT)
 
 
 def repeated_starts(context: list[bytes], windows: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -350,11 +428,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keyed = _keyed(docs, key, text)
     met = stored(_met_runs(_runs_of(keyed), hot_anchors(keyed)), "runs")
     contexts = stored(_contexts(met.where("open"), keyed), "contexts")
+    crowded = stored(contexts.where("part").groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > MANY).select("shard"), "crowded")
+    strings = stored(_strings(contexts.join(crowded, "shard", "left_semi")), "strings")
+    placed = contexts.where("shard is not null").join(crowded, "shard", "left_anti").select(*CONTEXT)
     covered = (
         met.where("covered")
         .select("doc", "at", "windows")
         .union(contexts.where("shard is null").select("doc", "at", "windows"))
-        .union(_sorted_shards(contexts.where("shard is not null")))
+        .union(strings.where("shard is null").select("doc", "at", "windows"))
+        .union(_sorted_shards(placed.union(strings.where("shard is not null"))))
     )
     spans = covered.groupBy("doc", _sig().alias("sig")).agg(F.collect_list(F.struct("at", "windows")).alias("found"))
 

@@ -145,6 +145,21 @@ def test_substring_dedup_of_hot_and_periodic_text(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_parts_of_crowded_contexts_hold_each_window_once():
+    common = passage(9, 12).encode()
+    texts = [passage(400 + k, 4 + k % 3).encode() + common + passage(500 + k, 3).encode() for k in range(20)]
+    parts = list(substring_dedup.parts_of([(7, k, 1_000 * k, t) for k, t in enumerate(texts)]))
+    shards, held = {}, []
+    for shard, doc, at, context in parts:
+        for s in range(len(context) - 99):
+            held.append((doc, at - 1_000 * doc + s, context[s : s + 100]))
+            shards.setdefault(context[s : s + 100], set()).add(shard)
+    assert sorted(held) == sorted((k, s, t[s : s + 100]) for k, t in enumerate(texts) for s in range(len(t) - 99))
+    assert all(len(s) == 1 for s in shards.values())
+    assert len(parts) < len(held) / 3
+    assert list(substring_dedup.parts_of([])) == []
+
+
 def test_substring_dedup_query_equals_brute_force(spark, small):
     docs = [(r.doc_id, r.text) for r in table(spark, small, "documents", "doc_id", "text").orderBy("doc_id").collect()]
     got = QUERIES["op1_suffix_array_dedup"](spark, small).collect()
