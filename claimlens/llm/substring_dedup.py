@@ -6,8 +6,9 @@ or earlier in the same one. The suffix arrays need only hold places where an ans
 1. Every window of LENGTH bytes has an anchor, its least-hashing stretch of GRAM bytes. Equal strings have equal
    anchors, so strings are compared only among windows of one anchor value. Consecutive windows with one anchor
    value are a run; the bytes it covers are its context.
-2. Runs meet by anchor. A run with the context of an earlier one is covered as a whole. An anchor with one context
-   only needs nothing more, unless the anchor recurs within the run.
+2. Runs meet by anchor. A run with the context of an earlier one is covered as a whole. Equal strings have GRAM equal
+   bytes before their anchor or after it, so a context that agrees with no other one of its anchor on either side needs
+   nothing more, unless the anchor recurs within a run.
 3. The first runs of all other contexts are laid into suffix arrays (:mod:`claimlens.llm.suffix_array`), one for each
    shard of whole anchors. Neighbours that share LENGTH bytes are one string, and all but its earliest start are
    covered.
@@ -73,12 +74,16 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(made[: len(values) - width + 1], made[width - reach :]) if reach < width else made
 
 
-def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first window, number of windows, and whether the anchor recurs, for each run of one text."""
+def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, first window, number of windows, whether the anchor recurs, and the anchor's sides, for each run of one text.
+
+    The sides are hashes of the ``gram`` bytes before and after the anchor, 24 bits each, 0 where the context ends sooner.
+    A window holds one of them whole, as ``length`` is at least three times ``gram`` less one.
+    """
     width = length - gram + 1
     if len(raw) < length:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool), none
     hashes = gram_hashes(raw, gram)
     least = _slide(hashes, width)
     edge = np.flatnonzero(least[1:] != least[:-1]) + 1
@@ -87,13 +92,19 @@ def runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     anchor = least[first]
     # Two windows of a run can be equal only if a later one lies behind the anchor of the first.
     held = hashes[first[:, None] + np.arange(width)] == anchor[:, None]
-    again = count - 1 > held.argmax(axis=1)
+    lead = held.argmax(axis=1)
+    again = count - 1 > lead
+    at, end = first + lead, first + count + length - 1
+    before = np.where(lead >= gram, (hashes[np.maximum(at - gram, 0)] >> np.uint64(40)) | np.uint64(1), np.uint64(0))
+    after = np.where(at + 2 * gram <= end, (hashes[np.minimum(at + gram, len(hashes) - 1)] >> np.uint64(40)) | np.uint64(1), np.uint64(0))
+    sides = ((before << np.uint64(24)) | after).view(np.int64)
     if (count > RUN).any():
         parts = -(-count // RUN)
         which = np.repeat(np.arange(len(first)), parts)
         at = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
         first, anchor, again, count = first[which] + at * RUN, anchor[which], again[which] | (parts[which] > 1), np.minimum(count[which] - at * RUN, RUN)
-    return anchor, first, count, again
+        sides = sides[which]
+    return anchor, first, count, again, sides
 
 
 def context_hashes(raw: np.ndarray, first: np.ndarray, count: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -128,8 +139,8 @@ def hot_anchors(keyed: DataFrame) -> list[int]:
 
 # Columns of a run: anchor; 57 bits of its context's hash and 7 of its windows' number; place. ``again``: the anchor recurs.
 # With ``repeat``, a covered stretch instead: a hash of its place, its number of windows, its place.
-RUN_SCHEMA = "h long, c long, doc long, at long, again boolean, repeat boolean"
-RUN_NAMES = ["h", "c", "doc", "at", "again", "repeat"]
+RUN_SCHEMA = "h long, c long, doc long, at long, sides long, again boolean, repeat boolean"
+RUN_NAMES = ["h", "c", "doc", "at", "sides", "again", "repeat"]
 
 
 def _joined(doc: np.ndarray, at: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,9 +162,9 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
             held = 0
 
             def flush() -> pa.RecordBatch:
-                h, c, doc, at, again = (np.concatenate(x) for x in zip(*parts))
+                h, c, doc, at, sides, again = (np.concatenate(x) for x in zip(*parts))
                 order = np.lexsort((at, doc, c, h))
-                h, c, doc, at, again = h[order], c[order], doc[order], at[order], again[order]
+                h, c, doc, at, sides, again = (x[order] for x in (h, c, doc, at, sides, again))
                 same = np.zeros(len(h), dtype=bool)
                 same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
                 # A row equal to the first in its place as well is a repeated row, not a later place.
@@ -162,17 +173,18 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
                 same &= (doc != doc[first]) | (at != at[first])
                 done, place, windows = _joined(doc[same], at[same], c[same] & 127)
                 spread = W.mix((done ^ place).view(np.uint64)).view(np.int64)
-                columns = zip((h, c, doc, at, again), (spread, windows, done, place, np.zeros(len(done), dtype=bool)))
+                none = np.zeros(len(done), dtype=np.int64)
+                columns = zip((h, c, doc, at, sides, again), (spread, windows, done, place, none, none.astype(bool)))
                 settled = np.repeat([False, True], [int((~same).sum()), len(done)])
                 return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate((x[~same], y))) for x, y in columns), pa.array(settled)], RUN_NAMES)
 
             for doc, sig, text in zip(batch.column("doc").to_pylist(), batch.column("sig").to_pylist(), batch.column("_text")):
                 raw = np.frombuffer(text.as_py().encode(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
-                anchor, first, count, again = runs(raw)
+                anchor, first, count, again, sides = runs(raw)
                 if not len(anchor):
                     continue
                 context = (context_hashes(raw, first, count) << np.uint64(7)) | count.astype(np.uint64)
-                parts.append([anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc), first + (sig << START_BITS), again])
+                parts.append([anchor.view(np.int64), context.view(np.int64), np.full(len(first), doc), first + (sig << START_BITS), sides, again])
                 held += len(first)
                 if held > 400_000:
                     yield flush()
@@ -183,6 +195,13 @@ def _runs_of(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(work, RUN_SCHEMA)
 
 
+def _shared(group: np.ndarray, side: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Those of ``rows`` that agree with another one in group and side."""
+    rows = rows[np.lexsort((side[rows], group[rows]))]
+    same = (group[rows][1:] == group[rows][:-1]) & (side[rows][1:] == side[rows][:-1])
+    return rows[np.append(same, False) | np.append(False, same)] if len(rows) else rows
+
+
 MET_NAMES = ["h", "windows", "doc", "at", "covered", "open"]
 
 
@@ -191,7 +210,7 @@ def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
     salted = found.withColumns({"hot": is_hot, "salt": F.when(is_hot, F.pmod("c", F.lit(SALTS))).otherwise(0)})
     ordered = salted.repartition("h", "salt").sortWithinPartitions("h", "salt", "c", "doc", "at")
-    names = ["h", "c", "doc", "at", "again", "repeat", "hot"]
+    names = [*RUN_NAMES, "hot"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None  # the rows of the last anchor, which the next batch may go on with
@@ -207,11 +226,11 @@ def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
             yield from judge(rest)
 
     def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, c, doc, at, again, repeat, own_hot = (np.asarray(rows.column(n).combine_chunks().to_numpy(zero_copy_only=False)) for n in names)
+        h, c, doc, at, sides, again, repeat, own_hot = (np.asarray(rows.column(n).combine_chunks().to_numpy(zero_copy_only=False)) for n in names)
         if repeat.any():
             rows_done = [h, c, doc, at, repeat, ~repeat]
             yield pa.RecordBatch.from_arrays([pa.array(x[repeat]) for x in rows_done], MET_NAMES)
-            h, c, doc, at, again, own_hot = (x[~repeat] for x in (h, c, doc, at, again, own_hot))
+            h, c, doc, at, sides, again, own_hot = (x[~repeat] for x in (h, c, doc, at, sides, again, own_hot))
         n = len(h)
         if not n:
             return
@@ -221,9 +240,10 @@ def _met_runs(found: DataFrame, hot: list[int]) -> DataFrame:
         first = np.maximum.accumulate(np.where(new_c, np.arange(n), 0))
         covered = ~new_c & ((doc != doc[first]) | (at != at[first]))
         group = np.cumsum(new_h) - 1
-        contexts = np.bincount(group, weights=new_c)[group]
         recurs = np.bincount(group, weights=again)[group] > 0
-        open_ = new_c & ((contexts > 1) | recurs | own_hot)
+        open_ = new_c & (recurs | own_hot)
+        for side in (sides >> 24, sides & 0xFFFFFF):
+            open_[_shared(group, side, np.flatnonzero(new_c & (side != 0)))] = True
         keep = np.flatnonzero(covered | open_)
         made = [h[keep], c[keep] & 127, doc[keep], at[keep], covered[keep], open_[keep]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], MET_NAMES)
