@@ -38,8 +38,9 @@ from claimlens.llm.tables import stored
 
 LENGTH = 100
 GRAM = 32
-# A run is cut after so many windows, which bounds a context to RUN + LENGTH - 1 bytes.
-RUN = 64
+# A run is cut after so many windows, which bounds a context to RUN + LENGTH - 1 bytes. Only a run in which its anchor recurs
+# has more than LENGTH - GRAM + 1 windows, so no other one is cut; the number must fit in 7 bits.
+RUN = 96
 # Contexts of one suffix array, in bytes; whole anchors only, of at most MANY contexts each.
 SHARD_BYTES = 1_500_000
 MANY = 30_000

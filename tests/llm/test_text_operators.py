@@ -145,6 +145,15 @@ def test_substring_dedup_of_hot_and_periodic_text(spark, monkeypatch):
     assert got == brute_removal(rows)
 
 
+def test_runs_are_cut_only_where_their_anchor_recurs():
+    raw = np.frombuffer(passage(77, 4_000).encode(), np.uint8)
+    anchor, first, count, again, _ = substring_dedup.runs(raw)
+    assert count.sum() == len(raw) - 99 and (first == np.cumsum(count) - count).all()
+    assert count.max() == 69 and not again[count == 69].any()
+    assert substring_dedup.RUN < 128
+    assert substring_dedup.runs(np.frombuffer(b"ab" * 400, np.uint8))[3].all()
+
+
 def test_parts_of_crowded_contexts_hold_each_window_once():
     common = passage(9, 12).encode()
     texts = [passage(400 + k, 4 + k % 3).encode() + common + passage(500 + k, 3).encode() for k in range(20)]
