@@ -27,6 +27,11 @@ RANGE = "_range"
 RANK_MARGIN = 2e-3
 ACCURACY = 2_000
 
+# Keys that place the limits of ranges and tiles, and how far from its expected place among them a tile's limit is
+# looked for, in standard deviations. Neither touches the result.
+SAMPLED = 100_000
+DEVIATIONS = 5
+
 
 def ascending(*names: str) -> list[Column]:
     """Ascending sort with missing values last."""
@@ -49,22 +54,26 @@ def ordered_ranges(
     return stored(tagged)
 
 
-def tagged_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None, is_stored: bool = False) -> DataFrame:
-    """Wide rows, computed once and stored by column, with the id of their range of ``order`` (ascending, missing last).
+def _sampled_keys(keys: DataFrame, order: Sequence[str], total: int) -> tuple[DataFrame, int]:
+    """About ``SAMPLED`` of the ordering keys, numbered in order, and their number. They only place limits, which may lie
+    anywhere: every row is then compared with them."""
+    share = min(1.0, SAMPLED / max(total, 1))
+    some = stored(keys.sample(share, 1) if share < 1 else keys)
+    # One task numbers these few keys, whatever the size of the data.
+    return some.withColumn("_place", F.row_number().over(Window.orderBy(*ascending(*order)))), some.count()
 
-    Only the ordering columns are sorted into ranges. The greatest key of each range comes to the driver, and every
-    row finds its range by halving among those limits, so the rows themselves do not move. ``is_stored`` says that
-    the rows come from a stored table already.
-    """
-    kept = df if is_stored else stored_by_column(df)
-    keys = kept.select(*order)
-    sort = ascending(*order)
-    spread = keys.repartitionByRange(ranges, *sort) if ranges else keys.repartitionByRange(*sort)
-    key = _ordering_struct([F.col(c) for c in order])
-    tops = spread.groupBy(F.spark_partition_id().alias(RANGE)).agg(F.max_by(F.struct(*order), key).alias("top")).collect()
-    types = {f.name: f.dataType for f in keys.schema.fields}
-    tops.sort(key=lambda r: r[RANGE])
-    limits = [_ordering_struct([_literal(r["top"][c], types[c]) for c in order]) for r in tops[:-1]]
+
+def _limits_at(sampled: DataFrame, order: Sequence[str], places: Sequence[int]) -> list[Column]:
+    """The sampled keys at these places as ordering keys."""
+    if not places:
+        return []
+    types = {f.name: f.dataType for f in sampled.schema.fields}
+    rows = sampled.filter(F.col("_place").isin(list(places))).orderBy("_place").collect()
+    return [_ordering_struct([_literal(r[c], types[c]) for c in order]) for r in rows]
+
+
+def _with_range(df: DataFrame, order: Sequence[str], limits: Sequence[Column]) -> DataFrame:
+    """The rows with the number of limits that lie below their key, found by halving."""
     compared = F.col("_order_key")
 
     def halved(low: int, high: int) -> Column:
@@ -73,7 +82,25 @@ def tagged_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None
         middle = (low + high) // 2
         return F.when(compared <= limits[middle], halved(low, middle)).otherwise(halved(middle + 1, high))
 
-    return kept.withColumn("_order_key", key).withColumn(RANGE, halved(0, len(limits))).drop("_order_key")
+    # An exploded key is made once for each row; any other would be made again for each comparison of a filter on the range.
+    key = F.explode(F.array(_ordering_struct([F.col(c) for c in order])))
+    keyed = df.select("*", key.alias("_order_key"))
+    return keyed.withColumn(RANGE, halved(0, len(limits))).drop("_order_key")
+
+
+def tagged_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None, is_stored: bool = False) -> DataFrame:
+    """Wide rows, computed once and stored by column, with the id of their range of ``order`` (ascending, missing last).
+
+    The limits of the ranges, as many as a shuffle has parts, are keys of a bounded sample; every row of the table finds
+    its range by halving among them, so the rows themselves do not move. ``is_stored`` says that the rows come from a
+    stored table already.
+    """
+    kept = df if is_stored else stored_by_column(df)
+    keys = kept.select(*order)
+    parts = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sampled, size = _sampled_keys(keys, order, keys.count())
+    places = sorted({size * i // parts for i in range(1, parts)} - {0})
+    return _with_range(kept, order, _limits_at(sampled, order, places))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -369,26 +396,43 @@ def _range_sizes(ranged: DataFrame) -> list[tuple[int, int]]:
     return sorted((r[RANGE], r["n"]) for r in ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).collect())
 
 
-def tile_limits(df: DataFrame, order: Sequence[str], tiles: int, ranges: int | None = None) -> list[Column]:
+def tile_limits(
+    df: DataFrame, order: Sequence[str], tiles: int, ranges: int | None = None, is_stored: bool = False
+) -> list[Column]:
     """Ordering keys of the last row of each tile but the last, for a total ascending order.
 
-    Only the ordering columns are range-partitioned. The sizes of the ranges tell where each limit lies,
-    and only the ranges holding a limit are numbered.
+    A bounded sample tells between which keys each limit should lie. All rows are counted by these bounds where they
+    lie; only those between two bounds that hold a limit are range-partitioned, and of their ranges only those holding
+    one are numbered. A limit that lies elsewhere than expected makes for more such rows, not for another result.
+    ``is_stored`` says that the rows come from a stored table already.
     """
-    keys = df.select(*order)
-    ranged = ordered_ranges(keys, ascending(*order), ranges)
-    sizes = _range_sizes(ranged)
-    total = sum(n for _, n in sizes)
+    keys = df.select(*order) if is_stored else stored_by_column(df.select(*order))
+    total = keys.count()
     base, extra = divmod(total, tiles)
-    wanted = [j * base + min(j, extra) for j in range(1, tiles)]
+    wanted = sorted({w for j in range(1, tiles) if 0 < (w := j * base + min(j, extra)) < total})
+    if not wanted:
+        return []
+    sampled, size = _sampled_keys(keys, order, total)
+    around = DEVIATIONS * size**0.5 / 2 + 1
+    ends = {int(w / total * size + side * around) for w in wanted for side in (-1, 1)}
+    bounded = _with_range(keys, order, _limits_at(sampled, order, sorted(e for e in ends if 0 < e <= size)))
+    held, placed, seen, apart = [], [], 0, 0
+    for part, n in _range_sizes(bounded):
+        found = [w for w in wanted if seen < w <= seen + n]
+        if found:
+            held.append(part)
+            placed += [w - apart for w in found]
+        else:
+            apart += n
+        seen += n
+    near = bounded.filter(F.col(RANGE).isin(held)).drop(RANGE)
+    ranged = ordered_ranges(near, ascending(*order), ranges)
     places, seen = {}, 0
-    for rng, n in sizes:
-        for w in wanted:
-            if seen < w <= seen + n and w < total:
+    for rng, n in _range_sizes(ranged):
+        for w in placed:
+            if seen < w <= seen + n:
                 places.setdefault((rng, w - seen), w)
         seen += n
-    if not places:
-        return []
     local = Window.partitionBy(RANGE).orderBy(*ascending(*order))
     hit = reduce(lambda a, b: a | b, [(F.col(RANGE) == r) & (F.col("_rn") == i) for r, i in places])
     rows = (
@@ -409,13 +453,15 @@ def with_tile(
     out: str,
     limits: Sequence[Column] | None = None,
     source: DataFrame | None = None,
+    is_stored: bool = False,
 ) -> DataFrame:
     """``ntile(tiles) over (order by order)`` without moving the rows: each compares itself to the limits.
 
-    The limits are found over ``source``, by default ``df`` itself, which must hold the same rows.
+    The limits are found over ``source``, by default ``df`` itself, which must hold the same rows; ``is_stored`` says
+    that these come from a stored table already.
     """
     if limits is None:
-        limits = tile_limits(df if source is None else source, order, tiles)
+        limits = tile_limits(df if source is None else source, order, tiles, is_stored=is_stored)
     key = _ordering_struct([F.col(c) for c in order])
     beyond = [F.when(key > limit, 1).otherwise(0) for limit in limits]
     return df.withColumn(out, reduce(lambda a, b: a + b, beyond, F.lit(1)))

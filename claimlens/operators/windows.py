@@ -42,9 +42,9 @@ def repeat_claims(df: DataFrame, ties: Sequence[str] = (), ranges: int | None =
     return repeated.orderBy(*ascending("MANAGER_ID", "INCIDENT_DATE", "PROPERTY_ID"))
 
 
-def payout_deciles(df: DataFrame, ties: Sequence[str]) -> DataFrame:
-    """Payout decile of every claim; ``ties`` orders claims of equal payout."""
-    return with_tile(df, ["PAYOUT_AUTHORIZED", *ties], 10, "payout_decile")
+def payout_deciles(df: DataFrame, ties: Sequence[str], is_stored: bool = False) -> DataFrame:
+    """Payout decile of every claim; ``ties`` orders claims of equal payout. ``is_stored`` is that of ``tile_limits``."""
+    return with_tile(df, ["PAYOUT_AUTHORIZED", *ties], 10, "payout_decile", is_stored=is_stored)
 
 
 def running_damage(df: DataFrame, ties: Sequence[str] = (), ranges: int | None = None) -> DataFrame:

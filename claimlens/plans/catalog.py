@@ -30,7 +30,7 @@ from claimlens.operators import (
 from claimlens.plans import pipeline
 from claimlens.session import scratch_path
 from claimlens.sources import files
-from claimlens.sources.tables import ROW_POS, claims, damaged_claims, typed_claims
+from claimlens.sources.tables import ROW_POS, claims, damaged_claims, first_claims, typed_claims
 from claimlens.streaming import arrivals, screening
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,7 +85,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 def portfolio(spark: SparkSession, folder: str) -> DataFrame:
     """Claims with one row per property and date."""
-    return cleaning.keep_first(claims(spark, folder), CLAIM_ORDER).drop(ROW_POS)
+    return first_claims(spark, folder, CLAIM_ORDER).drop(ROW_POS)
 
 
 def raw_claims(spark: SparkSession, folder: str) -> DataFrame:
@@ -596,8 +596,8 @@ def repeat_claims(spark, folder):
 @query
 def payout_deciles(spark, folder):
     ties = ["PROPERTY_ID", "INCIDENT_DATE", "MANAGER_ID", "ADJUSTER_ID"]
-    rows = claims(spark, folder).select("PAYOUT_AUTHORIZED", *ties, ROW_POS)
-    return windows.payout_deciles(rows, [*ties, ROW_POS]).drop(ROW_POS)
+    rows = ordered.stored_by_column(claims(spark, folder).select("PAYOUT_AUTHORIZED", *ties, ROW_POS))
+    return windows.payout_deciles(rows, [*ties, ROW_POS], is_stored=True).drop(ROW_POS)
 
 
 @query

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from base64 import a85encode
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.functions.risk import add_risk_features
+from claimlens.operators.cleaning import keep_first
 
 # What the codes of the order tables stand for.
 COUNTRIES = ("US", "CA", "UK", "DE", "FR")
@@ -51,63 +53,79 @@ def _pick(index: Column, names: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(n) for n in names])[index.cast("int")]
 
 
-def _claim_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed claims along with the line and order numbers the damaged form is keyed on."""
-    lines = with_row_position(read_table(spark, folder, "lineitem"))
-    joined = (
-        lines.join(read_table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+def _owners(spark: SparkSession, folder: str) -> DataFrame:
+    """What a claim takes from its order: the manager's number and the region. Joined among themselves, so that the
+    claims, which are many more, move once for all of it."""
+    return (
+        read_table(spark, folder, "orders")
         .join(read_table(spark, folder, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read_table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_orderkey", (F.col("o_custkey") % 200).alias("_manager"), F.col("n_regionkey").alias("_region"))
     )
-    quantity = F.col("l_quantity").cast("decimal(6,0)")
-    base_premium = (1000 + 10 * quantity).cast("decimal(18,2)")
-    discount = F.abs("l_discount").cast("decimal(4,2)")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The line items as small numbers, which is how they move: text and amounts are spelt out after the joins."""
     returned = F.col("l_returnflag") == "R"
+    return with_row_position(read_table(spark, folder, "lineitem")).select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        "l_linenumber",
+        "l_shipdate",
+        F.col("l_quantity").cast("decimal(6,0)").alias("_quantity"),
+        F.abs("l_discount").cast("decimal(4,2)").alias("_discount"),
+        F.when(returned, F.col("l_extendedprice").cast("decimal(18,2)")).otherwise(0).cast("decimal(18,2)").alias("_payout"),
+        F.when(returned, F.abs("l_tax").cast("decimal(4,2)")).otherwise(0).cast("decimal(4,2)").alias("_tax"),
+        (F.col("l_linestatus") == "F").alias("_fire"),
+        ROW_POS,
+    )
+
+
+def _claim_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed claims along with the line, order and part numbers the damaged form and the portfolio are keyed on."""
+    joined = (
+        _lines(spark, folder)
+        .join(_owners(spark, folder), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(read_table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    base_premium = (1000 + 10 * F.col("_quantity")).cast("decimal(18,2)")
     contractors = F.create_map(*[F.lit(v) for pair in CONTRACTORS.items() for v in pair])
     return joined.select(
         F.format_string("PRP-%07d", "l_partkey").alias("PROPERTY_ID"),
         F.col("l_shipdate").alias("INCIDENT_DATE"),
-        F.concat(F.lit("MGR-"), (100 + F.col("o_custkey") % 200).cast("string")).alias("MANAGER_ID"),
+        F.concat(F.lit("MGR-"), (100 + F.col("_manager")).cast("string")).alias("MANAGER_ID"),
         F.concat(F.lit("ADJ-"), (1000 + F.col("l_suppkey")).cast("string")).alias("ADJUSTER_ID"),
         _pick(F.col("p_size") % 4, PROPERTY_TYPES).alias("PROPERTY_TYPE"),
-        _pick(F.col("n_regionkey"), CURRENCIES).alias("CURRENCY_CODE"),
+        _pick(F.col("_region"), CURRENCIES).alias("CURRENCY_CODE"),
         (F.col("p_size") * 100).alias("SQUARE_FOOTAGE"),
         (F.col("p_retailprice").cast("decimal(10,2)") * F.col("p_size").cast("decimal(4,0)") * 300)
         .cast("decimal(18,2)")
         .alias("VALUATION_LOCAL"),
-        (base_premium * (1 + 40 * discount)).cast("decimal(18,2)").alias("CURRENT_PREMIUM_LOCAL"),
+        (base_premium * (1 + 40 * F.col("_discount"))).cast("decimal(18,2)").alias("CURRENT_PREMIUM_LOCAL"),
         base_premium.alias("BASE_PREMIUM_USD"),
-        _pick(F.col("n_regionkey"), COUNTRIES).alias("COUNTRY_CODE"),
-        F.when(F.col("l_linestatus") == "F", "Structural Fire")
-        .otherwise("Water Damage")
-        .alias("INCIDENT_CLASSIFICATION"),
-        F.when(returned, price).otherwise(0).cast("decimal(18,2)").alias("PAYOUT_AUTHORIZED"),
-        F.when(
-            returned,
-            F.col("l_extendedprice").cast("decimal(10,2)") * F.abs("l_tax").cast("decimal(4,2)"),
-        )
-        .otherwise(0)
-        .cast("decimal(18,2)")
-        .alias("ADJUSTER_GRATUITY"),
+        _pick(F.col("_region"), COUNTRIES).alias("COUNTRY_CODE"),
+        F.when(F.col("_fire"), "Structural Fire").otherwise("Water Damage").alias("INCIDENT_CLASSIFICATION"),
+        F.col("_payout").alias("PAYOUT_AUTHORIZED"),
+        # Tax and payout are 0 where nothing was returned.
+        (F.col("_payout").cast("decimal(10,2)") * F.col("_tax")).cast("decimal(18,2)").alias("ADJUSTER_GRATUITY"),
         contractors[F.split("p_type", " ")[0]].alias("DECODED_CONTRACTOR"),
         ROW_POS,
         "l_orderkey",
         "l_linenumber",
+        "l_partkey",
     )
 
 
 def typed_claims(spark: SparkSession, folder: str) -> DataFrame:
     """One typed claim per line item; the contractor may be missing."""
-    return _claim_rows(spark, folder).drop("l_orderkey", "l_linenumber")
+    return _claim_rows(spark, folder).drop("l_orderkey", "l_linenumber", "l_partkey")
 
 
-def claims(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed claims with the date parts, the risk measures and missing contractors as 'Unknown'."""
+def with_measures(typed: DataFrame) -> DataFrame:
+    """The date parts, the risk measures and missing contractors as 'Unknown'."""
     return (
-        typed_claims(spark, folder)
-        .fillna("Unknown", subset=["DECODED_CONTRACTOR"])
+        typed.fillna("Unknown", subset=["DECODED_CONTRACTOR"])
         .withColumns(
             {
                 "YEAR": F.year("INCIDENT_DATE"),
@@ -119,6 +137,21 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def claims(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed claims with the date parts, the risk measures and missing contractors as 'Unknown'."""
+    return typed_claims(spark, folder).transform(with_measures)
+
+
+def first_claims(spark: SparkSession, folder: str, order: Sequence[str]) -> DataFrame:
+    """The first of :func:`claims` in ``order`` for each property and date.
+
+    A property is a part, so its claims are looked for by the part's number: after a shuffled join with the parts they
+    lie together already and need not move again. The measures are added to the first claims alone.
+    """
+    rows = _claim_rows(spark, folder).drop("l_orderkey", "l_linenumber")
+    return keep_first(rows, order, ["l_partkey", "INCIDENT_DATE"]).drop("l_partkey").transform(with_measures)
+
+
 def damaged_claims(spark: SparkSession, folder: str) -> DataFrame:
     """The same claims as raw text: mixed dates, broken JSON, encoded contractors and untidy names."""
     rows = _claim_rows(spark, folder)
