@@ -49,15 +49,13 @@ def reporting_mart(
     damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
     wide = running_sum_in_ranges(base, damage, ascending(*order), ["COUNTRY_CODE"]).transform(with_tier)
     by_payout = ["PAYOUT_AUTHORIZED", "PROPERTY_ID", "INCIDENT_DATE", "_row"]
-    wide = with_tile(wide, by_payout, 10, "payout_decile", source=rows)
+    wide = with_tile(wide, by_payout, 10, "payout_decile", source=rows, is_stored=True)
 
     keys = ["COUNTRY_CODE", "ADJUSTER_ID"]
     ranks = rank_in_group(adjuster_payouts(rows), "fake_payout_total", "adjuster_rank", ["COUNTRY_CODE"], ranges)
     adjusters = adjuster_tracker(rows) if adjusters is None else adjusters
     contractors = contractor_tracker(rows) if contractors is None else contractors
 
-    # Missing keys match nothing here, as in an ordinary equi-join.
-    wide = wide.join(stored_lookup(ranks), keys, "left")
     first = first_claim_keys(rows).withColumn("first_corrupt_claim", F.lit(1))
     wide = attach_lookup(wide, first, ["PROPERTY_ID", "INCIDENT_DATE"])
     by_adjuster = adjusters.select(
@@ -66,13 +64,16 @@ def reporting_mart(
         "unique_shell_companies",
         F.col("total_authorized_payouts").alias("adjuster_total_authorized_payouts"),
     )
+    # Ranks and tracker meet over the pairs of country and adjuster, so that the wide rows move once for both. Missing keys
+    # match nothing here, as in an ordinary equi-join.
+    pairs = rows.select(*keys).distinct().join(stored_lookup(ranks), keys, "left")
+    wide = attach_lookup(wide, pairs.join(stored_lookup(by_adjuster), "ADJUSTER_ID", "left"), keys)
     by_contractor = contractors.select(
         F.col("contractor").alias("DECODED_CONTRACTOR"),
         F.col("total_incidents").alias("contractor_total_incidents"),
         F.col("total_payout_stolen").alias("contractor_total_payout_stolen"),
         F.col("avg_premium_spike").alias("contractor_avg_premium_spike"),
     )
-    wide = wide.join(stored_lookup(by_adjuster), "ADJUSTER_ID", "left")
     wide = wide.join(stored_lookup(by_contractor), "DECODED_CONTRACTOR", "left")
     derived = [
         "valuation_tier",

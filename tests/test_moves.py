@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import glob
 import io
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from claimlens.operators import ordered
+from claimlens.operators import anomaly, marts, ordered
 from claimlens.operators.ordered import ascending
+from claimlens.plans import catalog, pipeline
 from claimlens.sources import tables
 
 # Two orders of one customer, one order without a customer; part 2 is listed twice.
@@ -44,7 +46,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture
 def shuffled_joins(spark):
     """No table is small enough to be sent to all tasks, and plans are shown as they will run."""
-    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.debug.maxToStringFields": "1000"}
     before = {k: spark.conf.get(k) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -57,13 +59,13 @@ def collected(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-def exchanges(df):
-    """The hash exchanges that claims pass, told by their date."""
+def exchanges(df, *names):
+    """The hash exchanges that claims pass, told by their date or the names given."""
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain("formatted")
     parts = [p for p in out.getvalue().split("\n\n") if ") Exchange" in p and "hashpartitioning" in p]
-    return [p for p in parts if "l_shipdate" in p or "INCIDENT_DATE" in p]
+    return [p for p in parts if any(n in p for n in names or ("l_shipdate", "INCIDENT_DATE"))]
 
 
 def test_claims_move_once_for_their_order_and_once_for_their_part(spark, folder, shuffled_joins):
@@ -109,3 +111,56 @@ def test_tiles_sort_only_the_rows_near_their_limits(spark, monkeypatch):
     monkeypatch.setattr(ordered, "SAMPLED", 300)
     monkeypatch.setattr(ordered, "DEVIATIONS", 0.1)
     assert collected(ordered.with_tile(df, ["v", "id"], 10, "t", is_stored=True)) == want
+
+
+def test_cleaning_moves_and_stores_no_measures(spark, folder, monkeypatch):
+    """The first claims are stored as read; the cleaned table is that of measures added before."""
+    raw = ordered.stored(tables.damaged_claims(spark, folder))
+    order = ["MANAGER_ID", "ADJUSTER_ID", "PAYOUT_AUTHORIZED", "ADJUSTER_GRATUITY", tables.ROW_POS]
+    want = collected(pipeline.finish(pipeline.derive(raw), order))
+    kept, full = [], pipeline.stored_by_column
+
+    def seen(df):
+        kept.append(set(df.columns))
+        return full(df)
+
+    monkeypatch.setattr(pipeline, "stored_by_column", seen)
+    got = pipeline.clean(raw, order)
+    assert got.columns == list(pipeline.COLUMNS) and collected(got) == want
+    assert not kept[0] & {"YEAR", "VALUATION_USD", "PREMIUM_SPIKE_USD", "DECODED_CONTRACTOR", "TOTAL_FINANCIAL_DAMAGE_USD"}
+    by_measure = pipeline.clean(raw, ["TOTAL_FINANCIAL_DAMAGE_USD", *order])
+    assert by_measure.count() == len(want)
+
+
+def test_mart_moves_wide_rows_once_for_ranks_and_trackers(spark, folder, shuffled_joins):
+    """Once for the running damage, once for country and adjuster, once each for the first claims and the contractors."""
+    rows = ordered.stored(tables.claims(spark, folder).drop(tables.ROW_POS))
+    mart = marts.reporting_mart(rows, ranges=3)
+    assert len(exchanges(mart, "VALUATION_LOCAL")) == 4
+    # A missing country has a tracker and no rank; a missing adjuster has neither.
+    gaps = ordered.stored(rows.limit(1).withColumns({"PHANTOM_CLAIM_SUSPECT": F.lit(1), "COUNTRY_CODE": F.lit(None).cast("string")}))
+    found = marts.reporting_mart(gaps, ranges=3).first()
+    assert found.adjuster_rank is None and found.fake_payout_total is None and found.adjuster_total_authorized_payouts is not None
+    found = marts.reporting_mart(ordered.stored(gaps.withColumn("ADJUSTER_ID", F.lit(None).cast("string"))), ranges=3).first()
+    assert found.adjuster_total_authorized_payouts is None and found.first_corrupt_claim == 1
+
+
+@pytest.mark.parametrize("name", ["raw_csv_claims", "first_in_file_order"])
+def test_scratch_csv_is_compressed(spark, folder, monkeypatch, name):
+    written, full = [], catalog.files.write_csv
+
+    def seen(df, path, **options):
+        full(df, path, **options)
+        written.append(path)
+
+    monkeypatch.setattr(catalog.files, "write_csv", seen)
+    catalog.QUERIES[name](spark, folder).count()
+    files = [f for p in written for f in glob.glob(f"{p.removeprefix('file:')}/part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_forest_is_saved_after_its_tasks(spark, tmp_path):
+    nodes = spark.range(0, 800, 1, 8).withColumn("task", F.spark_partition_id())
+    anomaly.save_forest(nodes, f"{tmp_path}/forest")
+    assert spark.read.parquet(f"{tmp_path}/forest").select("task").distinct().count() == 8
+    assert len(glob.glob(f"{tmp_path}/forest/part-*")) == 1
