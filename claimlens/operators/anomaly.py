@@ -176,14 +176,16 @@ def forest_arrays(nodes: DataFrame) -> dict:
 
 def path_scores(points: np.ndarray, forest: dict) -> np.ndarray:
     """Anomaly score 2 ** (-mean path / expected path) of each row of a feature matrix."""
-    row = np.arange(len(points))
+    # Taken from flat arrays, which takes half the time of indexing by row and column.
+    values, start = np.ascontiguousarray(points).ravel(), np.arange(len(points)) * points.shape[1]
+    below = np.column_stack([forest["low"], forest["high"]]).ravel()
     total = np.zeros(len(points))
     for root in forest["roots"]:
         at = np.full(len(points), root)
         for _ in range(forest["depth"]):
-            goes_low = points[row, forest["feature"][at]] <= forest["threshold"][at]
-            at = np.where(goes_low, forest["low"][at], forest["high"][at])
-        total += forest["path"][at]
+            goes_low = values.take(start + forest["feature"].take(at)) <= forest["threshold"].take(at)
+            at = below.take(2 * at + ~goes_low)
+        total += forest["path"].take(at)
     return np.exp2(-total / len(forest["roots"]) / forest["scale"]) if forest["scale"] else np.ones(len(points))
 
 
@@ -236,7 +238,8 @@ def anomalies_by_country(scored: DataFrame) -> DataFrame:
 
 
 def save_forest(nodes: DataFrame, path: str) -> None:
-    nodes.coalesce(1).write.mode("overwrite").parquet(path)
+    """One file. The nodes are brought together after they are found; ``coalesce`` would grow all trees in one task."""
+    nodes.repartition(1).write.mode("overwrite").parquet(path)
 
 
 def load_forest(spark: SparkSession, path: str) -> dict:
