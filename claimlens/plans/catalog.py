@@ -99,7 +99,7 @@ def raw_claims(spark: SparkSession, folder: str) -> DataFrame:
 def raw_csv_claims(spark, folder):
     """Damaged claims written as CSV, scanned with the fixed schema and read field by field."""
     path = scratch_path(spark, "raw_csv")
-    files.write_csv(damaged_claims(spark, folder).drop(ROW_POS), path)
+    files.write_csv(damaged_claims(spark, folder).drop(ROW_POS), path, compression="gzip")
     read = cleaning.standardize_names(files.read_raw_csv(spark, path), keep=[ROW_POS])
     parsed = read.transform(cleaning.parse_dates).transform(cleaning.extract_metadata)
     return parsed.drop(ROW_POS)
@@ -123,7 +123,7 @@ def first_in_file_order(spark, folder):
         part = rows.filter(F.col("_file") == number).orderBy(*ordered.ascending(*LINE_ORDER))
         # The header's order is not that of the schema.
         text = part.select("MANAGER_ID", metadata.alias("Insurance Metadata JSON"), *[c for c in CSV_COLUMNS if c != "MANAGER_ID"])
-        files.write_csv(text, f"{path}/{number}")
+        files.write_csv(text, f"{path}/{number}", compression="gzip")
     read = files.read_raw_csv(spark, f"{path}/*").transform(cleaning.parse_dates).transform(cleaning.extract_metadata)
     first = cleaning.keep_first(read, [ROW_POS])
     return first.select("PROPERTY_ID", "INCIDENT_DATE", *LINE_ORDER)

@@ -86,8 +86,10 @@ def read_raw_csv(spark: SparkSession, path: str, schema: str = RAW_SCHEMA, multi
     return type_raw(read_raw_text(spark, path, schema, multi_line), schema)
 
 
-def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
-    df.write.mode("overwrite").options(**CSV_FORM, **CSV_TEXT, quoteAll=str(quote_all).lower()).csv(path)
+def write_csv(df: DataFrame, path: str, quote_all: bool = False, compression: str = "none") -> None:
+    """CSV with a header in each file. Compressed files are read whole, one in a task each."""
+    form = {**CSV_FORM, **CSV_TEXT, "quoteAll": str(quote_all).lower(), "compression": compression}
+    df.write.mode("overwrite").options(**form).csv(path)
 
 
 def read_mart_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
