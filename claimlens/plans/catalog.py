@@ -321,7 +321,8 @@ def risk_features(spark, folder):
 @query
 def clean_portfolio(spark, folder):
     """The whole cleaning pipeline on the damaged claims, stored once as a raw table would be: 28 columns."""
-    return pipeline.clean(ordered.stored_by_column(damaged_claims(spark, folder)), order=[*CLAIM_ORDER, "CURRENCY_CODE", "CONTRACTOR_A85"])
+    raw = ordered.stored_by_column(damaged_claims(spark, folder).drop(ROW_POS))
+    return pipeline.clean(raw, order=[*CLAIM_ORDER, "CURRENCY_CODE", "CONTRACTOR_A85"])
 
 
 @query

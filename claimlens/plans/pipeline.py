@@ -64,17 +64,31 @@ def derive(raw: DataFrame, keep: Sequence[str] = (ROW_POS,)) -> DataFrame:
     return add_risk_features(read)
 
 
+def _filled(unique: DataFrame) -> DataFrame:
+    return unique.transform(impute_medians).transform(fill_text).transform(strip_text)
+
+
 def finish(derived: DataFrame, order: Sequence[str]) -> DataFrame:
     """First claim of each property and date in ``order``, with gaps filled and text trimmed.
 
     The deduplicated rows are stored before imputation, because the medians and the final rows both read
     them. Each derived measure is imputed on its own and not computed again.
     """
-    unique = stored_by_column(keep_first(derived, order).select(*COLUMNS))
-    return unique.transform(impute_medians).transform(fill_text).transform(strip_text)
+    return _filled(stored_by_column(keep_first(derived, order).select(*COLUMNS)))
 
 
 def clean(raw: DataFrame, order: Sequence[str] = (ROW_POS,)) -> DataFrame:
-    """The cleaned table. ``order`` names the columns that give the file order of the raw rows."""
+    """The cleaned table. ``order`` names the columns that give the file order of the raw rows.
+
+    Only what the text tells moves and is stored with the first claims; names, date parts and measures follow from it
+    and are added afterwards, unless ``order`` asks for one of them.
+    """
     order = [o if o in raw.columns else standard_name(o) for o in order]
-    return finish(derive(raw, keep=[ROW_POS, *[o for o in order if o not in COLUMNS]]), order)
+    keep = [ROW_POS, *[o for o in order if o not in COLUMNS]]
+    named = standardize_names(raw, keep=[k for k in keep if k in raw.columns])
+    read = named.transform(parse_dates).transform(impute_dates).transform(extract_metadata)
+    if not set(order) <= set(read.columns):
+        return finish(derive(raw, keep), order)
+    first = stored_by_column(keep_first(read, order).select(*[c for c in COLUMNS if c in read.columns]))
+    measured = first.transform(decode_contractors).transform(add_date_parts).transform(add_risk_features)
+    return _filled(measured.select(*COLUMNS))
