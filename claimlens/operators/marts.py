@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,22 +34,29 @@ def reporting_mart(
     adjusters: DataFrame | None = None,
     contractors: DataFrame | None = None,
     ranges: int | None = None,
+    measures: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The portfolio with tier, decile, running damage, ranks, first-claim mark and both trackers.
 
     ``portfolio`` is computed and stored once, and every part below reads the columns it needs from that copy. Claims
     equal in property and date are told apart by their stored row number. The rows find their range of country and
     date in place and move once, for the running sum; the decile needs no movement. The trackers may be given
-    precomputed. Each joined side is stored, so that Spark decides by its bytes how to join it.
+    precomputed. Each joined side is stored, so that Spark decides by its bytes how to join it. ``measures`` adds columns
+    that follow from the others of a row; they are computed where they are read and neither stored nor moved.
 
     The first-claim mark joins on property and date, which keeps one output row per input row; a join on the
     property alone would pair every suspect claim of a property with every claim of it.
     """
+    measures = measures or (lambda df: df)
     order = ["INCIDENT_DATE", "PROPERTY_ID", "_row"]
-    rows = stored_by_column(portfolio.withColumn("_row", F.monotonically_increasing_id()))
-    base = tagged_ranges(rows, ["COUNTRY_CODE", *order], ranges, is_stored=True)
-    damage = {"TOTAL_FINANCIAL_DAMAGE_USD": "running_total_damage_usd"}
-    wide = running_sum_in_ranges(base, damage, ascending(*order), ["COUNTRY_CODE"]).transform(with_tier)
+    kept = stored_by_column(portfolio.withColumn("_row", F.monotonically_increasing_id()))
+    rows = measures(kept)
+    # Of the measures the running sum needs one.
+    summed = "TOTAL_FINANCIAL_DAMAGE_USD"
+    moved = rows.select(*dict.fromkeys([*kept.columns, summed]))
+    base = tagged_ranges(moved, ["COUNTRY_CODE", *order], ranges, is_stored=True)
+    wide = running_sum_in_ranges(base, {summed: "running_total_damage_usd"}, ascending(*order), ["COUNTRY_CODE"])
+    wide = wide.select(*kept.columns, "running_total_damage_usd")
     by_payout = ["PAYOUT_AUTHORIZED", "PROPERTY_ID", "INCIDENT_DATE", "_row"]
     wide = with_tile(wide, by_payout, 10, "payout_decile", source=rows, is_stored=True)
 
@@ -68,6 +77,7 @@ def reporting_mart(
     # match nothing here, as in an ordinary equi-join.
     pairs = rows.select(*keys).distinct().join(stored_lookup(ranks), keys, "left")
     wide = attach_lookup(wide, pairs.join(stored_lookup(by_adjuster), "ADJUSTER_ID", "left"), keys)
+    wide = measures(wide).transform(with_tier)
     by_contractor = contractors.select(
         F.col("contractor").alias("DECODED_CONTRACTOR"),
         F.col("total_incidents").alias("contractor_total_incidents"),
@@ -89,7 +99,7 @@ def reporting_mart(
         "contractor_total_payout_stolen",
         "contractor_avg_premium_spike",
     ]
-    return wide.select(*portfolio.columns, *derived)
+    return wide.select(*[c for c in rows.columns if c != "_row"], *derived)
 
 
 def mart_preview(mart: DataFrame, limit: int = 1000) -> DataFrame:

@@ -30,7 +30,7 @@ from claimlens.operators import (
 from claimlens.plans import pipeline
 from claimlens.session import scratch_path
 from claimlens.sources import files
-from claimlens.sources.tables import ROW_POS, claims, damaged_claims, first_claims, typed_claims
+from claimlens.sources.tables import ROW_POS, claims, damaged_claims, first_claims, first_typed_claims, typed_claims, with_measures
 from claimlens.streaming import arrivals, screening
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,12 @@ def portfolio(spark: SparkSession, folder: str) -> DataFrame:
     return first_claims(spark, folder, CLAIM_ORDER).drop(ROW_POS)
 
 
+def mart_of_portfolio(spark: SparkSession, folder: str) -> DataFrame:
+    """The mart of the portfolio, whose measures are made where they are read."""
+    typed = first_typed_claims(spark, folder, CLAIM_ORDER).drop(ROW_POS)
+    return marts.reporting_mart(typed, measures=with_measures)
+
+
 def raw_claims(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.standardize_names(damaged_claims(spark, folder), keep=[ROW_POS])
 
@@ -618,12 +624,12 @@ def first_suspect_claims(spark, folder):
 
 @query
 def reporting_mart(spark, folder):
-    return marts.reporting_mart(portfolio(spark, folder))
+    return mart_of_portfolio(spark, folder)
 
 
 @query
 def mart_preview(spark, folder):
-    mart = marts.mart_preview(marts.reporting_mart(portfolio(spark, folder)))
+    mart = marts.mart_preview(mart_of_portfolio(spark, folder))
     return mart.select("PROPERTY_ID", "INCIDENT_DATE", "payout_decile", "adjuster_rank", "first_corrupt_claim")
 
 

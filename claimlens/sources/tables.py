@@ -142,14 +142,19 @@ def claims(spark: SparkSession, folder: str) -> DataFrame:
     return typed_claims(spark, folder).transform(with_measures)
 
 
-def first_claims(spark: SparkSession, folder: str, order: Sequence[str]) -> DataFrame:
-    """The first of :func:`claims` in ``order`` for each property and date.
+def first_typed_claims(spark: SparkSession, folder: str, order: Sequence[str]) -> DataFrame:
+    """The first of :func:`typed_claims` in ``order`` for each property and date.
 
     A property is a part, so its claims are looked for by the part's number: after a shuffled join with the parts they
-    lie together already and need not move again. The measures are added to the first claims alone.
+    lie together already and need not move again.
     """
     rows = _claim_rows(spark, folder).drop("l_orderkey", "l_linenumber")
-    return keep_first(rows, order, ["l_partkey", "INCIDENT_DATE"]).drop("l_partkey").transform(with_measures)
+    return keep_first(rows, order, ["l_partkey", "INCIDENT_DATE"]).drop("l_partkey")
+
+
+def first_claims(spark: SparkSession, folder: str, order: Sequence[str]) -> DataFrame:
+    """The same with measures, which are added to the first claims alone."""
+    return first_typed_claims(spark, folder, order).transform(with_measures)
 
 
 def damaged_claims(spark: SparkSession, folder: str) -> DataFrame:

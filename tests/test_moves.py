@@ -145,6 +145,16 @@ def test_mart_moves_wide_rows_once_for_ranks_and_trackers(spark, folder, shuffle
     assert found.adjuster_total_authorized_payouts is None and found.first_corrupt_claim == 1
 
 
+def test_mart_moves_no_measures(spark, folder, shuffled_joins):
+    typed = ordered.stored(tables.typed_claims(spark, folder).drop(tables.ROW_POS))
+    mart = marts.reporting_mart(typed, ranges=3, measures=tables.with_measures)
+    assert len(exchanges(mart, "VALUATION_LOCAL")) == 4
+    moved = exchanges(mart, "VALUATION_LOCAL")[:3]
+    assert not [p for p in moved if "PAYOUT_TO_VALUE_RATIO" in p]
+    whole = marts.reporting_mart(tables.with_measures(typed), ranges=3)
+    assert mart.columns == whole.columns and collected(mart) == collected(whole)
+
+
 @pytest.mark.parametrize("name", ["raw_csv_claims", "first_in_file_order"])
 def test_scratch_csv_is_compressed(spark, folder, monkeypatch, name):
     written, full = [], catalog.files.write_csv
