@@ -2,11 +2,14 @@
 
 The tokenizer drops white space and never joins what it separates, so the words between are encoded each by itself and
 their ids are kept. Texts of Latin letters are lowered and split here; any other text, where Unicode rules of the two
-sides could differ, goes to the tokenizer as a whole. Both ways give the same ids.
+sides could differ, goes to the tokenizer as a whole. Both ways give the same ids. New words are encoded many to a text:
+they are cut into the tokenizer's own parts, each of which ends in an id that closes parts, which tells them apart.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from array import array
 
@@ -16,8 +19,24 @@ import numpy as np
 # that are met again are young anew.
 MOST_WORDS = 300_000
 LONGEST = 48
+# New words of one text.
+JOINED = 500
 # Control characters, unusual spaces, fractions and all beyond Latin Extended-B are left to the tokenizer.
 _UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbeİɐ-\U0010ffff]")
+# The tokenizer's own pattern, and what it matches in the words split here.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+
+
+def _closing(setup: dict) -> np.ndarray | None:
+    """Whether an id closes a part of a word, if all parts of this tokenizer file end so; None otherwise."""
+    model, cuts = setup["model"], (setup.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    suffix = model.get("end_of_word_suffix")
+    if not suffix or not cuts or cuts[0].get("pattern") != {"Regex": _PATTERN}:
+        return None
+    made = np.zeros(2**16, dtype=bool)
+    made[[k for entry, k in model["vocab"].items() if entry.endswith(suffix)]] = True
+    return made
 
 
 class Encoder:
@@ -26,14 +45,42 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of its own would only compete with other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.closing = _closing(json.load(file))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, parts: list[str]) -> list[bytes]:
+        """The ids of every part of a word, all of them encoded in few texts."""
+        rows = [parts[at : at + JOINED] for at in range(0, len(parts), JOINED)]
+        made = []
+        for row, blob in zip(rows, self._whole([" ".join(row) for row in rows])):
+            ends = 2 * (np.flatnonzero(self.closing[np.frombuffer(blob, dtype=np.uint16)]) + 1)
+            if len(ends) == len(row):
+                made += [blob[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            else:
+                made += self._whole(row)
+        return made
+
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not known; their parts may be."""
+        if self.closing is None:
+            return dict(zip(words, self._whole(words)))
+        cut = {w: _PARTS.findall(w) for w in words if not w.isalpha()}
+        parts = set().union(*cut.values())
+        new = list(parts.difference(self.known).union(w for w in words if w not in cut))
+        made = dict(zip(new, self._apart(new)))
+        held = {p: made[p] if p in made else self.known[p] for p in parts}
+        made.update((w, b"".join(map(held.__getitem__, own))) for w, own in cut.items())
+        return made
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; none for a null or empty one."""
         split = [None if not t or _UNUSUAL.search(t) else t.lower().split() for t in texts]
@@ -41,20 +88,19 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         # The words of these texts, in a store of their own: looked up once here, then from little memory.
-        here: dict[str, bytes] = {}
+        words = set().union(*[words for words in split if words])
+        unknown = words.difference(known)
+        words.difference_update(unknown)
+        here = dict(zip(words, map(known.__getitem__, words)))
         new = []
-        for w in set().union(*[words for words in split if words]):
-            ids = known.get(w)
+        for w in unknown:
+            ids = older.get(w)
             if ids is None:
-                ids = older.get(w)
-                if ids is None:
-                    new.append(w)
-                    continue
-                known[w] = ids
-            here[w] = ids
+                new.append(w)
+            else:
+                here[w] = known[w] = ids
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            fresh = dict(zip(part, self._whole(part)))
+            fresh = self._fresh(new[at : at + 20_000])
             here.update(fresh)
             known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
         made = []

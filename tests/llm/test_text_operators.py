@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -400,6 +401,27 @@ def test_fingerprints_of_long_vocabularies(monkeypatch):
 # Packing
 
 
+def test_new_words_are_encoded_many_to_a_text(monkeypatch):
+    """Without threads of the tokenizer's own, and with the ids that it gives each word by itself."""
+    import public_tokenizers
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encoder, calls = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    rng = np.random.default_rng(3)
+    odd = ["".join(map(chr, row)).lower() for row in rng.integers(0x21, 0x250, (3_000, 5))]
+    words = [w for w in odd if not tokens._UNUSUAL.search(w)] + "don't we'll 's ''s a_b _'re 12ab3 ª ñandú's <|endoftext|> x.y,z".split()
+    want = [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    full = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: (calls.append(len(texts)), full(texts))[1])
+    assert [x.tolist() for x in encoder.encode(words)] == want
+    assert sum(calls) <= 2 * len(words) / tokens.JOINED
+    # A file that closes no words is asked word by word.
+    encoder.closing = None
+    found = encoder._fresh(words)
+    assert [np.frombuffer(found[w], np.uint16).tolist() for w in words] == want
+
+
 def test_encoder_equals_the_tokenizer():
     import public_tokenizers
 
