@@ -41,6 +41,10 @@ COLUMNS = 4_096
 # Nodes of a bucket that meet in one task, by sketches alone, and those compared at once.
 MEETING = 4_096
 TILE = 512
+# Bits that tell apart the asked keys from others: of a section (as Spark's bitmaps have them), for each key, at most.
+SECTION = 32_768
+SPARSE = 32
+MOST_BITS = 2**26
 _EMPTY = np.uint64(2**64 - 1)
 _SEEDS = W.mix(np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * np.uint64(W.BASE))
 
@@ -142,6 +146,19 @@ def sketched_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFram
     return pairs.join(u, "u").join(v, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(check, "u long, v long, likely boolean")
 
 
+def marked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows whose ``_doc`` is among ``asked`` and a few others, found without moving any.
+
+    Every asked key sets a bit, about one in SPARSE and at most MOST_BITS of all, in sections that go to all tasks.
+    """
+    bits = min(MOST_BITS, SECTION << max(0, (SPARSE * asked.count() - 1) // SECTION).bit_length())
+    place = F.pmod(F.xxhash64("_doc"), F.lit(bits))
+    sections = asked.groupBy((place / SECTION).cast("int").alias("_section")).agg(F.bitmap_construct_agg(place % SECTION).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (place % SECTION / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_section", (place / SECTION).cast("int")).join(F.broadcast(sections), "_section")
+    return held.where(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0).drop("_section", "_bits")
+
+
 def shingle_blobs(texts: DataFrame, width: int) -> DataFrame:
     """``_doc`` and ``members``, the sorted shingle hashes of each text."""
 
@@ -325,7 +342,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     if not ties.isEmpty():
         clouds = stored(components(met), "clouds")
     asked = met.select(F.col("u").alias("_doc")).union(met.select(F.col("v").alias("_doc"))).distinct()
-    texts = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")).join(asked, "_doc")
+    asked = stored(asked, "asked")
+    texts = marked(docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text")), asked).join(asked, "_doc")
     members = stored(shingle_blobs(texts, width), "members")
     links = stored(verified(pairs.where("likely").select("u", "v"), members, percent), "links")
     first = stored(components(links), "labels")

@@ -244,6 +244,34 @@ def test_near_dedup_equals_brute_force(odd, width):
             assert r.kept == (r.component_id == r.doc_id)
 
 
+def test_near_dedup_moves_the_texts_it_asks_for(spark, monkeypatch):
+    """Few others pass, rows of one key pass together, and with few bits all asked ones still pass."""
+    rows = spark.range(40_000).select((F.col("id") % 20_000).alias("_doc"), F.lit("x").alias("_text"))
+    rows = rows.union(spark.createDataFrame([(None, "n")], "_doc long, _text string"))
+    asked = spark.range(0, 20_000, 100).withColumnRenamed("id", "_doc")
+    for most in (near_dedup.MOST_BITS, 64):
+        monkeypatch.setattr(near_dedup, "MOST_BITS", most)
+        got = near_dedup.marked(rows, asked)
+        assert got.columns == ["_doc", "_text"] and got.join(asked, "_doc").count() == 400
+    monkeypatch.undo()
+    assert near_dedup.marked(rows, asked).count() < 3_000
+    assert near_dedup.marked(rows, asked.limit(0)).count() == 0
+
+
+def test_near_dedup_reads_only_the_texts_of_candidates(spark, monkeypatch):
+    seen, full = [], near_dedup.shingle_blobs
+
+    def counted(texts, width):
+        plan = texts._jdf.queryExecution().optimizedPlan().toString()
+        seen.append("bitmap_construct_agg" in plan or "_bits" in plan)
+        return full(texts, width)
+
+    monkeypatch.setattr(near_dedup, "shingle_blobs", counted)
+    docs = spark.createDataFrame([(k, passage(k, 30)) for k in range(20)] + [(20, passage(3, 30) + " end")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == {**{k: k for k in range(20)}, 20: 3} and seen == [True]
+
+
 def test_near_dedup_of_chains_and_large_groups(spark):
     words = passage(11, 200).split()
     # Each text differs a little from the one before, far ends not being alike; and many copies of another text.
