@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from claimlens.llm.tables import checkpointed
 
+# Links of one part of a round's tables, and the least number of parts. A checkpoint makes a file for every part, filled or
+# not, and on local disks Hadoop starts a process for each file, so small tables stay in few parts.
+PART = 5_000
+LEAST_PARTS = 4
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
+
+def _kept(df: DataFrame, links: int) -> DataFrame:
+    return checkpointed(df.coalesce(max(LEAST_PARTS, -(-links // PART))))
+
+
+def _least_neighbour(edges: DataFrame, links: int) -> DataFrame:
     # Kept apart, so that the join below meets two plain shuffles and a hub's edges can be split.
-    return checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return _kept(edges.groupBy("u").agg(F.min("v").alias("m")), links)
 
 
 def _state(edges: DataFrame):
@@ -29,15 +38,15 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
-            both.join(_least_neighbour(both), "u")
+            both.join(_least_neighbour(both, before[0]), "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
             .distinct()
         )
-        large = checkpointed(large)
-        least = _least_neighbour(large)
+        large = _kept(large, before[0])
+        least = _least_neighbour(large, before[0])
         joined = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(joined.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = _kept(joined.union(least.select("u", F.col("m").alias("v"))).distinct(), before[0])
         after = _state(edges)
         if after == before:
             break

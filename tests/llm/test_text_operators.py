@@ -244,6 +244,26 @@ def test_near_dedup_equals_brute_force(odd, width):
             assert r.kept == (r.component_id == r.doc_id)
 
 
+def test_components_of_few_links_make_few_files(spark, monkeypatch):
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    parts, full = [], components.checkpointed
+
+    def counted(df):
+        made = full(df)
+        parts.append(made.rdd.getNumPartitions())
+        return made
+
+    monkeypatch.setattr(components, "checkpointed", counted)
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    found = components.components(spark.range(1, 60).select((F.col("id") * 2).alias("u"), (F.col("id") * 2 + 2).alias("v")))
+    assert {r.node: r.component for r in found.collect()} == {k: 2 for k in range(4, 122, 2)}
+    assert len(parts) > 4 and max(parts[1:]) <= components.LEAST_PARTS
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_near_dedup_moves_the_texts_it_asks_for(spark, monkeypatch):
     """Few others pass, rows of one key pass together, and with few bits all asked ones still pass."""
     rows = spark.range(40_000).select((F.col("id") % 20_000).alias("_doc"), F.lit("x").alias("_text"))
