@@ -794,19 +794,41 @@ def insight_document(spark, folder):
     return insights.insights(stored, ordered.stored(kept))
 
 
+# What arrives of a claim: all of the anomaly table that does not follow from the rest.
+ARRIVING = [
+    "PROPERTY_ID",
+    "INCIDENT_DATE",
+    "MANAGER_ID",
+    "ADJUSTER_ID",
+    "COUNTRY_CODE",
+    "PROPERTY_TYPE",
+    "CURRENCY_CODE",
+    "DECODED_CONTRACTOR",
+    "PAYOUT_AUTHORIZED",
+    "ADJUSTER_GRATUITY",
+    "VALUATION_LOCAL",
+    "CURRENT_PREMIUM_LOCAL",
+    "BASE_PREMIUM_USD",
+]
+
+
+def _arriving(spark, folder):
+    """The claims of the portfolio from files, as a table and as a stream; their measures are made where they are read."""
+    path = scratch_path(spark, "arriving")
+    first_typed_claims(spark, folder, CLAIM_ORDER).select(*ARRIVING).write.parquet(path, compression="zstd")
+    stored = spark.read.parquet(path)
+    stream = spark.readStream.schema(stored.schema).parquet(path)
+    return tuple(with_measures(rows).select(*anomaly.ANOMALY_COLUMNS) for rows in (stored, stream))
+
+
 @query
 def streamed_review(spark, folder):
     """Stored claims arrive as a stream, are scored with a saved forest and land in the review table."""
-    arriving, forest, sink, state = (
-        scratch_path(spark, n) for n in ("arriving", "forest", "review", "review_state")
-    )
-    rows = portfolio(spark, folder).select(*anomaly.ANOMALY_COLUMNS)
-    rows.write.parquet(arriving)
-    known = spark.read.parquet(arriving)
+    forest, sink, state = (scratch_path(spark, n) for n in ("forest", "review", "review_state"))
+    known, stream = _arriving(spark, folder)
     matrix = anomaly.feature_matrix(known)
     anomaly.save_forest(anomaly.fit_forest(matrix, ["PROPERTY_ID", "INCIDENT_DATE"]), forest)
     medians = ordered.exact_medians(known, anomaly.FEATURES)
-    stream = spark.readStream.schema(known.schema).parquet(arriving)
     queue = screening.review_queue(stream, anomaly.load_forest(spark, forest), medians)
     screening.start_review(queue, sink, state).awaitTermination()
     return rounded(spark.read.schema(queue.schema).parquet(sink), isolation_forest_score=9)
@@ -859,10 +881,8 @@ def literal_forest_countries(spark, folder):
 @query
 def literal_streamed_review(spark, folder):
     """Stored claims arrive as a stream and are scored with the written forest."""
-    arriving, sink, state = (scratch_path(spark, n) for n in ("arriving", "review", "review_state"))
-    portfolio(spark, folder).select(*anomaly.ANOMALY_COLUMNS).write.parquet(arriving)
-    known = spark.read.parquet(arriving)
-    stream = spark.readStream.schema(known.schema).parquet(arriving)
+    sink, state = (scratch_path(spark, n) for n in ("review", "review_state"))
+    known, stream = _arriving(spark, folder)
     queue = screening.review_queue(stream, _literal_forest(spark), ordered.exact_medians(known, anomaly.FEATURES))
     screening.start_review(queue, sink, state).awaitTermination()
     return rounded(spark.read.schema(queue.schema).parquet(sink).select("PROPERTY_ID", "INCIDENT_DATE", "isolation_forest_score"), isolation_forest_score=9)

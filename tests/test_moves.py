@@ -169,6 +169,18 @@ def test_scratch_csv_is_compressed(spark, folder, monkeypatch, name):
     assert files and all(f.endswith(".csv.gz") for f in files)
 
 
+def test_arriving_claims_are_stored_without_their_measures(spark, folder, monkeypatch):
+    paths, full = [], catalog.scratch_path
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name: (paths.append(full(s, name)), paths[-1])[1])
+    want = collected(catalog.portfolio(spark, folder).select(*anomaly.ANOMALY_COLUMNS))
+    known, stream = catalog._arriving(spark, folder)
+    assert stream.isStreaming and stream.schema == known.schema and collected(known) == want
+    stored = spark.read.parquet(paths[0])
+    assert not set(stored.columns) & {"VALUATION_USD", "PREMIUM_SPIKE_USD", "TOTAL_FINANCIAL_DAMAGE_USD", "PAYOUT_TO_VALUE_RATIO"}
+    files = glob.glob(f"{paths[0].removeprefix('file:')}/part-*")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
+
 def test_forest_is_saved_after_its_tasks(spark, tmp_path):
     nodes = spark.range(0, 800, 1, 8).withColumn("task", F.spark_partition_id())
     anomaly.save_forest(nodes, f"{tmp_path}/forest")
