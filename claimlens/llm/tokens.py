@@ -3,7 +3,7 @@
 The tokenizer drops white space and never joins what it separates, so the words between are encoded each by itself and
 their ids are kept. Texts of Latin letters are lowered and split here; any other text, where Unicode rules of the two
 sides could differ, goes to the tokenizer as a whole. Both ways give the same ids. New words are encoded many to a text:
-they are cut into the tokenizer's own parts, each of which ends in an id that closes parts, which tells them apart.
+each of the parts into which the tokenizer cuts a word ends in an id that ends nowhere else, so counting tells them apart.
 """
 
 from __future__ import annotations
@@ -57,28 +57,20 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, parts: list[str]) -> list[bytes]:
-        """The ids of every part of a word, all of them encoded in few texts."""
-        rows = [parts[at : at + JOINED] for at in range(0, len(parts), JOINED)]
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """The ids of every word, all of them encoded in few texts."""
+        if self.closing is None:
+            return self._whole(words)
+        rows = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
         made = []
         for row, blob in zip(rows, self._whole([" ".join(row) for row in rows])):
-            ends = 2 * (np.flatnonzero(self.closing[np.frombuffer(blob, dtype=np.uint16)]) + 1)
-            if len(ends) == len(row):
-                made += [blob[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
-            else:
+            count = [1 if w.isalpha() else len(_PARTS.findall(w)) for w in row]
+            ends = np.flatnonzero(self.closing[np.frombuffer(blob, dtype=np.uint16)]) + 1
+            if len(ends) != sum(count):
                 made += self._whole(row)
-        return made
-
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not known; their parts may be."""
-        if self.closing is None:
-            return dict(zip(words, self._whole(words)))
-        cut = {w: _PARTS.findall(w) for w in words if not w.isalpha()}
-        parts = set().union(*cut.values())
-        new = list(parts.difference(self.known).union(w for w in words if w not in cut))
-        made = dict(zip(new, self._apart(new)))
-        held = {p: made[p] if p in made else self.known[p] for p in parts}
-        made.update((w, b"".join(map(held.__getitem__, own))) for w, own in cut.items())
+                continue
+            cuts = (2 * ends[np.cumsum(count) - 1]).tolist()
+            made += [blob[a:b] for a, b in zip([0, *cuts], cuts)]
         return made
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -88,19 +80,20 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         # The words of these texts, in a store of their own: looked up once here, then from little memory.
-        words = set().union(*[words for words in split if words])
-        unknown = words.difference(known)
-        words.difference_update(unknown)
-        here = dict(zip(words, map(known.__getitem__, words)))
+        here: dict[str, bytes] = {}
         new = []
-        for w in unknown:
-            ids = older.get(w)
+        for w in set().union(*[words for words in split if words]):
+            ids = known.get(w)
             if ids is None:
-                new.append(w)
-            else:
-                here[w] = known[w] = ids
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                    continue
+                known[w] = ids
+            here[w] = ids
         for at in range(0, len(new), 20_000):
-            fresh = self._fresh(new[at : at + 20_000])
+            part = new[at : at + 20_000]
+            fresh = dict(zip(part, self._apart(part)))
             here.update(fresh)
             known.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
         made = []

@@ -466,8 +466,7 @@ def test_new_words_are_encoded_many_to_a_text(monkeypatch):
     assert sum(calls) <= 2 * len(words) / tokens.JOINED
     # A file that closes no words is asked word by word.
     encoder.closing = None
-    found = encoder._fresh(words)
-    assert [np.frombuffer(found[w], np.uint16).tolist() for w in words] == want
+    assert [np.frombuffer(x, np.uint16).tolist() for x in encoder._apart(words)] == want
 
 
 def test_encoder_equals_the_tokenizer():
