@@ -148,7 +148,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", t
         encoder, first = kept(f"encoder {path}", lambda: Encoder(path)), TaskContext.get().partitionId() * PER_TASK
         for batch in batches:
             for part in pieces(batch, "_text", SHARD_BYTES):
-                documents = [np.append(ids, np.uint16(END)) for ids in encoder.encode(part.column("_text").to_pylist())]
+                documents = [np.append(ids, np.uint16(END)) for ids in encoder.encode(part.column("_text"))]
                 made = np.array(pack(documents), dtype=np.int64).reshape(-1, 5)
                 crc = [zlib.crc32(documents[d][s : s + n].astype("<u4").tobytes()) for d, s, n in made[:, :3].tolist()]
                 size = np.array([len(d) for d in documents], dtype=np.int64)

@@ -479,6 +479,37 @@ def test_encoder_equals_the_tokenizer():
         assert [x.tolist() for x in encoder.encode(texts)] == want
 
 
+def test_ordinary_words_go_to_the_faster_encoder(monkeypatch):
+    """The tokenizer itself gets each unusual or long word once, and nothing else of its text."""
+    import public_tokenizers
+
+    encoder, asked = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    rng = np.random.default_rng(4)
+    odd = ["".join(map(chr, row)) for row in rng.integers(0x21, 0x250, (2_000, 6))]
+    usual = [w for w in odd if not tokens._UNUSUAL.search(w)] + [e.removesuffix("</w>") for e in encoder.tokenizer.get_vocab() if e.isascii()]
+    rare = ["ΟΔΟΣ", "a\xa0b", "“Stone”", "東京", "e\u0301", "x" * 101]
+    texts = [" ".join(usual), "river\x0b Stone\r\n" + " \t".join(rare), None, " ", "stone " + rare[2] + "\u2028river", rare[0]]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    full = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda words: (asked.extend(words), full(words))[1])
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert sorted(asked) == sorted([*rare, rare[2] + "\u2028river"])
+    assert [x.tolist() for x in encoder.encode(pa.array(["?", *texts])[1:])] == want
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        setup = json.load(file)
+    setup["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(setup))
+    encoder = tokens.Encoder(str(tmp_path / "cased.json"))
+    assert encoder.encode(["River STONE"])[0].tolist() == encoder.tokenizer.encode("River STONE", add_special_tokens=False).ids
+
+
 def check_pieces(rows, texts):
     """Every id of every row once, sequences gapless and full or a power of two."""
     import public_tokenizers
